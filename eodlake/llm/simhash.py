@@ -154,29 +154,35 @@ def linked(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def _hits(fps: np.ndarray, q: np.ndarray, rest: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the columns `rest` are within the radius of which queries `q`."""
+    p, bits = planes(fps[rest]), planes(fps[q])
+    # all ones where the query's bit is set, one row per query
+    flip = np.stack([np.where(_unpacked(bits[b], len(q)), ~np.uint64(0), np.uint64(0)) for b in range(64)])[:, :, None]
+    ok = within(lambda b: p[b][None, :] ^ flip[b], (len(q), p.shape[1]), radius)
+    return np.unpackbits(ok.view(np.uint8), axis=1, bitorder="little")[:, : len(rest)].astype(bool)
+
+
 def _linked_large(fps: np.ndarray, rest: np.ndarray, radius: int, at_once: int = 64):
-    """Links that span the components of one group: what a query has reached becomes a query, but
-    is never compared with others that were reached."""
-    frontier = rest[:0]
-    while len(rest):
-        fresh = not len(frontier)
-        q = rest[:at_once] if fresh else frontier[:at_once]
-        p, bits = planes(fps[rest]), planes(fps[q])
-        # all ones where the query's bit is set, one row per query
-        flip = np.stack([np.where(_unpacked(bits[b], len(q)), ~np.uint64(0), np.uint64(0)) for b in range(64)])[:, :, None]
-        ok = within(lambda b, p=p, flip=flip: p[b][None, :] ^ flip[b], (len(q), p.shape[1]), radius)
-        hit = np.unpackbits(ok.view(np.uint8), axis=1, bitorder="little")[:, : len(rest)].astype(bool)
-        a, b = np.nonzero(hit)
-        a, b = q[a], rest[b]
-        yield a[a != b], b[a != b]
-        reached = hit.any(0)
-        if fresh:
-            reached[:at_once] = False
-            frontier = rest[reached]
-            reached[:at_once] = True
-        else:
-            frontier = np.concatenate((frontier[at_once:], rest[reached]))
-        rest = rest[~reached]
+    """Links that span the components of one group.
+
+    A component is searched from one member: what it reaches becomes a query against the rest, and
+    is not compared with others that were reached.  Once a search finds a small component, the
+    remaining members are compared in blocks of queries."""
+    found = len(rest)
+    while len(rest) > at_once and found >= at_once:
+        frontier, rest, found = rest[:1], rest[1:], 1
+        while len(frontier) and len(rest):
+            q, frontier = frontier[:at_once], frontier[at_once:]
+            hit = _hits(fps, q, rest, radius)
+            reached = hit.any(0)
+            yield q[hit.argmax(0)[reached]], rest[reached]
+            frontier, rest = np.concatenate((frontier, rest[reached])), rest[~reached]
+            found += int(reached.sum())
+    while len(rest) > 1:
+        a, b = np.nonzero(_hits(fps, rest[:at_once], rest, radius))
+        a, b, rest = rest[a], rest[b], rest[at_once:]
+        yield a[a < b], b[a < b]
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
