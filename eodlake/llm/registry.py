@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from eodlake.llm import mixing, simhash, url_filter
+from eodlake.llm import decontaminate, licenses, mixing, simhash, suffix_dedup, tokens, url_filter
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_simhash": simhash.op2_simhash,
     "op3_url_filters": url_filter.op3_url_filters,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_token_counts": tokens.op5_token_counts,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
 }
 
 SQL = {
+    "op1_licenses": licenses.OP1_SQL,
     "op3_url_filters": url_filter.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
