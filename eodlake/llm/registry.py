@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eodlake.llm import decontaminate, licenses, mixing, simhash, suffix_dedup, tokens, url_filter
+from eodlake.llm import decontaminate, fingerprint, licenses, mixing, quality, simhash, suffix_dedup, tokens, url_filter
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_token_counts": tokens.op5_token_counts,
+    "op7_quality": quality.op7_quality,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
+    "op10_fingerprints": fingerprint.op10_fingerprints,
 }
 
 SQL = {
