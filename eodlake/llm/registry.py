@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eodlake.llm import decontaminate, fingerprint, licenses, mixing, quality, simhash, suffix_dedup, tokens, url_filter
+from eodlake.llm import decontaminate, fingerprint, licenses, mixing, quality, simhash, suffix_dedup, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_token_counts": tokens.op5_token_counts,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality": quality.op7_quality,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
