@@ -1,0 +1 @@
+"""Spark jobs over end-of-day exchange files: normalise, append, plan, and report coverage."""
