@@ -1 +1,10 @@
-"""Spark jobs over end-of-day exchange files: normalise, append, plan, and report coverage."""
+"""Spark jobs over end-of-day exchange files: normalise, append, plan, and report coverage.
+
+Functions that run in tasks are sent by value, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

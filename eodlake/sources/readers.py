@@ -43,7 +43,8 @@ def _first_csv(content: bytes) -> bytes | None:
 def read_raw(spark: SparkSession, path: str, spec: specs.SegmentSpec) -> DataFrame:
     """A folder of one segment's files, by `parse_files`."""
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
-    return parse_files(files, spec)
+    empty = empty_files(spark, path).select("file_name", F.lit(b"").alias("content"))
+    return parse_files(files.unionByName(empty), spec)
 
 
 def parse_files(files: DataFrame, spec: specs.SegmentSpec) -> DataFrame:
@@ -61,17 +62,17 @@ def parse_files(files: DataFrame, spec: specs.SegmentSpec) -> DataFrame:
             for name, content in zip(batch["file_name"], batch["content"], strict=True):
                 reason, header, rows = None, [], []
                 try:
-                    if zipped:
-                        content = _first_csv(bytes(content))
-                    if content is None:
-                        reason = "no csv member"
-                    elif not content:
+                    if not content:
                         reason = "empty file"
+                    elif zipped and (content := _first_csv(bytes(content))) is None:
+                        reason = "no csv member"
                     else:
                         header, rows = _csv_rows(bytes(content))
                 except (zipfile.BadZipFile, UnicodeDecodeError, csv.Error) as e:
                     reason = f"unreadable: {type(e).__name__}"
                 n = 1 if reason else len(rows)
+                if not n:
+                    continue
                 data = {}
                 for f in schema.fields:
                     at = header.index(f.name) if f.name in header else None
@@ -99,10 +100,25 @@ def read_holidays(spark: SparkSession, path: str, iso: bool = False) -> DataFram
     return parse_holidays(spark.read.text(path), "value", iso)
 
 
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, length, modificationTime) of files without a byte, which Spark's readers leave out.
+
+    Names come from the file system's own listing, as Spark's index of a folder does."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        if not f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+            found.append((f.getPath().getName(), 0, f.getModificationTime()))
+    df = spark.createDataFrame(found, "file_name string, length bigint, ms bigint")
+    return df.select("file_name", "length", F.timestamp_millis("ms").alias("modificationTime"))
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """Files below a folder, names and sizes only; `coverage.stored_files` reads their names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "modificationTime")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "modificationTime").unionByName(empty_files(spark, path))
 
 
 def read_normalized(spark: SparkSession, path: str, schema: str = specs.UNIFIED_SCHEMA) -> DataFrame:
