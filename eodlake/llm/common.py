@@ -49,19 +49,18 @@ def text_bytes(text: Column) -> Column:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]] | dict[str, list]], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]] | dict[str, list]], schema: str, rows: int = 2000
 ) -> DataFrame:
-    """mapInArrow with a function from a record batch to columns by name (or several of these)."""
+    """mapInArrow with a function from a record batch of at most `rows` rows to columns by name (or
+    several of these)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = fn(batch)
+        parts = (batch.slice(i, rows) for batch in batches for i in range(0, batch.num_rows, rows))
+        for out in map(fn, parts):
             for cols in [out] if isinstance(out, dict) else out:
                 yield pa.record_batch([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -38,6 +38,7 @@ from eodlake.llm.common import cut, map_batches, table, text_bytes
 
 LENGTH, K, SHALLOW, GROUP, SEGMENT = 100, 24, 16, 512, 1 << 20
 LAST = (1 << 63) - 1
+SETTLED = 1 << 57
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -136,22 +137,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def run_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """-> d, tk, start, kh, meta (48 bits of content, then `again`, then 7 bits of windows)."""
+    """-> d, tk, start, kh, meta (SETTLED, 48 bits of content, `again`, 7 bits of windows).
 
-    def run(batch: pa.RecordBatch):
+    Of equal runs in one batch only the first can be the first of all; the others are settled as
+    covered there and then, and go to partitions at random instead of to the task of their hash."""
+
+    def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         ids, tks, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        parts: list[tuple[np.ndarray, ...]] = []
         for some in _segments(texts, length):
             x = np.frombuffer(b"".join(t for _, _, t in some), np.uint8)
             ends = np.cumsum([len(t) for _, _, t in some])
             p, part, n, kh, content, again = runs(x, ends, length)
             begin = np.concatenate(([0], ends[:-1]))
             number, offset = (np.array([s[c] for s in some]) for c in (0, 1))
-            yield {
-                "d": ids[number[part]], "tk": tks[number[part]], "start": (p - begin[part] + offset[part]).astype(np.int32),
-                "kh": kh.view(np.int64), "meta": content << 8 | again.astype(np.int64) << 7 | n,
-            }
-
-    return map_batches(_keyed(docs), run, "d bigint, tk bigint, start int, kh bigint, meta bigint")
+            start = (p - begin[part] + offset[part]).astype(np.int32)
+            parts.append((ids[number[part]], tks[number[part]], start, kh.view(np.int64), content << 8 | again.astype(np.int64) << 7 | n))
+        if not parts:
+            return {c: [] for c in ("d", "tk", "start", "kh", "meta")}
+        d, tk, start, kh, meta = (np.concatenate(c) for c in zip(*parts, strict=True))
+        by = np.lexsort((start, tk, d, meta >> 8, kh))
+        same = (kh[by][1:] == kh[by][:-1]) & (meta[by][1:] >> 8 == meta[by][:-1] >> 8)
+        twin = (d[by][1:] == d[by][:-1]) & (tk[by][1:] == tk[by][:-1]) & (start[by][1:] == start[by][:-1])
+        # a row repeated whole does not cover itself: it is left to the shuffle
+        late = by[1:][same & ~twin]
+        kh[late] = _mix(kh[late].view(np.uint64) ^ _mix(d[late].view(np.uint64)) ^ start[late].astype(np.uint64)).view(np.int64)
+        meta[late] |= SETTLED
+        return {"d": d, "tk": tk, "start": start, "kh": kh, "meta": meta}
+
+    return map_batches(_keyed(docs), run, "d bigint, tk bigint, start int, kh bigint, meta bigint", rows=4000)
 
 
 def sort_runs(table: DataFrame) -> DataFrame:
@@ -166,8 +180,10 @@ def sort_runs(table: DataFrame) -> DataFrame:
         .withColumn("differ", F.min("content").over(hashed) != F.max("content").over(hashed))
     )
     again = F.col("meta").bitwiseAND(F.lit(128)) != 0
-    kept = ranked.where(~F.col("first") | F.col("differ") | again)
-    return kept.select("d", "tk", "start", F.col("meta").bitwiseAND(F.lit(127)).cast("int").alias("n"), "kh", F.col("first").alias("deep"), F.col("crowd").cast("int").alias("crowd"))
+    settled = F.col("meta").bitwiseAND(F.lit(SETTLED)) != 0
+    kept = ranked.where(~F.col("first") | F.col("differ") | again | settled)
+    n = F.col("meta").bitwiseAND(F.lit(127)).cast("int")
+    return kept.select("d", "tk", "start", n.alias("n"), "kh", (F.col("first") & ~settled).alias("deep"), F.col("crowd").cast("int").alias("crowd"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
