@@ -236,7 +236,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarra
     """Coefficients, the constant last; slopes are not below zero, so that more hits never lower a score."""
     a = np.column_stack((x, np.ones(len(x))))
     beta = np.zeros(a.shape[1])
-    beta[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else np.log(0.02)
+    if not len(y):
+        beta[-1] = np.log(0.02 / 0.98)
+        return beta
+    beta[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     penalty = np.array([ridge] * x.shape[1] + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
