@@ -58,9 +58,9 @@ class Cascade:
     listed: DataFrame | None = None  # set where the bits would exceed MAX_BITS
 
     @staticmethod
-    def _hashes(key: Column) -> tuple[Column, Column]:
-        # halves, so that sums of their multiples cannot overflow
-        return F.shiftright(F.xxhash64(key, F.lit(1)), 8), F.shiftright(F.xxhash64(key, F.lit(2)), 8)
+    def _hashes(key: Column, salt: int) -> tuple[Column, Column]:
+        """Other hashes at each level, or keys that meet once would always meet; cut short, so that sums of multiples cannot overflow."""
+        return F.shiftright(F.xxhash64(key, F.lit(2 * salt)), 8), F.shiftright(F.xxhash64(key, F.lit(2 * salt + 1)), 8)
 
     @classmethod
     def build(cls, keys: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
@@ -76,14 +76,14 @@ class Cascade:
             bits = 64 * max(1, -(-max(n, 1) * BITS_PER_KEY // 64))
             if bits > max_bits or n_level > MAX_LEVELS:
                 return cls([], keys.where("listed").select("key"))
-            out.levels.append((cut(cls._level(spark, rest.where(F.col("listed") == flag), bits), "level"), bits))
+            out.levels.append((cut(cls._level(spark, rest.where(F.col("listed") == flag), bits, n_level), "level"), bits))
             # the level's own keys go on (all pass it); of the others those that pass wrongly
-            rest = cut(rest.where((F.col("listed") == flag) | cls._passes(F.col("key"), *out.levels[-1])), "universe")
+            rest = cut(rest.where((F.col("listed") == flag) | cls._passes(F.col("key"), *out.levels[-1], n_level)), "universe")
             flag = not flag
 
     @classmethod
-    def _level(cls, spark: SparkSession, keys: DataFrame, bits: int) -> DataFrame:
-        h1, h2 = cls._hashes(F.col("key"))
+    def _level(cls, spark: SparkSession, keys: DataFrame, bits: int, salt: int) -> DataFrame:
+        h1, h2 = cls._hashes(F.col("key"), salt)
         at = keys.select(F.explode(F.array(*[_position(h1, h2, i, bits) for i in range(HASHES)])).alias("p"))
         words = at.groupBy(F.floor(F.col("p") / 64).cast("bigint").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
         # each word's row number is its place; words without keys are zero
@@ -91,8 +91,8 @@ class Cascade:
         return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))), lambda x: x["b"]).alias("bits"))
 
     @classmethod
-    def _passes(cls, key: Column, level: DataFrame, bits: int) -> Column:
-        h1, h2 = cls._hashes(key)
+    def _passes(cls, key: Column, level: DataFrame, bits: int, salt: int) -> Column:
+        h1, h2 = cls._hashes(key, salt)
         filled = level.scalar()
         tests = [
             F.getbit(F.element_at(filled, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1
@@ -104,7 +104,7 @@ class Cascade:
         """Exact for keys of the universe."""
         answer = F.lit(len(self.levels) % 2 == 1)
         for i in range(len(self.levels) - 1, -1, -1):
-            answer = F.when(~self._passes(key, *self.levels[i]), F.lit(i % 2 == 1)).otherwise(answer)
+            answer = F.when(~self._passes(key, *self.levels[i], i + 1), F.lit(i % 2 == 1)).otherwise(answer)
         return answer
 
 
