@@ -6,8 +6,8 @@ the ratio of its probabilities under both; the documents kept are a sample witho
 these weights, drawn by Gumbel top-k: log weight + Gumbel noise, the k largest.
 
 The raw model counts every n-gram of every document.  The target model is fitted on at most
-`FIT_ROWS` good documents, chosen by a hash of their id, and the cut that sets k on as many of each label: k is
-the number of documents whose log weight reaches the cut.  Both models have `BUCKETS` numbers.
+`FIT_ROWS` good documents, chosen by a hash of their id; one in `PARTS` of them is left out, and sets, with as many bad ones at
+most, the cut: k is the number of documents whose log weight reaches it.  Both models have `BUCKETS` numbers.
 The noise is a hash of id and text, so reruns agree.  The k-th key is found by counting keys in bins, ever finer.
 
 Defined results: a null or empty text has log weight 0; null ids are carried; labels that are null
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from eodlake.llm.common import cut, map_batches, table, text_bytes
 
-BUCKETS, FIT_ROWS, SMOOTH, TEMPERATURE, SEED, BINS, FEW = 1 << 14, 20_000, 1.0, 1.0, 7, 1024, 4096
+BUCKETS, FIT_ROWS, PARTS, SMOOTH, TEMPERATURE, SEED, BINS, FEW = 1 << 14, 20_000, 4, 1.0, 1.0, 7, 1024, 4096
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x7f-\xff]+")
 
 
@@ -80,8 +80,9 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
     """-> log ratio by bucket, cut of the log weight between good and bad labels."""
     good, bad = cut(_labelled(labels, 1, rows), "good"), cut(_labelled(labels, 0, rows), "bad")
-    ratio = log_ratio(counts(_texts_of(docs, good)), counts(docs.select(text_bytes(F.col("text")).alias("text"))))
-    seen = [np.array([r[0] for r in _scored(_texts_of(docs, ids).withColumn("doc_id", F.lit(0).cast("bigint")), ratio).select("log_weight").collect()]) for ids in (good, bad)]
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))  # the cut is set on other documents than the model
+    ratio = log_ratio(counts(_texts_of(docs, good.where(part > 0))), counts(docs.select(text_bytes(F.col("text")).alias("text"))))
+    seen = [np.array([r[0] for r in _scored(_texts_of(docs, ids).withColumn("doc_id", F.lit(0).cast("bigint")), ratio).select("log_weight").collect()]) for ids in (good.where(part == 0), bad)]
     return ratio, best_cut(*seen)
 
 
@@ -95,12 +96,21 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cuts[loss.argmin()])
 
 
+def weights(texts: pa.Array, ratio: np.ndarray) -> tuple[list[int], list[float]]:
+    n, weight = [], []
+    for t in texts:
+        found = ngrams(t.as_py())
+        n.append(len(found))
+        weight.append(float(ratio[found].sum()))
+    return n, weight
+
+
 def _scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """(doc_id, text BINARY) -> doc_id, tk, n_grams, log_weight."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        found = [ngrams(t.as_py()) for t in batch.column(1)]
-        return {"doc_id": batch.column(0), "tk": batch.column(2), "n_grams": [len(x) for x in found], "log_weight": [float(ratio[x].sum()) for x in found]}
+        n, weight = weights(batch.column(1), ratio)
+        return {"doc_id": batch.column(0), "tk": batch.column(2), "n_grams": n, "log_weight": weight}
 
     some = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
     return map_batches(some, run, "doc_id bigint, tk bigint, n_grams bigint, log_weight double")
@@ -135,21 +145,37 @@ def kth_largest(keys: DataFrame, k: int) -> float:
         part = keys.where(F.col("key").between(F.lit(low), F.lit(high)))
 
 
-def weigh(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
-    """-> doc_id, tk (hash of the text), n_grams, log_weight, key, kept."""
+def _sampled(docs: DataFrame, labels: DataFrame, rows: int, temperature: float) -> tuple[DataFrame, np.ndarray, float]:
+    """-> scored documents with their keys, log ratio by bucket, the smallest key that is kept."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ratio, limit = fit(docs, labels, rows)
     scored = _scored(docs.select("doc_id", text_bytes(F.col("text")).alias("text")), ratio)
     keys = cut(scored.withColumn("key", F.col("log_weight") / temperature + gumbel("doc_id", "tk")), "keys")
     k = keys.where(F.col("log_weight") >= F.lit(limit)).count()
-    return keys.withColumn("kept", F.col("key") >= F.lit(kth_largest(keys, k)))
+    return keys, ratio, kth_largest(keys, k)
+
+
+def weigh(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
+    """-> doc_id, tk (hash of the text), n_grams, log_weight, key, kept."""
+    keys, _, least = _sampled(docs, labels, rows, temperature)
+    return keys.withColumn("kept", F.col("key") >= F.lit(least))
 
 
 def keep(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
-    """`docs` that the sample keeps."""
-    kept = weigh(docs, labels, rows, temperature).where("kept").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(text_bytes(F.col("text"))))
-    return keyed.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tk")), "left_semi").select(*docs.columns)
+    """`docs` that the sample keeps.  The keys are computed again where the rows are, which is cheaper
+    than to shuffle the texts to their keys."""
+    _, ratio, least = _sampled(docs, labels, rows, temperature)
+    noisy = docs.withColumn("_noise", gumbel(F.col("doc_id").cast("bigint"), F.xxhash64(text_bytes(F.col("text")))))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, weight = weights(batch.column(at).fill_null("").cast(pa.binary()), ratio)
+            last = batch.num_columns - 1
+            key = np.array(weight, float) / temperature + batch.column(last).to_numpy()
+            yield batch.filter(pa.array(key >= least)).select(range(last))
+
+    return noisy.mapInArrow(run, docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
