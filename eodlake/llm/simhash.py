@@ -12,6 +12,9 @@ A bucket of more than `TILE` fingerprints is split into tiles, and every pair of
 of its own: no task holds a whole bucket and no link is lost.  A group gives links that span its
 components, never all of its pairs.
 
+The pipeline's stage (`keep_first`) goes by the exact similarity of shingle sets: fingerprints only
+propose pairs there, and a prefix filter over rare shingles finds those that they miss.
+
 Defined results: a null or blank text has fingerprint zero and links like any other; texts of
 fewer words than a shingle are one shingle; repeated rows come back each; a null id is no
 component's smallest (a component of null ids only is null); an empty table gives an empty result;
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from eodlake.llm.common import components, cut, map_batches, table, text_bytes
 
-SEED, TILE, CHUNK, AT_ONCE = 42, 1024, 1 << 15, 1 << 17
+SEED, TILE, CHUNK, AT_ONCE, THRESHOLD = 42, 1024, 1 << 15, 1 << 17, 0.8
 
 
 def shingle_hashes(words: list[bytes], n: int, seed: int = SEED) -> list[int]:
@@ -255,13 +258,161 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seeds: t
     return fps.join(named, fps["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 17, seeds: tuple[int, ...] = (SEED, SEED + 1), block_radius: int = 8, blocks: int = 10) -> DataFrame:
-    """`docs` without the documents that link to one of a smaller id; of rows that share the id, one
-    stays.  Rows of a null id stay.
+def _need(threshold: float, n: Column) -> Column:
+    """The least whole number of `n` shingles that is `threshold` of them."""
+    return F.ceil(F.lit(threshold) * n - 1e-9)
+
+
+def shingle_sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> doc_id, h ARRAY<BIGINT>: the different shingles' hashes, in order."""
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        return {"doc_id": batch.column(0), "h": [_distinct(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]}
+
+    return map_batches(docs.select(F.col(id_col).cast("bigint"), text_bytes(F.col(text_col)).alias("text")), run, "doc_id bigint, h array<bigint>")
+
+
+def _distinct(text: bytes, shingle: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text.lower().split(), shingle), np.uint64))
 
-    Fingerprints have 128 bits here: the share of differing bits follows the similarity twice as
-    closely, and unrelated texts never come near the radius."""
-    found = near_duplicates(docs, shingle, radius, seeds, block_radius, blocks)
+
+def _digest(h: np.ndarray) -> tuple[int, bytes]:
+    """A set's node number, and what tells sets apart."""
+    full = xxhash.xxh3_128_digest(h.tobytes())
+    return int.from_bytes(full[:8], "little", signed=True), full
+
+
+def _nodes(docs: DataFrame, shingle: int, seeds: tuple[int, ...]) -> DataFrame:
+    """-> doc_id, fp, digest, node, n (different shingles) of each document with an id."""
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        out = {"doc_id": batch.column(0), "fp": [], "node": [], "digest": [], "n": []}
+        for t in batch.column(1):
+            words = t.as_py().lower().split()
+            hashes = [shingle_hashes(words, shingle, s) for s in seeds]
+            own = np.unique(np.array(hashes[0] if seeds[0] == SEED else shingle_hashes(words, shingle), np.uint64))
+            node, digest = _digest(own)
+            out["fp"].append(np.array([majority_bits(h) for h in hashes], np.uint64).view(np.int64))
+            out["node"].append(node)
+            out["digest"].append(digest)
+            out["n"].append(len(own))
+        return out
+
+    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), text_bytes(F.col("text")).alias("text"))
+    return map_batches(source, run, "doc_id bigint, fp array<bigint>, node bigint, digest binary, n bigint")
+
+
+def _repeated(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
+    """-> node, h, df: the shingles that `df` > 1 different sets hold.
+
+    Shingles go to `parts` parts by their hash, those of a batch and part as one row of bytes."""
+
+    def packed(batch: pa.RecordBatch):
+        sets = [_distinct(t.as_py(), shingle) for t in batch.column(0)]
+        h = np.concatenate([*sets, np.empty(0, np.uint64)])
+        node = np.repeat(np.array([_digest(s)[0] for s in sets], np.int64), [len(s) for s in sets])
+        part = (h % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        h, node, part = h[order], node[order], part[order]
+        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(h) else np.empty(0, np.int64)
+        ends = [*at[1:].tolist(), len(h)]
+        out = {"part": part[at], "h": [], "nodes": [], "places": []}
+        for a, b in zip(at.tolist(), ends, strict=False):
+            own, place = np.unique(node[a:b], return_inverse=True)
+            out["h"].append(h[a:b].tobytes())
+            out["nodes"].append(own.tobytes())
+            out["places"].append(place.astype("<u2").tobytes())  # a batch has fewer rows
+        return out
+
+    def counted(batch: pa.RecordBatch):
+        for row in batch.column(0):
+            rows = row.as_py()
+            h = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows])
+            node = np.concatenate([np.frombuffer(r["nodes"], np.int64)[np.frombuffer(r["places"], "<u2")] for r in rows])
+            order = np.lexsort((node, h))
+            h, node = h[order], node[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))  # equal texts hold a shingle once
+            h, node = h[new], node[new]
+            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            df = np.repeat(np.diff(np.append(at, len(h))), np.diff(np.append(at, len(h))))
+            yield {"node": node[df > 1], "h": h[df > 1].view(np.int64), "df": df[df > 1]}
+
+    texts = docs.where(F.col("doc_id").isNotNull()).select(text_bytes(F.col("text")).alias("text"))
+    pieces = map_batches(texts, packed, "part bigint, h binary, nodes binary, places binary")
+    lists = pieces.groupBy("part").agg(F.collect_list(F.struct("h", "nodes", "places")).alias("rows"))
+    return map_batches(lists.select("rows"), counted, "node bigint, h bigint, df bigint")
+
+
+def _prefixes(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """-> h, node, n: the rarest shingles of each set, as many as a set of similarity `threshold` cannot do without.
+
+    Shingles that no other set holds come first and meet nothing; so most sets have none left."""
+    parts = max(1, (nodes.agg(F.sum("n")).first()[0] or 0) >> 19)
+    held = _repeated(docs, shingle, parts).groupBy("node").agg(F.collect_list(F.struct("df", "h")).alias("l"))
+    own = held.join(nodes.select("node", "n"), "node")
+    left = F.size("l") - _need(threshold, F.col("n")) + 1
+    return own.where(left > 0).select("node", "n", F.explode(F.slice(F.array_sort("l"), 1, left.cast("int"))).alias("s")).select(F.col("s.h").alias("h"), "node", "n")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a similarity (Jaccard) of `threshold` or more."""
+    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = cut(nodes.join(ends, "node", "left_semi").select("node", "id"), "asked")
+    texts = docs.join(asked.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = cut(shingle_sets(texts, shingle).join(asked, F.col("doc_id") == F.col("id")).select("node", "h"), "sets")
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("_b")), "b")
+    both = F.size(F.array_intersect("_a", "_b"))
+    return met.where(both >= F.lit(threshold) * (F.size("_a") + F.size("_b") - both) - 1e-9).select("a", "b")
+
+
+def similar(
+    docs: DataFrame, shingle: int, radius: int, seeds: tuple[int, ...], block_radius: int, blocks: int, threshold: float = THRESHOLD
+) -> DataFrame:
+    """-> doc_id, component_id: the smallest id reachable over pairs of similarity `threshold` or more.
+
+    Fingerprints' links and, for each shingle of the prefixes, the pairs with one set are verified first.
+    Of the pairs that share a prefix shingle, which are all that can be similar, only those that are
+    not in one component by then are verified after that: a large group of copies never gives all of its pairs."""
+    rows = cut(_nodes(docs, shingle, seeds), "fingerprints")
+    nodes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("node").alias("node"), F.first("n").alias("n"), F.min("fp").alias("fp")), "nodes")
+    prefixes = cut(_prefixes(docs, nodes, shingle, threshold), "prefixes")
+    one = cut(nodes.groupBy("fp").agg(F.min("node").alias("id")), "fingerprints")
+    same = nodes.select("fp", F.col("node").alias("a")).join(one.select("fp", F.col("id").alias("b")), "fp").select("a", "b")
+    heads = prefixes.groupBy("h").agg(F.min_by("node", F.xxhash64("h", "node")).alias("b"), F.count("*").alias("_n")).where("_n > 1")
+    stars = prefixes.join(heads, "h").select(F.col("node").alias("a"), "b")
+    twins = rows.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_b")).where("b < _b")
+    twins = rows.join(twins, "doc_id").select(F.col("node").alias("a"), "b")  # texts of one id go together
+    found = _verified(links(one, radius, len(seeds), block_radius, blocks).union(same).union(stars), docs, nodes, shingle, threshold)
+    first = components(found.union(twins))
+    named = nodes.join(first, "node", "left").select("node", "digest", "id", F.coalesce("component", "node").alias("part"))
+    named = cut(named, "parts")
+    # pairs of different parts only: parts of a shingle first, then their sets
+    held = cut(prefixes.join(named.select("node", "part"), "node"), "prefixes")
+    parts = held.select("h", "part").distinct()
+    mixed = parts.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+    parts = parts.join(mixed, "h")
+    across = parts.select("h", F.col("part").alias("p")).join(parts.select("h", F.col("part").alias("q")), "h").where("p < q")
+    left = held.select("h", F.col("part").alias("p"), F.col("node").alias("a"), F.col("n").alias("_a"))
+    right = held.select("h", F.col("part").alias("q"), F.col("node").alias("b"), F.col("n").alias("_b"))
+    sizes = F.least("_a", "_b") >= _need(threshold, F.greatest("_a", "_b"))
+    rest = across.join(left, ["h", "p"]).join(right, ["h", "q"]).where(sizes).select("a", "b")
+    more = _verified(rest, docs, nodes, shingle, threshold)
+    a, b = (named.select(F.col("node").alias(x), F.col("part").alias(f"_{x}")) for x in "ab")
+    joined = components(more.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    whole = named.join(joined, named["part"] == joined["node"], "left").select("digest", "id", F.coalesce("component", "part").alias("whole"))
+    least = whole.join(whole.groupBy("whole").agg(F.min("id").alias("component_id")), "whole").select("digest", "component_id")
+    return rows.select("doc_id", "digest").join(least, "digest").select("doc_id", "component_id")
+
+
+def keep_first(
+    docs: DataFrame, shingle: int = 5, radius: int = 17, seeds: tuple[int, ...] = (SEED, SEED + 1), block_radius: int = 8, blocks: int = 10, threshold: float = THRESHOLD
+) -> DataFrame:
+    """`docs` without the documents that are joined to one of a smaller id by pairs of shingle sets of
+    similarity `threshold` or more; of rows that share the id, one stays.  Rows of a null id stay.
+
+    Every such pair counts, whatever the fingerprints say (`similar`)."""
+    found = similar(docs, shingle, radius, seeds, block_radius, blocks, threshold)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
     twins = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

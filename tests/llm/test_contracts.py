@@ -180,6 +180,26 @@ def test_stage_drops_near_copies_only(spark):
     assert got == brute_components(sorted(fps), linked)
 
 
+@pytest.mark.parametrize("group", [1, 30])
+def test_stage_is_exact_at_its_threshold(spark, group):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    common, rows = [word() for _ in range(40)], [(500, None), (501, " "), (502, "two words"), (503, "Two WORDS"), (504, "two word")]
+    for i in range(40 // group + 1):
+        w = [word() for _ in range(r.choice([20, 120, 300]))] + common
+        rows.append((1000 * i, " ".join(w)))
+        for j in range(1, 1 + max(2, group)):  # similarities about 0.8
+            x = list(w)
+            for at in r.sample(range(len(x)), max(1, round(len(x) * r.uniform(0.005, 0.04)))):
+                x[at] = word()
+            rows.append((1000 * i + j, " ".join(x)))
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))} for i, w in ((i, (t or "").lower().split()) for i, t in rows)}
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    low = brute_components(sorted(sets), [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+    got = {x["doc_id"] for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i in low if low[i] == i}
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1001), (1001, 1001), (1001, 1000)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
