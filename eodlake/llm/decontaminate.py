@@ -1,8 +1,9 @@
 """Benchmark decontamination: item-sized windows, their SimHash, and exact verification.
 
-An item of n words is held against every window of n words of a document.  A window that shares no
+An item of n words is held against every window of n words of a document, and against the whole of
+a document of fewer words.  A window that shares no
 5-word shingle with the item has similarity 0, and a window of similarity `threshold` shares at
-least 2 t / (1 + t) of the shingles; so windows are looked for only where that many of the item's
+least t / (1 + t) of the two's shingles; so windows are looked for only where that many of the item's
 shingles stand, which loses nothing.  Each such window gets the SimHash of its weighted shingles.
 Multi-index Hamming blocks list the items whose fingerprint is within `radius` in full: with B blocks, one block differs in at most radius / B
 bits, so each block's values are expanded by that many bits.  What is found is verified exactly: weighted Jaccard similarity, sum of minima over sum of maxima of shingle counts.
@@ -120,14 +121,15 @@ class Benchmark:
                         hits.setdefault(item, []).append(p)
         for item, places in hits.items():
             size = self.sizes[item]
-            n = max(size - SHINGLE, 0) + 1  # shingles of a window
-            need = int(np.ceil(2 * self.threshold / (1 + self.threshold) * n - 1e-9))
+            n = max(size - SHINGLE, 0) + 1  # shingles of the item
+            m = max(min(size, len(words)) - SHINGLE, 0) + 1  # of a window; a shorter document is one window
+            need = int(np.ceil(self.threshold / (1 + self.threshold) * (n + m) - 1e-9))
             if len(places) < need:
                 continue
             at = np.array(places)
             # windows [s, s + n) of shingle places with at least `need` hits, s around these
             s = np.unique(np.concatenate([at - i for i in range(n)])) if len(at) <= 64 else np.arange(max(at[0] - n, 0), at[-1] + 1)
-            s = s[(s >= 0) & (s + size <= len(words))]
+            s = s[(s >= 0) & (s <= max(len(words) - size, 0))]
             enough = np.searchsorted(at, s + n) - np.searchsorted(at, s) >= need
             for p in s[enough].tolist():
                 yield item, p
@@ -143,7 +145,8 @@ class Benchmark:
                 counts = Counter(shingles_of(words[p : p + size]))
                 seen[p, size] = counts, set(self.index.near(weighted_simhash(counts)))
             counts, near = seen[p, size]
-            if item in near and (sim := similarity(counts, self.counts[item])) >= self.threshold and sim > best.get(item, (0.0, 0))[0]:
+            # a few shingles against a few more can differ beyond the radius: there the exact similarity decides alone
+            if (item in near or size > len(words)) and (sim := similarity(counts, self.counts[item])) >= self.threshold and sim > best.get(item, (0.0, 0))[0]:
                 best[item] = sim, p
         return [(item, p, sim) for item, (sim, p) in best.items()]
 
@@ -174,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
             known = Benchmark(sent.value, threshold, radius)
             for batch in batches:
                 rows = [
-                    (d, known.ids[item], p, known.sizes[item], sim)
+                    (d, known.ids[item], p, min(known.sizes[item], len(words_of(t.as_py()))), sim)
                     for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
                     for item, p, sim in known.search(t.as_py())
                 ]

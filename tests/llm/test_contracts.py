@@ -507,6 +507,23 @@ def test_leaks(spark, empty):
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.without_leaks(docs, benchmark.where("false")).count() == 101
 
 
+def test_leaks_of_shorter_documents(spark):
+    r = random.Random(31)
+    items = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))) for i, n in enumerate([3, 9, 9, 12, 20, 40, 100])]
+    rows = [(100 * i + 10 * a + b, " ".join(t.split()[a : len(t.split()) - b])) for i, t in items for a in range(4) for b in range(4)]
+    want = {}
+    for d, t in rows:
+        w = t.encode().split()
+        for i, text in items:
+            iw = text.encode().split()
+            sim = decontaminate.similarity(Counter(decontaminate.shingles_of(w)), Counter(decontaminate.shingles_of(iw)))
+            if len(w) <= len(iw) and sim >= 0.8:
+                want[d, i] = sim
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]): x["similarity"] for x in found} == want and len(want) > 40
+    assert {x["doc_id"]: x["n_words"] for x in found} == {d: len(t.split()) for d, t in rows if any(d == k for k, _ in want)}
+
+
 def test_multi_index_finds_all_within_radius():
     r = random.Random(9)
     fps = [r.getrandbits(64) for _ in range(200)]
