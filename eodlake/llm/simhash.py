@@ -347,7 +347,7 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float)
     """-> h, node, n: the rarest shingles of each set, as many as a set of similarity `threshold` cannot do without.
 
     Shingles that no other set holds come first and meet nothing; so most sets have none left."""
-    parts = max(1, (nodes.agg(F.sum("n")).first()[0] or 0) >> 19)
+    parts = max(1, (nodes.agg(F.sum("n")).first()[0] or 0) >> 17)
     held = _repeated(docs, shingle, parts).groupBy("node").agg(F.collect_list(F.struct("df", "h")).alias("l"))
     own = held.join(nodes.select("node", "n"), "node")
     left = F.size("l") - _need(threshold, F.col("n")) + 1
