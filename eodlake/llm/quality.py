@@ -1,16 +1,18 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams (words, signs and their pairs; equal neighbours are one
-n-gram of their own): one of documents labelled good, one of all documents.  A document's weight is
-the ratio of its probabilities under both; the documents kept are a sample without replacement by
-these weights, drawn by Gumbel top-k: log weight + Gumbel noise, the k largest.
+n-gram of their own): one of documents labelled good, one of all documents.  A document's log weight is
+the log ratio of its probabilities under both.  Taken whole it grows with the length, and noise of a few units would
+choose nothing: the sample would be the plain top k.  So documents are weighed by the mean per n-gram
+over `TEMPERATURE`, in which usual texts lie within a few units.  The documents kept are a sample without
+replacement by these weights, drawn by Gumbel top-k: weight + Gumbel noise, the k largest.
 
 The raw model counts every n-gram of every document.  The target model is fitted on at most
 `FIT_ROWS` good documents, chosen by a hash of their id; one in `PARTS` of them is left out, and sets, with as many bad ones at
-most, the cut: k is the number of documents whose log weight reaches it.  Both models have `BUCKETS` numbers.
+most, the cut: k is the number of documents whose mean reaches it.  Both models have `BUCKETS` numbers.
 The noise is a hash of id and text, so reruns agree.  The k-th key is found by counting keys in bins, ever finer.
 
-Defined results: a null or empty text has log weight 0; null ids are carried; labels that are null
+Defined results: a null or empty text has log weight and mean 0; a very long text is counted whole, a batch of texts at once; null ids are carried; labels that are null
 or of no document are ignored, several for one id count as their largest; without good labels
 all weights are 1, and without bad ones everything is kept; equal keys at the cut are kept together; repeated rows get the
 same key; an empty table gives an empty result; extra columns are ignored by `weigh` and carried by `keep`.
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eodlake.llm.common import cut, map_batches, table, text_bytes
+from eodlake.llm.common import cut, map_batches, table, text_bytes, unused
 
-BUCKETS, FIT_ROWS, PARTS, SMOOTH, TEMPERATURE, SEED, BINS, FEW = 1 << 14, 20_000, 4, 1.0, 1.0, 7, 1024, 4096
+BUCKETS, FIT_ROWS, PARTS, SMOOTH, TEMPERATURE, SEED, BINS, FEW = 1 << 14, 20_000, 4, 1.0, 0.1, 7, 1024, 4096
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x7f-\xff]+")
 
 
@@ -78,11 +80,11 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """-> log ratio by bucket, cut of the log weight between good and bad labels."""
+    """-> log ratio by bucket, cut of the mean between good and bad labels."""
     good, bad = cut(_labelled(labels, 1, rows), "good"), cut(_labelled(labels, 0, rows), "bad")
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))  # the cut is set on other documents than the model
     ratio = log_ratio(counts(_texts_of(docs, good.where(part > 0))), counts(docs.select(text_bytes(F.col("text")).alias("text"))))
-    seen = [np.array([r[0] for r in _scored(_texts_of(docs, ids).withColumn("doc_id", F.lit(0).cast("bigint")), ratio).select("log_weight").collect()]) for ids in (good.where(part == 0), bad)]
+    seen = [np.array([r[0] for r in _scored(_texts_of(docs, ids).withColumn("doc_id", F.lit(0).cast("bigint")), ratio).select("mean").collect()]) for ids in (good.where(part == 0), bad)]
     return ratio, best_cut(*seen)
 
 
@@ -105,19 +107,23 @@ def weights(texts: pa.Array, ratio: np.ndarray) -> tuple[list[int], list[float]]
     return n, weight
 
 
+def means(n: list[int], weight: list[float]) -> np.ndarray:
+    return np.array(weight, float) / np.maximum(np.array(n, float), 1)
+
+
 def _scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, text BINARY) -> doc_id, tk, n_grams, log_weight."""
+    """(doc_id, text BINARY) -> doc_id, tk, n_grams, log_weight, mean."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         n, weight = weights(batch.column(1), ratio)
-        return {"doc_id": batch.column(0), "tk": batch.column(2), "n_grams": n, "log_weight": weight}
+        return {"doc_id": batch.column(0), "tk": batch.column(2), "n_grams": n, "log_weight": weight, "mean": means(n, weight)}
 
     some = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
-    return map_batches(some, run, "doc_id bigint, tk bigint, n_grams bigint, log_weight double")
+    return map_batches(some, run, "doc_id bigint, tk bigint, n_grams bigint, log_weight double, mean double")
 
 
-def gumbel(*of: Column) -> Column:
-    u = (F.xxhash64(*of, F.lit(SEED)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / F.lit(float(1 << 52))
+def gumbel(seed: int, *of: Column) -> Column:
+    u = (F.xxhash64(*of, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / F.lit(float(1 << 52))
     return -F.log(-F.log(u))
 
 
@@ -145,34 +151,35 @@ def kth_largest(keys: DataFrame, k: int) -> float:
         part = keys.where(F.col("key").between(F.lit(low), F.lit(high)))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, rows: int, temperature: float) -> tuple[DataFrame, np.ndarray, float]:
+def _sampled(docs: DataFrame, labels: DataFrame, rows: int, temperature: float, seed: int) -> tuple[DataFrame, np.ndarray, float]:
     """-> scored documents with their keys, log ratio by bucket, the smallest key that is kept."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ratio, limit = fit(docs, labels, rows)
     scored = _scored(docs.select("doc_id", text_bytes(F.col("text")).alias("text")), ratio)
-    keys = cut(scored.withColumn("key", F.col("log_weight") / temperature + gumbel("doc_id", "tk")), "keys")
-    k = keys.where(F.col("log_weight") >= F.lit(limit)).count()
+    keys = cut(scored.withColumn("key", F.col("mean") / temperature + gumbel(seed, F.col("doc_id"), F.col("tk"))), "keys")
+    k = keys.where(F.col("mean") >= F.lit(limit)).count()
     return keys, ratio, kth_largest(keys, k)
 
 
-def weigh(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
-    """-> doc_id, tk (hash of the text), n_grams, log_weight, key, kept."""
-    keys, _, least = _sampled(docs, labels, rows, temperature)
+def weigh(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """-> doc_id, tk (hash of the text), n_grams, log_weight, mean, key, kept."""
+    keys, _, least = _sampled(docs, labels, rows, temperature, seed)
     return keys.withColumn("kept", F.col("key") >= F.lit(least))
 
 
-def keep(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """`docs` that the sample keeps.  The keys are computed again where the rows are, which is cheaper
     than to shuffle the texts to their keys."""
-    _, ratio, least = _sampled(docs, labels, rows, temperature)
-    noisy = docs.withColumn("_noise", gumbel(F.col("doc_id").cast("bigint"), F.xxhash64(text_bytes(F.col("text")))))
+    _, ratio, least = _sampled(docs, labels, rows, temperature, seed)
+    (noise,) = unused(docs.columns, "noise")
+    noisy = docs.withColumn(noise, gumbel(seed, F.col("doc_id").cast("bigint"), F.xxhash64(text_bytes(F.col("text")))))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, weight = weights(batch.column(at).fill_null("").cast(pa.binary()), ratio)
+            found = weights(batch.column(at).fill_null("").cast(pa.binary()), ratio)
             last = batch.num_columns - 1
-            key = np.array(weight, float) / temperature + batch.column(last).to_numpy()
+            key = means(*found) / temperature + batch.column(last).to_numpy()
             yield batch.filter(pa.array(key >= least)).select(range(last))
 
     return noisy.mapInArrow(run, docs.schema)
