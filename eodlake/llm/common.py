@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of the corpus operators: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What a task hands to Python at once while a step is written.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,24 +23,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share.  Where none is set, a temporary one is made on a
+    single machine (a local master); on a cluster that is an error, as executors would write to their own disks."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="spark-eodlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches bounded by rows and bytes; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends there, and an
     executor that is lost later loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """Names for helper columns that are not among `columns` (upper and lower case count as equal)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -67,11 +100,11 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b LONG) as (node, component): the smallest node reachable.
 
-    Alternates large-star and small-star steps, so the rounds grow with the logarithm of a
-    component's diameter.  Every round is one written table; minima are combined before the
+    Alternates large-star and small-star steps until nothing changes; the rounds grow with the
+    logarithm of a component's diameter.  Every round is one written table; minima are combined before the
     shuffle, and the join back on a hub can be split by adaptive execution.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -82,7 +115,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "links",
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # large star: neighbours above a node move to the smallest of its neighbourhood
         sym = both(e)
         low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -103,8 +136,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -5,19 +5,22 @@ id, or the same document further left).  Only the start matters of each such str
 
 1. Each window is assigned to the smallest hash of the k-byte strings in it.  Neighbouring windows
    mostly share it, so a document falls into runs of about forty windows, and equal windows anywhere
-   belong to runs of the same hash.  Runs (not windows or texts) are shuffled, by that hash.
-2. Among the runs of a hash, equal runs are settled at once: all but the first are covered.
-   What is left are runs that differ somewhere, such as at the edges of a shared passage.
-3. Only those are brought together with their bytes.  Their suffixes are ordered by a multikey
-   sort of the first `SHALLOW` bytes; suffixes still tied go to a blind trie, which branches on the
-   bytes that tell its members apart, and compares a newcomer with one leaf only.
-   Hashes with more than `GROUP` such runs are not collected: their windows are ranked by a
-   digest in a window function that can spill.
+   belong to runs of the same hash.  What is shuffled by hash is packed: five bytes of hash, a place and a
+   length per run.  Runs whose hash is met once end there.
+2. The others, with their bytes, come together by hash.  Hashes only group: the bytes decide.
+   Runs are ordered by a multikey sort of their lengths and first `SHALLOW` bytes; those still tied go to a blind trie, which
+   branches on the bytes that tell its members apart, and compares a newcomer with one leaf only.
+   A run that is equal to an earlier one is covered as a whole.
+3. The windows of the runs that are left in a group (such as at the edges of a shared passage) are ordered in the
+   same way, shallow sort first and blind tries below it.
 4. Covered windows come back per document, and the texts, compressed for the shuffle, meet them once.
 
-Equal runs are recognised by 112 bits of hashes, windows of crowded hashes by 128; all others by their bytes.
+Of equal runs in one batch of documents (compared byte by byte) only the first travels.  A hash with more than `SPLIT` runs is dealt to
+several groups by a salt; runs that are equal to one in their group end there, and the windows of the others are
+ordered by their whole strings in a Spark aggregate, so no task holds more than its share of a hash.
 
-Defined results: a null text is empty; texts under `length` bytes keep everything; a null id sorts
+Defined results: a null text is empty; texts under `length` bytes keep everything; a very long text is taken in overlapping segments
+of `SEGMENT` bytes; equal strings that start at once in rows of one place (a row repeated whole) do not cover each other; a null id sorts
 after all others; rows that share the id are ordered by a hash of their text, and rows repeated
 whole count as one document, reported each; an empty table gives an empty result; extra columns
 are ignored by `repeats` and carried by `without_repeats`.
@@ -26,19 +29,23 @@ are ignored by `repeats` and carried by `without_repeats`.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eodlake.llm.common import cut, map_batches, table, text_bytes
+from eodlake.llm.common import cut, map_batches, table, text_bytes, unused
 
-LENGTH, K, SHALLOW, GROUP, SEGMENT = 100, 24, 16, 512, 1 << 20
+LENGTH, K, SHALLOW, SPLIT, SEGMENT = 100, 24, 16, 4096, 1 << 18
+#: Runs whose hashes, and bytes of runs, that one task holds at once.
+PART_RUNS, PART_BYTES = 1 << 19, 16 << 20
 LAST = (1 << 63) - 1
-SETTLED = 1 << 57
+#: Bits of the hash that travel; the bits above them choose the part.
+BITS = 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -82,7 +89,7 @@ def runs(x: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> t
     """Runs of the texts that stand one after another in `x`, with these ends.
 
     -> first window's position, text number, windows (at most length - k + 1), hash of the run's
-    k-byte string, hash of the run's bytes (48 bits), whether windows inside it can be equal."""
+    k-byte string, hash of the run's bytes, whether windows inside it can be equal."""
     w = length - k + 1
     starts = np.concatenate(([0], ends[:-1]))
     n_win = np.maximum(ends - starts - length + 1, 0)
@@ -92,6 +99,7 @@ def runs(x: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> t
         return none, none, none, none.astype(np.uint64), none, none.astype(bool)
     roll = _Rolling(x)
     order, whole = _mix(roll.of(k)), roll.of(length)
+    del roll
     low = _sliding_min(order, w)
     text = np.repeat(np.arange(len(ends)), n_win)
     at = np.arange(total) - np.repeat(np.cumsum(n_win) - n_win, n_win) + starts[text]
@@ -109,8 +117,8 @@ def runs(x: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> t
     i = first[run] + skip
     n = np.minimum(size[run] - skip, w)
     p, q = at[i], at[i + n - 1]
-    content = _mix(whole[p] + _mix(whole[q] ^ (n.astype(np.uint64) << np.uint64(56)))) >> np.uint64(16)
-    return p, text[i], n, low_at[i], content.astype(np.int64), again[run]
+    content = _mix(whole[p] + _mix(whole[q] ^ (n.astype(np.uint64) << np.uint64(48))))
+    return p, text[i], n, low_at[i], content, again[run]
 
 
 def _segments(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -136,58 +144,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def run_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """-> d, tk, start, kh, meta (SETTLED, 48 bits of content, `again`, 7 bits of windows).
+def _pack(*columns: np.ndarray | bytes) -> bytes:
+    import zstandard
 
-    Of equal runs in one batch only the first can be the first of all; the others are settled as
-    covered there and then, and go to partitions at random instead of to the task of their hash."""
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(columns, 5))
 
-    def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        ids, tks, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-        parts: list[tuple[np.ndarray, ...]] = []
-        for some in _segments(texts, length):
-            x = np.frombuffer(b"".join(t for _, _, t in some), np.uint8)
-            ends = np.cumsum([len(t) for _, _, t in some])
-            p, part, n, kh, content, again = runs(x, ends, length)
-            begin = np.concatenate(([0], ends[:-1]))
-            number, offset = (np.array([s[c] for s in some]) for c in (0, 1))
-            start = (p - begin[part] + offset[part]).astype(np.int32)
-            parts.append((ids[number[part]], tks[number[part]], start, kh.view(np.int64), content << 8 | again.astype(np.int64) << 7 | n))
-        if not parts:
-            return {c: [] for c in ("d", "tk", "start", "kh", "meta")}
-        d, tk, start, kh, meta = (np.concatenate(c) for c in zip(*parts, strict=True))
-        by = np.lexsort((start, tk, d, meta >> 8, kh))
-        same = (kh[by][1:] == kh[by][:-1]) & (meta[by][1:] >> 8 == meta[by][:-1] >> 8)
-        twin = (d[by][1:] == d[by][:-1]) & (tk[by][1:] == tk[by][:-1]) & (start[by][1:] == start[by][:-1])
-        # a row repeated whole does not cover itself: it is left to the shuffle
-        late = by[1:][same & ~twin]
-        kh[late] = _mix(kh[late].view(np.uint64) ^ _mix(d[late].view(np.uint64)) ^ start[late].astype(np.uint64)).view(np.int64)
-        meta[late] |= SETTLED
-        return {"d": d, "tk": tk, "start": start, "kh": kh, "meta": meta}
-
-    return map_batches(_keyed(docs), run, "d bigint, tk bigint, start int, kh bigint, meta bigint", rows=4000)
-
-
-def sort_runs(table: DataFrame) -> DataFrame:
-    """Runs that repeat -> d, tk, start, n, kh, deep, crowd: not deep: covered as a whole;
-    deep: to be compared with the `crowd` different runs of its hash."""
-    spread = table.repartition("kh").withColumn("content", F.shiftright("meta", 8))
-    same = Window.partitionBy("kh", "content").orderBy("d", "tk", "start")
-    hashed = Window.partitionBy("kh")
-    ranked = (
-        spread.withColumn("first", F.rank().over(same) == 1)
-        .withColumn("crowd", F.sum(F.col("first").cast("int")).over(hashed))
-        .withColumn("differ", F.min("content").over(hashed) != F.max("content").over(hashed))
-    )
-    again = F.col("meta").bitwiseAND(F.lit(128)) != 0
-    settled = F.col("meta").bitwiseAND(F.lit(SETTLED)) != 0
-    kept = ranked.where(~F.col("first") | F.col("differ") | again | settled)
-    n = F.col("meta").bitwiseAND(F.lit(127)).cast("int")
-    return kept.select("d", "tk", "start", n.alias("n"), "kh", (F.col("first") & ~settled).alias("deep"), F.col("crowd").cast("int").alias("crowd"))
 
+def _unpack(blob: bytes) -> tuple:
+    import zstandard
+
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
-def packed(docs: DataFrame) -> DataFrame:
-    """-> doc_id, d, tk, z: texts compressed one by one, so that they shuffle at under half their size."""
+
+def _zipped(docs: DataFrame) -> DataFrame:
+    """-> d, tk, z: texts compressed one by one, so that they shuffle at under half their size."""
     import zstandard
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
@@ -197,35 +167,153 @@ def packed(docs: DataFrame) -> DataFrame:
     return map_batches(_keyed(docs), run, "d bigint, tk bigint, z binary")
 
 
-def _unpack(z: bytes) -> bytes:
+def _unzip(z: bytes) -> bytes:
     import zstandard
 
     return zstandard.ZstdDecompressor().decompress(z)
 
 
-def _deep_bytes(docs: DataFrame, dup: DataFrame, length: int, group: int) -> DataFrame:
-    """The deep runs with their bytes: key, d, tk, start, body; crowded ones as one row per window with a digest."""
-    asked = dup.where("deep").groupBy("d", "tk").agg(F.collect_list(F.struct("start", "n", "kh", (F.col("crowd") > group).alias("hot"))).alias("asked"))
+def _parted(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of the parts that occur."""
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0))) if len(part) else []
+    for a, b in zip(at, [*at[1:], len(part)], strict=False):
+        yield int(part[order[a]]), order[a:b]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(key, blobs) of rows (key, blob) that come in the order of their keys."""
+    key, blobs = None, []
+    for batch in batches:
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != key and blobs:
+                yield key, blobs
+                blobs = []
+            key = k
+            blobs.append(blob)
+    if blobs:
+        yield key, blobs
+
+
+def _late(texts: list[bytes], number: np.ndarray, rank: np.ndarray, start: np.ndarray, n: np.ndarray, kh: np.ndarray, content: np.ndarray, length: int) -> np.ndarray:
+    """Which runs of a batch are equal to an earlier one of another place in it."""
+    by = np.lexsort((start, rank, content, kh))
+    new = np.concatenate(([True], (kh[by][1:] != kh[by][:-1]) | (content[by][1:] != content[by][:-1])))
+    head = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    late = np.zeros(len(by), bool)
+    i, h = by[~new], head[~new]
+    other = (rank[i] != rank[h]) | (start[i] != start[h])
+    for a, b in zip(i[other].tolist(), h[other].tolist(), strict=True):
+        p, q, m = start[a], start[b], n[a] + length - 1
+        late[a] = n[a] == n[b] and texts[number[a]][p : p + m] == texts[number[b]][q : q + m]
+    return late
+
+
+def run_pieces(docs: DataFrame, length: int, parts: int) -> DataFrame:
+    """-> part, piece: the runs of a batch of documents by the upper bits of their hashes; those that
+    are covered by a run of the same batch are in the piece of part -1."""
 
-    def run(batch: pa.RecordBatch):
-        cols: dict[str, list] = {c: [] for c in ("key", "d", "tk", "start", "body", "hot")}
-        for d, tk, z, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            text = _unpack(z)
-            for a in asked:
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        ids, tks, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        found: list[tuple[np.ndarray, ...]] = []
+        for some in _segments(texts, length):
+            x = np.frombuffer(b"".join(t for _, _, t in some), np.uint8)
+            ends = np.cumsum([len(t) for _, _, t in some])
+            p, part, n, kh, content, again = runs(x, ends, length)
+            begin = np.concatenate(([0], ends[:-1]))
+            number, offset = (np.array([s[c] for s in some]) for c in (0, 1))
+            found.append((number[part], p - begin[part] + offset[part], n, kh, content, again))
+        out: dict[str, list] = {"part": [], "piece": []}
+        if not found:
+            return out
+        number, start, n, kh, content, again = (np.concatenate(c) for c in zip(*found, strict=True))
+        by = np.lexsort((tks, ids))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(np.concatenate(([0], (np.diff(ids[by]) != 0) | (np.diff(tks[by]) != 0))))
+        late = _late(texts, number, rank[number], start, n, kh, content, length)
+        part = np.where(late, -1, ((kh >> np.uint64(BITS)) % np.uint64(parts)).astype(np.int64))
+        low = (kh & np.uint64((1 << BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
+        for key, at in _parted(part):
+            own, doc = np.unique(number[at], return_inverse=True)
+            out["part"].append(key)
+            out["piece"].append(_pack(ids[own], tks[own], doc.astype(np.uint32), start[at].astype(np.uint32), n[at].astype(np.uint16), again[at], low[at] if key >= 0 else None))
+        return out
+
+    return map_batches(_keyed(docs), run, "part int, piece binary")
+
+
+def _rows_of(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """d, tk, start, n, again, low bits of the hash."""
+    cols = []
+    for piece in pieces:
+        ids, tks, doc, start, n, again, low = _unpack(piece)
+        wide = np.zeros((len(doc), 8), np.uint8)
+        if low is not None:
+            wide[:, : BITS // 8] = low
+        cols.append((ids[doc], tks[doc], start.astype(np.int64), n.astype(np.int64), again, wide.view("<u8").ravel().astype(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*cols, strict=True))
+
+
+def repeated_runs(pieces: DataFrame) -> DataFrame:
+    """-> d, tk, start, n, g, again, salts: runs whose hash is met twice, or whose own windows can be
+    equal; `g` is the hash's group, dealt to `salts` groups where it is large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blobs in _gathered(batches):
+            d, tk, start, n, again, low = _rows_of(blobs)
+            _, of, count = np.unique(low, return_inverse=True, return_counts=True)
+            c = count[of]
+            at = np.flatnonzero((c > 1) | again)
+            cols = (d[at], tk[at], start[at].astype(np.int32), n[at].astype(np.int32), np.int64(part << BITS) | low[at], again[at], (-(-c[at] // SPLIT)).astype(np.int32))
+            yield pa.record_batch([pa.array(c) for c in cols], names=["d", "tk", "start", "n", "g", "again", "salts"])
+
+    dealt = pieces.where("part >= 0").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "d bigint, tk bigint, start int, n int, g bigint, again boolean, salts int")
+
+
+def _settled(pieces: DataFrame) -> DataFrame:
+    """-> d, tk, start, n of the runs covered by one of their own batch."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+        for piece in batch.column(0).to_pylist():
+            d, tk, start, n, *_ = _rows_of([piece])
+            yield {"d": d, "tk": tk, "start": start.astype(np.int32), "n": n.astype(np.int32)}
+
+    return map_batches(pieces.where("part = -1").select("piece"), run, "d bigint, tk bigint, start int, n int")
+
+
+def run_bytes(docs: DataFrame, asked: DataFrame, length: int, parts: int) -> DataFrame:
+    """-> part, piece: the asked runs with their bytes, by group."""
+    lists = asked.groupBy("d", "tk").agg(F.collect_list(F.struct("start", "n", "g", "again", "salts")).alias("asked"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
+        rows: list[tuple] = []
+        bodies: list[bytes] = []
+        size = 0
+        for d, tk, z, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            text = _unzip(z)
+            for a in own:
                 s, n = a["start"], a["n"]
-                for p in range(s, s + n) if a["hot"] else (s,):
-                    body = text[p : p + length] if a["hot"] else text[p : p + n + length - 1]
-                    if a["hot"]:
-                        body = hashlib.blake2b(body, digest_size=16).digest()
-                    key = int.from_bytes(body[:8], "little", signed=True) if a["hot"] else a["kh"]
-                    for c, v in zip(cols, (key, d, tk, p, body, a["hot"]), strict=True):
-                        cols[c].append(v)
-            if len(cols["key"]) >= 20_000:
-                yield cols
-                cols = {c: [] for c in cols}
-        yield cols
-
-    return map_batches(packed(docs).join(asked, ["d", "tk"]).select("d", "tk", "z", "asked"), run, "key bigint, d bigint, tk bigint, start int, body binary, hot boolean")
+                salt = hash((d, tk, s)) % a["salts"]
+                rows.append((d, tk, s, n, a["g"], a["again"], salt, a["salts"] > 1))
+                bodies.append(text[s : s + n + length - 1])
+                size += n + length
+            if size > PART_BYTES // 2:
+                yield dealt(rows, bodies)
+                rows, bodies, size = [], [], 0
+        if rows:
+            yield dealt(rows, bodies)
+
+    def dealt(rows: list[tuple], bodies: list[bytes]) -> dict[str, list]:
+        cols = [np.array(c) for c in zip(*rows, strict=True)]
+        g, salt = cols[4].astype(np.uint64), cols[6].astype(np.uint64)
+        out: dict[str, list] = {"part": [], "piece": []}
+        for part, at in _parted((_mix(g ^ _mix(salt + np.uint64(1))) % np.uint64(parts)).astype(np.int64)):
+            out["part"].append(part)
+            out["piece"].append(_pack(*[c[at] for c in cols], b"".join(bodies[i] for i in at.tolist())))
+        return out
+
+    return map_batches(_zipped(docs).join(lists, ["d", "tk"]).select("d", "tk", "z", "asked"), run, "part int, piece binary")
 
 
 def _equal_in_trie(buf: bytes, places: list[int], length: int, skip: int) -> Iterator[int]:
@@ -280,58 +368,111 @@ def covered_in_group(buf: bytes, begin: np.ndarray, n: np.ndarray, group: np.nda
     for key in keys:
         tie &= key[by][1:] == key[by][:-1]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], tie.astype(np.int8), [0]))))
-    places, order, out = at[by], by, []
+    places, out = at[by], []
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        ps = places[a : b + 1].tolist()
-        if len(ps) == 2:
-            if buf[ps[0] : ps[0] + length] == buf[ps[1] : ps[1] + length]:
-                out.append(a + 1)
-        else:
-            out.extend(a + i for i in _equal_in_trie(buf, ps, length, SHALLOW))
-    found = order[np.array(out, np.int64)]
+        out.extend(a + i for i in _equal_in_trie(buf, places[a : b + 1].tolist(), length, SHALLOW))
+    found = by[np.array(out, np.int64)]
     return run[found], window[found]
 
 
-def _compare_deep(rows: DataFrame, length: int) -> DataFrame:
-    """-> d, tk, start, n: covered windows of the deep runs."""
-    cold = rows.where("not hot").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("d", "tk", "start", "body"))).alias("runs"))
-
-    def run(batch: pa.RecordBatch):
-        lists = batch.column(0)
-        sizes = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten()
-        d, tk, start = (flat.field(i).to_numpy() for i in range(3))
-        body = flat.field(3).to_pylist()
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        lengths = np.fromiter(map(len, body), np.int64, len(body))
-        done, upto = 0, np.cumsum(np.add.reduceat(lengths, ends[:-1]))
-        while done < len(sizes):  # about a megabyte at once
-            last = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + SEGMENT)))
-            lo, hi = ends[done], ends[last]
-            begin = np.cumsum(lengths[lo:hi]) - lengths[lo:hi]
-            group = np.repeat(np.arange(last - done), sizes[done:last])
-            r, w = covered_in_group(b"".join(body[lo:hi]), begin, lengths[lo:hi] - length + 1, group, length)
-            done = last
-            if not len(r):
-                continue
-            # neighbouring windows as one row
+def equal_runs(buf: bytes, begin: np.ndarray, n: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which runs are equal to an earlier one of their group; a multikey sort of the first bytes, then blind tries."""
+    x = np.frombuffer(buf, np.uint8)
+    first = np.ascontiguousarray(x[begin[:, None] + np.arange(SHALLOW)]).view(">u8").astype(np.uint64)
+    keys = [*first.T[::-1], n, group]
+    by = np.lexsort(keys)  # stable: ties stay in the order of the texts
+    tie = np.ones(max(len(by) - 1, 0), bool)
+    for key in keys:
+        tie &= key[by][1:] == key[by][:-1]
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], tie.astype(np.int8), [0]))))
+    out = np.zeros(len(by), bool)
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        size = int(n[by[a]]) + length - 1
+        for i in _equal_in_trie(buf, begin[by[a : b + 1]].tolist(), size, SHALLOW):
+            out[by[a + i]] = True
+    return out
+
+
+
+
+def _compared(pieces: DataFrame, length: int) -> DataFrame:
+    """-> d, tk, start, n: covered windows; `body` is set instead where a window of a dealt group is still to be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in _gathered(batches):
+            got = [_unpack(b) for b in blobs]
+            d, tk, start, n, g, again, salt, hot = (np.concatenate(c) for c in list(zip(*got, strict=True))[:8])
+            buf = b"".join(x[8] for x in got)
+            del got
+            size = n + length - 1
+            begin = np.cumsum(size) - size
+            by = np.lexsort((start, tk, d, salt, g))
+            # a row repeated whole is one place
+            twin = np.zeros(len(by), bool)
+            twin[1:] = True
+            for c in (g, d, tk, start):
+                twin[1:] &= c[by][1:] == c[by][:-1]
+            by = by[~twin]
+            new = np.concatenate(([True], (g[by][1:] != g[by][:-1]) | (salt[by][1:] != salt[by][:-1])))
+            group = np.cumsum(new) - 1
+            edges = np.append(np.flatnonzero(new), len(by))
+            upto = np.cumsum(np.add.reduceat(size[by], edges[:-1]))  # bytes at the end of each group
+            done = 0
+            while done < len(upto):  # about a megabyte of whole groups at once
+                last = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + (1 << 20))))
+                lo, hi = edges[done], edges[last]
+                i = by[lo:hi]
+                text = b"".join([buf[b : b + s] for b, s in zip(begin[i].tolist(), size[i].tolist(), strict=True)])
+                yield from chunk(text, d[i], tk[i], start[i], n[i], group[lo:hi] - done, again[i], hot[i])
+                done = last
+
+    def chunk(text, d, tk, start, n, group, again, hot) -> Iterator[pa.RecordBatch]:
+        begin = np.cumsum(n + length - 1) - (n + length - 1)
+        whole = equal_runs(text, begin, n, group, length)
+        yield batch_of(d[whole], tk[whole], start[whole], n[whole])
+        i = np.flatnonzero(~whole & hot)
+        if len(i):
+            one = np.repeat(i, n[i])
+            w = np.arange(len(one)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
+            yield batch_of(d[one], tk[one], start[one] + w, np.ones(len(one)), [text[p : p + length] for p in (begin[one] + w).tolist()])
+        # a group of one run is done, if its own windows can't be equal
+        left = ~whole & ~hot
+        many = np.bincount(group[left], minlength=int(group[-1]) + 1)[group] > 1
+        some = np.bincount(group[left & again], minlength=int(group[-1]) + 1)[group] > 0
+        i = np.flatnonzero(left & (many | some))
+        if not len(i):
+            return
+        body = b"".join([text[b : b + s] for b, s in zip(begin[i].tolist(), (n[i] + length - 1).tolist(), strict=True)])
+        r, w = covered_in_group(body, np.cumsum(n[i] + length - 1) - (n[i] + length - 1), n[i], group[i], length)
+        if len(r):  # neighbouring windows as one row
             by = np.lexsort((w, r))
             r, w = r[by], w[by]
             first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1))))
-            n = np.diff(np.concatenate((first, [len(r)])))
-            i = lo + r[first]
-            yield {"d": d[i], "tk": tk[i], "start": (start[i] + w[first]).astype(np.int32), "n": n.astype(np.int32)}
+            at = i[r[first]]
+            yield batch_of(d[at], tk[at], start[at] + w[first], np.diff(np.append(first, len(r))))
+
+    def batch_of(d, tk, start, n, body=None) -> pa.RecordBatch:
+        cols = [pa.array(d, pa.int64()), pa.array(tk, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(body or [None] * len(d), pa.binary())]
+        return pa.record_batch(cols, names=["d", "tk", "start", "n", "body"])
 
-    ranked = rows.where("hot").withColumn("r", F.rank().over(Window.partitionBy("key", "body").orderBy("d", "tk", "start")))
-    hot = ranked.where("r > 1").select("d", "tk", "start", F.lit(1).alias("n"))
-    return map_batches(cold.select("runs"), run, "d bigint, tk bigint, start int, n int").unionByName(hot)
+    return pieces.repartition("part").sortWithinPartitions("part").mapInArrow(run, "d bigint, tk bigint, start int, n int, body binary")
 
 
-def covered(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """-> d, tk, start, n: windows that also stand earlier."""
-    dup = cut(sort_runs(run_table(docs, length)), "runs")
-    deep = cut(_deep_bytes(docs, dup, length, group), "deep")
-    return dup.where("not deep").select("d", "tk", "start", "n").unionByName(_compare_deep(deep, length))
+    windows = docs.agg(F.sum(F.greatest(F.octet_length("text") - length + 1, F.lit(0)))).first()[0] or 0
+    parts = max(1, min(windows // 40 // PART_RUNS, 1 << 22))  # the bits above BITS tell no more parts than that apart
+    pieces = cut(run_pieces(docs, length, parts), "runs")
+    asked = cut(repeated_runs(pieces), "repeated")
+    size = asked.agg(F.sum(F.col("n") + length)).first()[0] or 0
+    found = cut(_compared(run_bytes(docs, asked, length, max(1, size // PART_BYTES)), length), "covered")
+    # the windows of dealt groups, by their whole strings
+    place = F.struct("d", "tk", "start")
+    hot = found.where("body is not null")
+    first = hot.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("body", "first")
+    late = hot.join(first, "body").where(place != F.col("first"))
+    cols = ["d", "tk", "start", "n"]
+    return _settled(pieces).unionByName(found.where("body is null").select(cols)).unionByName(late.select(cols))
 
 
 def merge(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -346,10 +487,10 @@ def merge(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, length: int, group: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """-> d, tk, z, spans: every row once."""
-    spans = covered(docs, length, group).groupBy("d", "tk").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return packed(docs).join(spans, ["d", "tk"], "left").select("d", "tk", "z", "spans")
+    spans = covered(docs, length).groupBy("d", "tk").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return _zipped(docs).join(spans, ["d", "tk"], "left").select("d", "tk", "z", "spans")
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -360,13 +501,13 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join((*out, text[at:]))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """-> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end)."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         cols = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
         for d, z, spans in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-            text, found = _unpack(z), merge([(s["start"], s["n"]) for s in spans or ()], length)
+            text, found = _unzip(z), merge([(s["start"], s["n"]) for s in spans or ()], length)
             cols["doc_id"].append(None if d == LAST else d)
             cols["n_bytes"].append(len(text))
             cols["n_removed"].append(sum(b - a for a, b in found))
@@ -376,22 +517,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
         return cols
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start bigint, end bigint>>"
-    return map_batches(_with_spans(docs, length, group), run, schema)
+    return map_batches(_with_spans(docs, length), run, schema)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with repeated strings cut out of the text; what is left of a character that was cut
     goes too.  A row of whose text nothing is left (though there was some) goes; `n_chars`, where
     there is such a column, is counted anew.
 
-    Only the texts that change pass through Python."""
-    spans = covered(docs, length, group).groupBy("d", "tk").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).withColumn("_tk", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = keyed.join(spans, (keyed["_d"] == spans["d"]) & (keyed["_tk"] == spans["tk"]), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_cut_spans(length)(F.col("text"), F.col("_spans")))
-    out = met.withColumn("_text", text).where(F.col("_spans").isNull() | (F.length(F.trim("_text")) > 0))
-    new = {"text": F.col("_text")} | ({"n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return out.select(*[new[c].alias(c) if c in new else keyed[c] for c in docs.columns])
+    Only the texts that change are sent to Python."""
+    own, twin, spans, text, there = unused([*docs.columns, "d", "tk"], "own", "twin", "spans", "cut", "there")
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias(own), F.xxhash64(F.coalesce("text", F.lit(""))).alias(twin), "*")
+    found = covered(docs, length).groupBy("d", "tk").agg(F.collect_list(F.struct("start", "n")).alias(spans), F.lit(True).alias(there))
+    found = found.select(F.col("d").alias(own), F.col("tk").alias(twin), spans, there)
+    met = keys.join(found, [own, twin], "left")
+    changed = F.col(there).isNotNull()
+    shorter = _cut_spans(length)(F.when(changed, F.col("text")), F.col(spans))
+    out = met.withColumn(text, F.when(changed, shorter).otherwise(F.col("text"))).where(~changed | (F.length(F.trim(F.col(text))) > 0))
+    new = {"text": F.col(text)} | ({"n_chars": F.coalesce(F.length(text), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def _cut_spans(length: int):

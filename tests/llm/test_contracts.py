@@ -273,9 +273,13 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("group", [512, 2])
-def test_repeats(docs, rows, group):
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeats(docs, group=group).collect()}
+@pytest.mark.parametrize("split", [4096, 2])
+@pytest.mark.parametrize("parts", [1 << 19, 40])
+def test_repeats(docs, rows, split, parts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    monkeypatch.setattr(suffix_dedup, "PART_RUNS", parts)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", parts * 32)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeats(docs).collect()}
     assert got == brute_repeats([(i, t) for i, t, *_ in rows])
 
 
@@ -288,6 +292,13 @@ def test_repeats_of_odd_rows(spark, empty):
 
 def test_trie_finds_equal_places():
     r = random.Random(2)
+    for _ in range(40):
+        runs = [bytes(r.choice(b"ab") for _ in range(r.choice([20, 21, 40]))) for _ in range(6)]
+        some = [(r.choice(runs), r.randrange(3)) for _ in range(30)]
+        sizes = np.array([len(x) for x, _ in some])
+        order = np.argsort([g for _, g in some], kind="stable")
+        late = suffix_dedup.equal_runs(b"".join(some[i][0] for i in order), np.cumsum(sizes[order]) - sizes[order], sizes[order] - 19, np.array([some[i][1] for i in order]), 20)
+        assert late.tolist() == [some[i] in [some[j] for j in order[:k]] for k, i in enumerate(order)]
     for _ in range(60):
         buf = bytes(r.choice(b"ab") for _ in range(60)) * 2
         places = [p for p in range(80) if buf[p : p + 3] == buf[0:3]]
@@ -307,8 +318,8 @@ def test_long_text_is_split_to_segments(spark, monkeypatch):
 
 def test_texts_without_repeats(spark):
     long = "é" * 80
-    rows = [(1, long, 80, "a"), (2, "b" + long + "c", 82, "a"), (3, long, 80, "a"), (4, None, None, "a")]
-    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, d string")).collect()}
+    rows = [(1, long, 80, "a", 1, 2), (2, "b" + long + "c", 82, "a", 1, 2), (3, long, 80, "a", 1, 2), (4, None, None, "a", 1, 2)]
+    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, d string, spans long, own long")).collect()}
     assert 3 not in got and got[1]["text"].startswith("é") and got[2]["text"] == "bc" and got[2]["n_chars"] == 2 and got[4]["text"] is None
 
 
@@ -425,27 +436,61 @@ def quality_corpus(n=300, seed=6):
     return rows, labels
 
 
+def brute_ngrams(text):
+    """Buckets with plain numbers: words and signs, then pairs of neighbours."""
+    h = [zlib.crc32(m.group().encode("latin-1")) for m in re.finditer("[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x7f-\xff]+", text.encode().decode("latin-1"))]
+    pairs = [1 if x == y else (x * 0x9E3779B1 + y) % 2**64 for x, y in zip(h, h[1:], strict=False)]
+    out = []
+    for v in [*h, *(x ^ 1 << 40 for x in pairs)]:
+        v = (v ^ v >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        out.append((v ^ v >> 32) % quality.BUCKETS)
+    return out
+
+
 def test_quality(spark):
     rows, labels = quality_corpus()
     docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    good, raw = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
     is_good = {i for i, q, _ in labels if q}
     part = {r["doc_id"]: r["p"] for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 1), {quality.PARTS}) AS p").collect()}
-    model = lambda i: part[i] > 0
-    grams = {i: quality.ngrams(t.encode()) for i, t, *_ in rows}
-    for i, g in grams.items():
-        raw += np.bincount(g, minlength=quality.BUCKETS)
-        if i in is_good and model(i):
-            good += np.bincount(g, minlength=quality.BUCKETS)
-    ratio = quality.log_ratio(good, raw)
+    model = {i for i in is_good if part[i]}
+    grams = {i: brute_ngrams(t) for i, t, *_ in rows}
+    raw, good = Counter(x for g in grams.values() for x in g), Counter(x for i in model for x in grams[i])
+    share = lambda c, x: (c[x] + 1) / (c.total() + quality.BUCKETS)
+    weight = {i: sum(np.log(share(good, x) / share(raw, x)) for x in g) for i, g in grams.items()}
+    mean = {i: weight[i] / len(grams[i]) for i in grams}
     got = {r["doc_id"]: r for r in quality.weigh(docs, marks).collect()}
-    assert all(abs(got[i]["log_weight"] - ratio[g].sum()) < 1e-6 for i, g in grams.items())
+    assert all(got[i]["n_grams"] == len(grams[i]) and abs(got[i]["log_weight"] - weight[i]) < 1e-6 and abs(got[i]["mean"] - mean[i]) < 1e-9 for i in grams)
     kept = {i for i, r in got.items() if r["kept"]}
-    cut = quality.best_cut(*[np.array([ratio[grams[i]].sum() for i, q, _ in labels if q == k and not (q and model(i))]) for k in (1, 0)])
-    k = sum(ratio[g].sum() >= cut for g in grams.values())
+    seen, bad = [mean[i] for i in is_good - model], [mean[i] for i, q, _ in labels if not q]
+    loss = lambda c: 10 * sum(x < c for x in seen) / len(seen) + sum(x >= c for x in bad) / len(bad)
+    cut = min(sorted(seen) + [np.nextafter(x, np.inf) for x in sorted(bad)], key=loss)
+    k = sum(x >= cut - 1e-12 for x in mean.values())
     assert kept == set(sorted(got, key=lambda i: -got[i]["key"])[:k])
-    assert sum(i % 5 != 0 for i in kept) / 240 > 0.9 and sum(i % 5 == 0 for i in kept) <= 3
-    assert {r["doc_id"] for r in quality.keep(docs, marks).collect()} == kept
+    assert sum(i % 5 != 0 for i in kept) / 240 > 0.9 and sum(i % 5 == 0 for i in kept) <= 5
+    assert {r["doc_id"] for r in quality.keep(docs.withColumn("noise", docs["doc_id"]), marks).collect()} == kept
+    again = quality.keep(docs.repartition(5), marks)
+    assert {r["doc_id"] for r in again.collect()} == kept and again.columns == docs.columns
+
+
+def test_quality_is_a_sample_by_the_weights(spark):
+    rows, labels = quality_corpus(1500)
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    draws = []
+    for seed in (1, 2):
+        found = quality.weigh(docs, marks, temperature=1.0, seed=seed).collect()
+        kept = {r["doc_id"] for r in found if r["kept"]}
+        draws.append(kept)
+        top = {r["doc_id"] for r in sorted(found, key=lambda r: -r["mean"])[: len(kept)]}
+        assert len(kept - top) > 20  # not the plain top k
+        noise = [r["key"] - r["mean"] for r in found]
+        assert abs(np.mean(noise) - 0.5772) < 0.15 and abs(np.std(noise) - 1.2825) < 0.15
+        # of the documents with like weights as many stay as these say: 1 - exp(-exp(weight - least key))
+        least = min(r["key"] for r in found if r["kept"])
+        for bad in (True, False):
+            some = [r for r in found if (r["doc_id"] % 5 == 0) == bad]
+            want = np.mean([1 - np.exp(-np.exp(r["mean"] - least)) for r in some])
+            assert abs(np.mean([r["kept"] for r in some]) - want) < 0.07
+    assert len(draws[0] ^ draws[1]) > 20
 
 
 def test_kth_largest(spark, monkeypatch):
