@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +102,41 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def pack(*columns: np.ndarray | bytes) -> bytes:
+    """Columns of any lengths as one compressed value, which shuffles at a fraction of their rows' size."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(columns, 5))
+
+
+def unpack(blob: bytes) -> tuple:
+    import zstandard
+
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+
+def parted(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of the parts that occur."""
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0))) if len(part) else []
+    for a, b in zip(at, [*at[1:], len(part)], strict=False):
+        yield int(part[order[a]]), order[a:b]
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(key, blobs) of rows (key, blob) that come in the order of their keys."""
+    key, blobs = None, []
+    for batch in batches:
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != key and blobs:
+                yield key, blobs
+                blobs = []
+            key = k
+            blobs.append(blob)
+    if blobs:
+        yield key, blobs
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b LONG) as (node, component): the smallest node reachable.
 

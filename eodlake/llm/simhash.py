@@ -12,17 +12,23 @@ A bucket of more than `TILE` fingerprints is split into tiles, and every pair of
 of its own: no task holds a whole bucket and no link is lost.  A group gives links that span its
 components, never all of its pairs.
 
+Blocks grow with the number of different fingerprints, so that a bucket holds a few random ones at most:
+the keys and comparisons of a document stay level.
+
 The pipeline's stage (`keep_first`) goes by the exact similarity of shingle sets: fingerprints only
-propose pairs there, and a prefix filter over rare shingles finds those that they miss.
+propose pairs there, in the same buckets but at a wider radius, and a prefix filter over rare shingles finds those that they miss.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; texts of
-fewer words than a shingle are one shingle; repeated rows come back each; a null id is no
+fewer words than a shingle are one shingle; a very long text is hashed whole, its bits summed `CHUNK` shingles at once; a bit
+that is set in just half of the hashes is 0; repeated rows come back each; a null id is no
 component's smallest (a component of null ids only is null); an empty table gives an empty result;
+components are followed until they settle, however many rounds that takes;
 extra columns are ignored by `near_duplicates` and carried by `keep_first`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,9 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eodlake.llm.common import components, cut, map_batches, table, text_bytes
+from eodlake.llm.common import components, cut, gathered, map_batches, pack, parted, table, text_bytes, unpack, unused
 
 SEED, TILE, CHUNK, AT_ONCE, THRESHOLD = 42, 1024, 1 << 15, 1 << 17, 0.8
+#: The stage compares fingerprints within this many bits; counts of shingles are kept by `SKETCH` hashes of them.
+WIDE, SKETCH, SLICE, PART_ROWS = 13, 1 << 20, 1 << 16, 1 << 19
 
 
 def shingle_hashes(words: list[bytes], n: int, seed: int = SEED) -> list[int]:
@@ -208,12 +216,22 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def links(nodes: DataFrame, radius: int = 4, words: int = 1, block_radius: int = 4, blocks: int = 6, tile: int = TILE) -> DataFrame:
+def block_plan(n: int, block_radius: int = 4) -> int:
+    """Blocks of a word for `n` fingerprints: the fewest that leave 32 random ones to a bucket at most, up to eight more than the radius."""
+    blocks = block_radius + 2
+    while blocks < block_radius + 8 and n >> 64 * (blocks - block_radius) // blocks > 32:
+        blocks += 1
+    return blocks
+
+
+def links(nodes: DataFrame, radius: int = 4, words: int = 1, block_radius: int = 4, blocks: int | None = None, tile: int = TILE, all_within: bool = True) -> DataFrame:
     """Distinct (fp, id) -> links (a, b) between ids that span the components of each bucket.
 
     Of fingerprints that differ in at most `radius` of all bits, one of the words differs in at most
-    radius / words; that must not exceed `block_radius`, the bits that the block keys allow for."""
-    if radius // words > block_radius or block_radius >= blocks:
+    radius / words; that must not exceed `block_radius`, the bits that the block keys allow for, unless
+    pairs may be missed (not `all_within`)."""
+    blocks = blocks or block_plan(nodes.count(), block_radius)
+    if (all_within and radius // words > block_radius) or block_radius >= blocks:
         raise ValueError("block keys can miss pairs within the radius")
     named = [F.col("fp")[w] for w in range(words)]
     keyed = nodes.select("id", "fp", _keys(named, block_radius, blocks).alias("k")).select("id", "fp", "k.*")
@@ -249,7 +267,7 @@ def links(nodes: DataFrame, radius: int = 4, words: int = 1, block_radius: int =
     return map_batches(groups.select("members"), run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seeds: tuple[int, ...] = (SEED,), block_radius: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seeds: tuple[int, ...] = (SEED,), block_radius: int = 4, blocks: int | None = None) -> DataFrame:
     """-> doc_id, fp, component_id: the smallest id reachable over links of at most `radius` bits."""
     fps = cut(fingerprints(docs, shingle, seeds), "fingerprints")
     nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
@@ -259,19 +277,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seeds: t
 
 
 def _need(threshold: float, n: Column) -> Column:
-    """The least whole number of `n` shingles that is `threshold` of them."""
+    """The least whole number that is `threshold` of `n`."""
     return F.ceil(F.lit(threshold) * n - 1e-9)
 
 
-def shingle_sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> doc_id, h ARRAY<BIGINT>: the different shingles' hashes, in order."""
-
-    def run(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"doc_id": batch.column(0), "h": [_distinct(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]}
-
-    return map_batches(docs.select(F.col(id_col).cast("bigint"), text_bytes(F.col(text_col)).alias("text")), run, "doc_id bigint, h array<bigint>")
-
-
 def _distinct(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text.lower().split(), shingle), np.uint64))
 
@@ -282,122 +291,181 @@ def _digest(h: np.ndarray) -> tuple[int, bytes]:
     return int.from_bytes(full[:8], "little", signed=True), full
 
 
-def _nodes(docs: DataFrame, shingle: int, seeds: tuple[int, ...]) -> DataFrame:
-    """-> doc_id, fp, digest, node, n (different shingles) of each document with an id."""
+def shingle_sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> doc_id, h ARRAY<BIGINT>: the different shingles' hashes, in order."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        out = {"doc_id": batch.column(0), "fp": [], "node": [], "digest": [], "n": []}
+        return {"doc_id": batch.column(0), "h": [_distinct(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]}
+
+    return map_batches(docs.select(F.col(id_col).cast("bigint"), text_bytes(F.col(text_col)).alias("text")), run, "doc_id bigint, h array<bigint>")
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
+
+
+def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
+    """-> doc_id, fp, digest, node, n (different shingles) of each document with an id; in rows of no
+    id, `n` is a slice of a task's counts of shingles by hash, which are in `digest`."""
+    names = ["doc_id", "fp", "digest", "node", "n"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SKETCH, np.uint32)
+        for batch in batches:
+            fps, digests, nodes, sizes, met = [], [], [], [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py().lower().split(), shingle)
+                own = np.unique(np.array(hashes, np.uint64))
+                node, digest = _digest(own)
+                fps.append(np.array([majority_bits(hashes)], np.uint64).view(np.int64))
+                for x, v in zip((digests, nodes, sizes, met), (digest, node, len(own), own), strict=True):
+                    x.append(v)
+            if met:
+                at, n = np.unique((np.concatenate(met) % np.uint64(SKETCH)).astype(np.int64), return_counts=True)
+                seen[at] += n.astype(np.uint32)
+            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip((fps, digests, nodes, sizes), kinds[1:], strict=True))], names=names)
+        cuts = range(0, SKETCH if seen.any() else 0, SLICE)
+        none = [None] * len(cuts)
+        cols = none, none, [pack(seen[i : i + SLICE]) for i in cuts], none, [i // SLICE for i in cuts]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    return _identified(docs).mapInArrow(run, "doc_id bigint, fp array<bigint>, digest binary, node bigint, n bigint")
+
+
+def _counts(rows: DataFrame) -> np.ndarray:
+    """How often shingles of each of `SKETCH` hashes stand in all documents: a table of fixed size."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for at, blobs in gathered(batches):
+            total = np.zeros(SLICE, np.uint64)
+            for (n,) in map(unpack, blobs):
+                total += n
+            yield pa.record_batch([pa.array([at], pa.int64()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["n", "total"])
+
+    slices = rows.where("doc_id is null").select("n", "digest").repartition("n").sortWithinPartitions("n").mapInArrow(run, "n bigint, total binary")
+    out = np.zeros(SKETCH, np.uint32)
+    for r in slices.collect():  # SKETCH / SLICE rows
+        out[r["n"] * SLICE : (r["n"] + 1) * SLICE] = np.frombuffer(r["total"], np.uint32)
+    return out
+
+
+def _prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, threshold: float, parts: int) -> DataFrame:
+    """-> h, node, n, at: shingles that two documents have among the rarest of theirs, as many as one of
+    similarity `threshold` cannot do without.
+
+    What is rare is read off `counts`, the same for all; ties go by the hash.  Shingles travel packed by hash, one of each
+    batch of documents; those met once in all of them end there."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(counts)
+
+    def pieces(batch: pa.RecordBatch) -> dict[str, list]:
+        known, hs, sizes = {}, [], []
         for t in batch.column(1):
-            words = t.as_py().lower().split()
-            hashes = [shingle_hashes(words, shingle, s) for s in seeds]
-            own = np.unique(np.array(hashes[0] if seeds[0] == SEED else shingle_hashes(words, shingle), np.uint64))
-            node, digest = _digest(own)
-            out["fp"].append(np.array([majority_bits(h) for h in hashes], np.uint64).view(np.int64))
-            out["node"].append(node)
-            out["digest"].append(digest)
-            out["n"].append(len(own))
+            own = _distinct(t.as_py(), shingle)
+            node, _ = _digest(own)
+            if len(own) and node not in known:
+                known[node] = len(own)
+                first = np.lexsort((own, sent.value[(own % np.uint64(SKETCH)).astype(np.int64)]))
+                hs.append(own[first[: len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1]])
+                sizes.append(len(hs[-1]))
+        out: dict[str, list] = {"part": [], "piece": []}
+        if not hs:
+            return out
+        h, doc = np.concatenate(hs), np.repeat(np.arange(len(hs)), sizes)
+        at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        _, first, of, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        # a shingle that the batch has twice is known to repeat; of each the first goes on to meet other batches
+        part = np.where(first[of] == np.arange(len(h)), (h % np.uint64(parts)).astype(np.int64), -1)
+        nodes, ns = np.array(list(known), np.int64), np.array(list(known.values()), np.int64)
+        for key, i in parted(part):
+            own, place = np.unique(doc[i], return_inverse=True)
+            out["part"].append(key)
+            out["piece"].append(pack(nodes[own], ns[own], place.astype(np.uint32), h[i], at[i].astype(np.uint32), n[of[i]] > 1))
         return out
 
-    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), text_bytes(F.col("text")).alias("text"))
-    return map_batches(source, run, "doc_id bigint, fp array<bigint>, node bigint, digest binary, n bigint")
-
-
-def _repeated(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
-    """-> node, h, df: the shingles that `df` > 1 different sets hold.
-
-    Shingles go to `parts` parts by their hash, those of a batch and part as one row of bytes."""
-
-    def packed(batch: pa.RecordBatch):
-        sets = [_distinct(t.as_py(), shingle) for t in batch.column(0)]
-        h = np.concatenate([*sets, np.empty(0, np.uint64)])
-        node = np.repeat(np.array([_digest(s)[0] for s in sets], np.int64), [len(s) for s in sets])
-        part = (h % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        h, node, part = h[order], node[order], part[order]
-        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(h) else np.empty(0, np.int64)
-        ends = [*at[1:].tolist(), len(h)]
-        out = {"part": part[at], "h": [], "nodes": [], "places": []}
-        for a, b in zip(at.tolist(), ends, strict=False):
-            own, place = np.unique(node[a:b], return_inverse=True)
-            out["h"].append(h[a:b].tobytes())
-            out["nodes"].append(own.tobytes())
-            out["places"].append(place.astype("<u2").tobytes())  # a batch has fewer rows
-        return out
+    def rows_of(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+        got = [unpack(b) for b in blobs]
+        return tuple(np.concatenate(c) for c in zip(*((h, nodes[p], ns[p], at, twice) for nodes, ns, p, h, at, twice in got), strict=True))
+
+    def batch_of(h, node, n, at) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(node), pa.array(n), pa.array(at.astype(np.int32))], names=["h", "node", "n", "at"])
+
+    def met(batches) -> Iterator[pa.RecordBatch]:
+        for part, blobs in gathered(batches):
+            if part < 0:
+                for blob in blobs:
+                    yield batch_of(*rows_of([blob])[:4])
+                continue
+            h, node, n, at, twice = rows_of(blobs)
+            _, of, count = np.unique(h, return_inverse=True, return_counts=True)
+            i = (count[of] > 1) | twice
+            yield batch_of(h[i], node[i], n[i], at[i])
+
+    schema = "h bigint, node bigint, n bigint, at int"
+    dealt = cut(map_batches(_identified(docs), pieces, "part bigint, piece binary"), "prefixes")
+    direct = dealt.where("part < 0").mapInArrow(met, schema)
+    return dealt.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(met, schema).union(direct).distinct()
+
+
+def _in_index(threshold: float, n: Column, at: Column) -> Column:
+    """Of two similar sets, the smaller one has a shared shingle in this shorter prefix."""
+    return at <= n - _need(2 * threshold / (1 + threshold), n)
+
+
+def _can_reach(threshold: float) -> Column:
+    """Length and positional filter of sets (n_a, at_a) and (n_b, at_b) that share the shingles at these places."""
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    left = F.lit(1) + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
+    return (least >= _need(threshold, most)) & (left >= _need(threshold / (1 + threshold), F.col("n_a") + F.col("n_b")))
+
 
-    def counted(batch: pa.RecordBatch):
-        for row in batch.column(0):
-            rows = row.as_py()
-            h = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows])
-            node = np.concatenate([np.frombuffer(r["nodes"], np.int64)[np.frombuffer(r["places"], "<u2")] for r in rows])
-            order = np.lexsort((node, h))
-            h, node = h[order], node[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))  # equal texts hold a shingle once
-            h, node = h[new], node[new]
-            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            df = np.repeat(np.diff(np.append(at, len(h))), np.diff(np.append(at, len(h))))
-            yield {"node": node[df > 1], "h": h[df > 1].view(np.int64), "df": df[df > 1]}
-
-    texts = docs.where(F.col("doc_id").isNotNull()).select(text_bytes(F.col("text")).alias("text"))
-    pieces = map_batches(texts, packed, "part bigint, h binary, nodes binary, places binary")
-    lists = pieces.groupBy("part").agg(F.collect_list(F.struct("h", "nodes", "places")).alias("rows"))
-    return map_batches(lists.select("rows"), counted, "node bigint, h bigint, df bigint")
-
-
-def _prefixes(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """-> h, node, n: the rarest shingles of each set, as many as a set of similarity `threshold` cannot do without.
-
-    Shingles that no other set holds come first and meet nothing; so most sets have none left."""
-    parts = max(1, (nodes.agg(F.sum("n")).first()[0] or 0) >> 17)
-    held = _repeated(docs, shingle, parts).groupBy("node").agg(F.collect_list(F.struct("df", "h")).alias("l"))
-    own = held.join(nodes.select("node", "n"), "node")
-    left = F.size("l") - _need(threshold, F.col("n")) + 1
-    return own.where(left > 0).select("node", "n", F.explode(F.slice(F.array_sort("l"), 1, left.cast("int"))).alias("s")).select(F.col("s.h").alias("h"), "node", "n")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have a similarity (Jaccard) of `threshold` or more."""
-    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked = cut(nodes.join(ends, "node", "left_semi").select("node", "id"), "asked")
-    texts = docs.join(asked.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = cut(shingle_sets(texts, shingle).join(asked, F.col("doc_id") == F.col("id")).select("node", "h"), "sets")
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("_b")), "b")
     both = F.size(F.array_intersect("_a", "_b"))
     return met.where(both >= F.lit(threshold) * (F.size("_a") + F.size("_b") - both) - 1e-9).select("a", "b")
 
 
-def similar(
-    docs: DataFrame, shingle: int, radius: int, seeds: tuple[int, ...], block_radius: int, blocks: int, threshold: float = THRESHOLD
-) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold: float = THRESHOLD) -> DataFrame:
     """-> doc_id, component_id: the smallest id reachable over pairs of similarity `threshold` or more.
 
     Fingerprints' links and, for each shingle of the prefixes, the pairs with one set are verified first.
     Of the pairs that share a prefix shingle, which are all that can be similar, only those that are
     not in one component by then are verified after that: a large group of copies never gives all of its pairs."""
-    rows = cut(_nodes(docs, shingle, seeds), "fingerprints")
+    rows = cut(_nodes(docs, shingle), "fingerprints")
+    counts = _counts(rows)
+    rows = rows.where("doc_id is not null")
     nodes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("node").alias("node"), F.first("n").alias("n"), F.min("fp").alias("fp")), "nodes")
-    prefixes = cut(_prefixes(docs, nodes, shingle, threshold), "prefixes")
+    size = nodes.agg(F.sum("n")).first()[0] or 0
+    prefixes = _prefixes(docs, counts, shingle, threshold, max(1, int(size * (1 - threshold)) // PART_ROWS))
+    # shingles of two sets, in one of them where the smaller of a pair has it
+    prefixes = cut(prefixes.withColumn("index", _in_index(threshold, F.col("n"), F.col("at"))), "repeated")
+    many = prefixes.groupBy("h").agg(F.count("*").alias("_n"), F.max("index").alias("_i"), F.min_by(F.struct("node", "n", "at"), F.xxhash64("node")).alias("head")).where("_n > 1 AND _i")
+    heads = many.select("h", F.col("head.node").alias("b"), F.col("head.n").alias("n_b"), F.col("head.at").alias("at_b"))
+    stars = prefixes.withColumnsRenamed({"node": "a", "n": "n_a", "at": "at_a"}).join(heads, "h").where(_can_reach(threshold)).select("a", "b")
     one = cut(nodes.groupBy("fp").agg(F.min("node").alias("id")), "fingerprints")
     same = nodes.select("fp", F.col("node").alias("a")).join(one.select("fp", F.col("id").alias("b")), "fp").select("a", "b")
-    heads = prefixes.groupBy("h").agg(F.min_by("node", F.xxhash64("h", "node")).alias("b"), F.count("*").alias("_n")).where("_n > 1")
-    stars = prefixes.join(heads, "h").select(F.col("node").alias("a"), "b")
+    first = cut(links(one, radius, all_within=False).union(same).union(stars).where("a <> b").distinct(), "pairs")
+    # sets of all that may be asked for: the ends of these pairs, and what shares an indexed shingle
+    ends = first.select(F.col("a").alias("node")).union(first.select("b")).union(prefixes.join(many.select("h"), "h", "left_semi").select("node"))
+    asked = cut(nodes.join(ends.distinct(), "node", "left_semi").select("node", F.col("id").alias("doc_id")), "asked")
+    texts = _identified(docs).join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = cut(shingle_sets(texts, shingle).join(asked, "doc_id").select("node", "h"), "sets")
     twins = rows.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_b")).where("b < _b")
     twins = rows.join(twins, "doc_id").select(F.col("node").alias("a"), "b")  # texts of one id go together
-    found = _verified(links(one, radius, len(seeds), block_radius, blocks).union(same).union(stars), docs, nodes, shingle, threshold)
-    first = components(found.union(twins))
-    named = nodes.join(first, "node", "left").select("node", "digest", "id", F.coalesce("component", "node").alias("part"))
-    named = cut(named, "parts")
+    found = components(_verified(first, sets, threshold).union(twins))
+    named = cut(nodes.join(found, "node", "left").select("node", "digest", "id", F.coalesce("component", "node").alias("part")), "parts")
     # pairs of different parts only: parts of a shingle first, then their sets
-    held = cut(prefixes.join(named.select("node", "part"), "node"), "prefixes")
-    parts = held.select("h", "part").distinct()
-    mixed = parts.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
-    parts = parts.join(mixed, "h")
-    across = parts.select("h", F.col("part").alias("p")).join(parts.select("h", F.col("part").alias("q")), "h").where("p < q")
-    left = held.select("h", F.col("part").alias("p"), F.col("node").alias("a"), F.col("n").alias("_a"))
-    right = held.select("h", F.col("part").alias("q"), F.col("node").alias("b"), F.col("n").alias("_b"))
-    sizes = F.least("_a", "_b") >= _need(threshold, F.greatest("_a", "_b"))
-    rest = across.join(left, ["h", "p"]).join(right, ["h", "q"]).where(sizes).select("a", "b")
-    more = _verified(rest, docs, nodes, shingle, threshold)
+    held = cut(prefixes.join(many.select("h"), "h", "left_semi").join(named.select("node", "part"), "node"), "held")
+    mixed = held.groupBy("h").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).where("_p < _q").select("h")
+    held = held.join(mixed, "h", "left_semi")
+    left = held.where("index").select("h", F.col("part").alias("p"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    right = held.select("h", F.col("part").alias("q"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    across = left.select("h", "p").distinct().join(right.select("h", "q").distinct(), "h").where("p <> q")
+    rest = across.join(left, ["h", "p"]).join(right, ["h", "q"]).where((F.col("n_a") <= F.col("n_b")) & _can_reach(threshold)).select("a", "b")
+    more = _verified(rest, sets, threshold)
     a, b = (named.select(F.col("node").alias(x), F.col("part").alias(f"_{x}")) for x in "ab")
     joined = components(more.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     whole = named.join(joined, named["part"] == joined["node"], "left").select("digest", "id", F.coalesce("component", "part").alias("whole"))
@@ -405,19 +473,20 @@ def similar(
     return rows.select("doc_id", "digest").join(least, "digest").select("doc_id", "component_id")
 
 
-def keep_first(
-    docs: DataFrame, shingle: int = 5, radius: int = 17, seeds: tuple[int, ...] = (SEED, SEED + 1), block_radius: int = 8, blocks: int = 10, threshold: float = THRESHOLD
-) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the documents that are joined to one of a smaller id by pairs of shingle sets of
     similarity `threshold` or more; of rows that share the id, one stays.  Rows of a null id stay.
 
     Every such pair counts, whatever the fingerprints say (`similar`)."""
-    found = similar(docs, shingle, radius, seeds, block_radius, blocks, threshold)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    twins = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_twin", F.row_number().over(twins)).where("_twin = 1").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    found = similar(docs, shingle, radius, threshold)
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")  # written, so that its size is known
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    (twin,) = unused(docs.columns, "twin")
+    some = kept.where("doc_id is not null")
+    some = some.withColumn(twin, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(twin) == 1).select(*docs.columns)
+    return some.unionByName(kept.where("doc_id is null"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

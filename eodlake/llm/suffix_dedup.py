@@ -29,7 +29,6 @@ are ignored by `repeats` and carried by `without_repeats`.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eodlake.llm.common import cut, map_batches, table, text_bytes, unused
+from eodlake.llm.common import cut, gathered, map_batches, pack, parted, table, text_bytes, unpack, unused
 
 LENGTH, K, SHALLOW, SPLIT, SEGMENT = 100, 24, 16, 4096, 1 << 18
 #: Runs whose hashes, and bytes of runs, that one task holds at once.
@@ -144,25 +143,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _pack(*columns: np.ndarray | bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(columns, 5))
-
-
-def _unpack(blob: bytes) -> tuple:
-    import zstandard
-
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
-
-
 def _zipped(docs: DataFrame) -> DataFrame:
     """-> d, tk, z: texts compressed one by one, so that they shuffle at under half their size."""
     import zstandard
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        pack = zstandard.ZstdCompressor(level=3)
-        return {"d": batch.column(0), "tk": batch.column(1), "z": [pack.compress(t.as_py()) for t in batch.column(2)]}
+        z = zstandard.ZstdCompressor(level=3)
+        return {"d": batch.column(0), "tk": batch.column(1), "z": [z.compress(t.as_py()) for t in batch.column(2)]}
 
     return map_batches(_keyed(docs), run, "d bigint, tk bigint, z binary")
 
@@ -173,28 +160,6 @@ def _unzip(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
-def _parted(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places) of the parts that occur."""
-    order = np.argsort(part, kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0))) if len(part) else []
-    for a, b in zip(at, [*at[1:], len(part)], strict=False):
-        yield int(part[order[a]]), order[a:b]
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """(key, blobs) of rows (key, blob) that come in the order of their keys."""
-    key, blobs = None, []
-    for batch in batches:
-        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k != key and blobs:
-                yield key, blobs
-                blobs = []
-            key = k
-            blobs.append(blob)
-    if blobs:
-        yield key, blobs
-
-
 def _late(texts: list[bytes], number: np.ndarray, rank: np.ndarray, start: np.ndarray, n: np.ndarray, kh: np.ndarray, content: np.ndarray, length: int) -> np.ndarray:
     """Which runs of a batch are equal to an earlier one of another place in it."""
     by = np.lexsort((start, rank, content, kh))
@@ -233,10 +198,10 @@ def run_pieces(docs: DataFrame, length: int, parts: int) -> DataFrame:
         late = _late(texts, number, rank[number], start, n, kh, content, length)
         part = np.where(late, -1, ((kh >> np.uint64(BITS)) % np.uint64(parts)).astype(np.int64))
         low = (kh & np.uint64((1 << BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
-        for key, at in _parted(part):
+        for key, at in parted(part):
             own, doc = np.unique(number[at], return_inverse=True)
             out["part"].append(key)
-            out["piece"].append(_pack(ids[own], tks[own], doc.astype(np.uint32), start[at].astype(np.uint32), n[at].astype(np.uint16), again[at], low[at] if key >= 0 else None))
+            out["piece"].append(pack(ids[own], tks[own], doc.astype(np.uint32), start[at].astype(np.uint32), n[at].astype(np.uint16), again[at], low[at] if key >= 0 else None))
         return out
 
     return map_batches(_keyed(docs), run, "part int, piece binary")
@@ -246,7 +211,7 @@ def _rows_of(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     """d, tk, start, n, again, low bits of the hash."""
     cols = []
     for piece in pieces:
-        ids, tks, doc, start, n, again, low = _unpack(piece)
+        ids, tks, doc, start, n, again, low = unpack(piece)
         wide = np.zeros((len(doc), 8), np.uint8)
         if low is not None:
             wide[:, : BITS // 8] = low
@@ -259,7 +224,7 @@ def repeated_runs(pieces: DataFrame) -> DataFrame:
     equal; `g` is the hash's group, dealt to `salts` groups where it is large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, blobs in _gathered(batches):
+        for part, blobs in gathered(batches):
             d, tk, start, n, again, low = _rows_of(blobs)
             _, of, count = np.unique(low, return_inverse=True, return_counts=True)
             c = count[of]
@@ -308,9 +273,9 @@ def run_bytes(docs: DataFrame, asked: DataFrame, length: int, parts: int) -> Dat
         cols = [np.array(c) for c in zip(*rows, strict=True)]
         g, salt = cols[4].astype(np.uint64), cols[6].astype(np.uint64)
         out: dict[str, list] = {"part": [], "piece": []}
-        for part, at in _parted((_mix(g ^ _mix(salt + np.uint64(1))) % np.uint64(parts)).astype(np.int64)):
+        for part, at in parted((_mix(g ^ _mix(salt + np.uint64(1))) % np.uint64(parts)).astype(np.int64)):
             out["part"].append(part)
-            out["piece"].append(_pack(*[c[at] for c in cols], b"".join(bodies[i] for i in at.tolist())))
+            out["piece"].append(pack(*[c[at] for c in cols], b"".join(bodies[i] for i in at.tolist())))
         return out
 
     return map_batches(_zipped(docs).join(lists, ["d", "tk"]).select("d", "tk", "z", "asked"), run, "part int, piece binary")
@@ -399,8 +364,8 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
     """-> d, tk, start, n: covered windows; `body` is set instead where a window of a dealt group is still to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _gathered(batches):
-            got = [_unpack(b) for b in blobs]
+        for _, blobs in gathered(batches):
+            got = [unpack(b) for b in blobs]
             d, tk, start, n, g, again, salt, hot = (np.concatenate(c) for c in list(zip(*got, strict=True))[:8])
             buf = b"".join(x[8] for x in got)
             del got

@@ -181,7 +181,8 @@ def test_stage_drops_near_copies_only(spark):
 
 
 @pytest.mark.parametrize("group", [1, 30])
-def test_stage_is_exact_at_its_threshold(spark, group):
+def test_stage_is_exact_at_its_threshold(spark, group, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_ROWS", 1 << 9)
     r = random.Random(21)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     common, rows = [word() for _ in range(40)], [(500, None), (501, " "), (502, "two words"), (503, "Two WORDS"), (504, "two word")]
@@ -200,6 +201,13 @@ def test_stage_is_exact_at_its_threshold(spark, group):
     assert got == {i for i in low if low[i] == i}
 
 
+def test_block_plan_keeps_buckets_small():
+    assert simhash.block_plan(10_000) == 6
+    for n in (1 << 20, 1 << 28, 1 << 36):
+        blocks = simhash.block_plan(n)
+        assert n / 2 ** (64 * (blocks - 4) / blocks) < 64
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1001), (1001, 1001), (1001, 1000)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
