@@ -556,7 +556,7 @@ def test_leaks(spark, empty):
     for part in (1_000_000, 60):
         got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs, benchmark, max_words=part).collect()}
         assert got == want
-    assert {r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()} == {i for i, *_ in rows if i not in {a for a, _ in want}} | {200}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(docs.withColumn("key", docs["doc_id"]), benchmark).where("key = doc_id").collect()} == {i for i, *_ in rows if i not in {a for a, _ in want}} | {200}
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.without_leaks(docs, benchmark.where("false")).count() == 101
 
 
@@ -577,15 +577,46 @@ def test_leaks_of_shorter_documents(spark):
     assert {x["doc_id"]: x["n_words"] for x in found} == {d: len(t.split()) for d, t in rows if any(d == k for k, _ in want)}
 
 
+def random_fps(r, n):
+    return np.array([[r.getrandbits(64) for _ in range(decontaminate.BITS // 64)] for _ in range(n)], np.uint64)
+
+
 def test_multi_index_finds_all_within_radius():
     r = random.Random(9)
-    fps = [r.getrandbits(64) for _ in range(200)]
+    fps = random_fps(r, 200)
     index = decontaminate.MultiIndex(fps)
-    for _ in range(200):
-        x = r.choice(fps)
-        for _ in range(r.randrange(40)):
-            x ^= 1 << r.randrange(64)
-        assert sorted(index.near(x)) == [i for i, f in enumerate(fps) if (f ^ x).bit_count() <= decontaminate.RADIUS]
+    queries = fps[[r.randrange(200) for _ in range(300)]].copy()
+    for q in queries:
+        for _ in range(r.randrange(180)):
+            q[r.randrange(8)] ^= np.uint64(1 << r.randrange(64))
+    far = np.bitwise_count(queries[:, None] ^ fps[None]).sum(2)
+    assert sorted(zip(*(x.tolist() for x in index.near(queries)), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(far <= decontaminate.RADIUS)), strict=True))
+
+
+def test_multi_index_names_few_random_items():
+    r = random.Random(10)
+    index = decontaminate.MultiIndex(random_fps(r, 1000))
+    query, _ = index.named(random_fps(r, 100))
+    assert len(query) < 0.08 * 100 * 1000
+
+
+def test_recall_of_windows_about_the_threshold():
+    r = random.Random(41)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6)).encode()
+    items = [[word() for _ in range(r.randint(12, 60))] for _ in range(300)]
+    known = decontaminate.Benchmark([(i, b" ".join(w)) for i, w in enumerate(items)])
+    want = found = 0
+    for i, w in enumerate(items):
+        for _ in range(4):
+            x = list(w)
+            x[r.choice([0, 1, -1, -2])] = word()  # near an end, one word costs one or two shingles
+            if len(x) > 50:
+                x[r.randrange(5, len(x) - 5)] = word()
+            sim = decontaminate.similarity(Counter(decontaminate.shingles_of(x)), known.counts[i])
+            if 0.8 <= sim < 0.9:
+                want += 1
+                found += i in {item for item, *_ in known.search(b" ".join([word(), *x, word()]))}
+    assert want > 200 and found / want > 0.97
 
 
 # 9
