@@ -6,10 +6,12 @@ document is emitted once for each integer that its own step crosses.  Ordering b
 the copies over short and long texts, so the words taken stay near the target.
 
 Running sums are split: documents are ranked inside (source, size class, slice) groups, and the
-groups' counts are summed per source.  A source of any size is thus ranked by many tasks.
+groups' counts are summed per source.  A source of any size is thus ranked by many tasks: slices grow with the
+number of documents.  Only the targets are set in one task, over one row per source; sources are corpora, not domains.
 
-Defined results: a null text has size 0; null sources are one source, placed last; a source of
-size 0 has target 0 and takes nothing; null ids count as id 0 for the order; repeated rows are
+Defined results: a null text has size 0; a very long text is counted whole; null sources are one source, placed last; a source of
+size 0 has target 0 and takes nothing; null ids count as id 0 for the order, and equal sizes and ids tie without effect on what
+is taken of their texts' size; repeated rows are
 ranked like any others; an empty table gives an empty result; extra columns are ignored by
 `mix` and carried by `emit`.
 """
@@ -19,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eodlake.llm.common import WORD, cut, table
+from eodlake.llm.common import WORD, cut, table, unused
 
-CAP, WEIGHTS, SLICES, SEED = 3.0, (1, 2, 3), 16, "mix-1"
+CAP, WEIGHTS, SLICES, SLICE_ROWS, SEED = 3.0, (1, 2, 3), 16, 1 << 20, "mix-1"
 
 
 def words_in(text: Column) -> Column:
@@ -71,7 +73,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _mix_sized(sized: DataFrame, seed: str) -> DataFrame:
-    keyed = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_slice", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SLICES)))
+    slices = max(SLICES, sized.count() // SLICE_ROWS)
+    keyed = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_slice", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(slices)))
     groups = cut(
         keyed.groupBy("source", "_class", "_slice").agg(F.count("*").alias("_n"), F.sum("size").alias("_words")), "groups"
     )
@@ -94,23 +97,25 @@ def _mix_sized(sized: DataFrame, seed: str) -> DataFrame:
 
 
 def emit(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """`docs` with each document once per copy taken, numbered from 1 in `copy_no`.
+    """`docs` with each document once per copy taken, numbered from 1 in `copy_no` (which takes the place of a column of that name).
 
-    The columns of `docs` come back with `copy_no` added.  Rows are matched by id; where an id
-    is repeated (or null) its rows are numbered, so every row meets its own copies.
+    Rows are matched by id; only where ids are repeated are rows of one id, source and size
+    numbered, so that every row meets its own copies.
     """
-    copies = mix(docs, seed=seed)
-    same = lambda *cols: Window.partitionBy("doc_id", "source", "size").orderBy(*cols)
-    left = docs.withColumn("_size", words_in(F.col("text")))
-    left = left.withColumn("_twin", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
-    right = copies.withColumn("_twin", F.row_number().over(same("copies"))).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), F.col("_twin").alias("_tw"), "copies"
-    )
-    met = left.join(
-        right,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_sz")) & (F.col("_twin") == F.col("_tw")),
-    ).where("copies > 0")
-    return met.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns, "copy_no")
+    copies = mix(docs, seed=seed).select("doc_id", "source", "size", "copies")
+    names = unused([*docs.columns, "doc_id", "source", "size", "copies"], "own", "of", "words", "times", "twin", "own_words", "own_twin")
+    own, of, words, times, twin, own_words, own_twin = names
+    copies = copies.toDF(own, of, words, times)
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        met = docs.join(copies.where(F.col(times) > 0).select(own, times), F.col("doc_id").eqNullSafe(F.col(own)))
+    else:
+        copies = copies.withColumn(twin, F.row_number().over(Window.partitionBy(own, of, words).orderBy(times)))
+        left = docs.withColumn(own_words, words_in(F.col("text")))
+        left = left.withColumn(own_twin, F.row_number().over(Window.partitionBy("doc_id", "source", own_words).orderBy(F.xxhash64("text"))))
+        same = [F.col(x).eqNullSafe(F.col(y)) for x, y in (("doc_id", own), ("source", of), (own_words, words), (own_twin, twin))]
+        met = left.join(copies, same[0] & same[1] & same[2] & same[3]).where(F.col(times) > 0)
+    kept = [c for c in docs.columns if c != "copy_no"]
+    return met.select(*kept, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))).alias("copy_no"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

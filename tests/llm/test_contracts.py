@@ -663,6 +663,11 @@ def test_emitted_copies(docs, odd, empty):
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
     got = Counter(r["doc_id"] for r in mixing.emit(docs).collect())
     assert got == Counter({i: c for i, c in want.items() if c})
+    clash = docs.selectExpr("*", "doc_id AS size", "doc_id AS copies", "doc_id AS own", "doc_id AS twin", "0 AS copy_no", "doc_id AS own_r")
+    found = mixing.emit(clash)
+    assert sorted(found.columns) == sorted(clash.columns) and found.where("size = doc_id AND copies = doc_id AND own = doc_id AND twin = doc_id").count() == got.total()
+    odd_clash = odd.selectExpr("*", "1 AS size", "2 AS own", "3 AS times_r")
+    assert mixing.emit(odd_clash).where("size = 1 AND own = 2 AND times_r = 3").count() == mixing.emit(odd).count()
     assert mixing.emit(odd).columns == [*odd.columns, "copy_no"] and mixing.emit(empty).count() == mixing.mix(empty).count() == 0
     assert mixing.emit(odd).count() == sum(r["copies"] for r in mixing.mix(odd).collect())
 
