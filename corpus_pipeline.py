@@ -4,6 +4,9 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is writt
 read again as the next stage's documents.  All stages but the last return the columns of
 `documents`; the last adds `copy_no`.  Each stage works on all rows that the one before has kept.
 Rows of a null id pass through each stage by the rules in the operators' docstrings.
+
+Stages whose last step runs Python over whole texts write it themselves, in small Arrow batches; the
+session's settings stay as they are.
 """
 
 from __future__ import annotations
@@ -13,36 +16,23 @@ from eodlake.llm.common import cut, table
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Rows that a task hands to Python at once: with texts of some hundred kilobytes among them, Spark's
-#: default of 10,000 takes hundreds of megabytes on both sides.
-ROWS_AT_ONCE = 1000
-
-
-def _bounded(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
-
-
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps; the models are fitted on `docs` and `labels`."""
-    _bounded(spark)
-    return quality.keep(docs, table(spark, sf_dir, "labels"))
+    return cut(quality.keep(docs, table(spark, sf_dir, "labels")), "kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest id."""
-    _bounded(spark)
     return simhash.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 100 bytes that stand earlier too."""
-    _bounded(spark)
-    return suffix_dedup.without_repeats(docs)
+    return cut(suffix_dedup.without_repeats(docs), "kept")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of `benchmark`."""
-    _bounded(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
