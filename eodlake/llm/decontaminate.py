@@ -219,7 +219,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     """-> doc_id, item_id, first_word, n_words, similarity: documents that hold an item."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
     schema = "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double"
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = None
     for items in _parts(benchmark, max_words):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -235,8 +235,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-        out = out.union(source.mapInArrow(run, schema))
-    return out
+        found = source.mapInArrow(run, schema)
+        out = found if out is None else out.union(found)
+    return out or source.where("false").selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in schema.split(", "))])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:

@@ -17,6 +17,7 @@ the keys and comparisons of a document stay level.
 
 The pipeline's stage (`keep_first`) goes by the exact similarity of shingle sets: fingerprints only
 propose pairs there, in the same buckets but at a wider radius, and a prefix filter over rare shingles finds those that they miss.
+Before texts are asked for, pairs are cut down by bitmaps of their sets, whose differing bits are at most the shingles that differ.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; texts of
 fewer words than a shingle are one shingle; a very long text is hashed whole, its bits summed `CHUNK` shingles at once; a bit
@@ -41,7 +42,7 @@ from eodlake.llm.common import components, cut, gathered, map_batches, pack, par
 
 SEED, TILE, CHUNK, AT_ONCE, THRESHOLD = 42, 1024, 1 << 15, 1 << 17, 0.8
 #: The stage compares fingerprints within this many bits; counts of shingles are kept by `SKETCH` hashes of them.
-WIDE, SKETCH, SLICE, PART_ROWS = 13, 1 << 20, 1 << 16, 1 << 19
+WIDE, SKETCH, SLICE, PART_ROWS = 13, 1 << 22, 1 << 18, 1 << 19
 
 
 def shingle_hashes(words: list[bytes], n: int, seed: int = SEED) -> list[int]:
@@ -305,32 +306,44 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """-> doc_id, fp, digest, node, n (different shingles) of each document with an id; in rows of no
+    """-> doc_id, fp, digest, node, n (different shingles), bits (a bitmap of them) of each document with an id; in rows of no
     id, `n` is a slice of a task's counts of shingles by hash, which are in `digest`."""
-    names = ["doc_id", "fp", "digest", "node", "n"]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
+    names = ["doc_id", "fp", "digest", "node", "n", "bits"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            fps, digests, nodes, sizes, met = [], [], [], [], []
+            fps, digests, nodes, sizes, bits, met = [], [], [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_py().lower().split(), shingle)
                 own = np.unique(np.array(hashes, np.uint64))
                 node, digest = _digest(own)
                 fps.append(np.array([majority_bits(hashes)], np.uint64).view(np.int64))
-                for x, v in zip((digests, nodes, sizes, met), (digest, node, len(own), own), strict=True):
+                for x, v in zip((digests, nodes, sizes, bits, met), (digest, node, len(own), _bitmap(own), own), strict=True):
                     x.append(v)
             if met:
                 at, n = np.unique((np.concatenate(met) % np.uint64(SKETCH)).astype(np.int64), return_counts=True)
                 seen[at] += n.astype(np.uint32)
-            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip((fps, digests, nodes, sizes), kinds[1:], strict=True))], names=names)
+            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip((fps, digests, nodes, sizes, bits), kinds[1:], strict=True))], names=names)
         cuts = range(0, SKETCH if seen.any() else 0, SLICE)
         none = [None] * len(cuts)
-        cols = none, none, [pack(seen[i : i + SLICE]) for i in cuts], none, [i // SLICE for i in cuts]
+        cols = none, none, [pack(_narrow(seen[i : i + SLICE])) for i in cuts], none, [i // SLICE for i in cuts], none
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return _identified(docs).mapInArrow(run, "doc_id bigint, fp array<bigint>, digest binary, node bigint, n bigint")
+    return _identified(docs).mapInArrow(run, "doc_id bigint, fp array<bigint>, digest binary, node bigint, n bigint, bits array<bigint>")
+
+
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as they need."""
+    return n.astype(np.min_scalar_type(int(n.max(initial=0))))
+
+
+def _bitmap(own: np.ndarray) -> np.ndarray:
+    """Parity of the hashes by their last bits, four to eight bits a hash, as words."""
+    size = max(64, 1 << (4 * len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
 def _counts(rows: DataFrame) -> np.ndarray:
@@ -420,9 +433,34 @@ def _can_reach(threshold: float) -> Column:
     return (least >= _need(threshold, most)) & (left >= _need(threshold / (1 + threshold), F.col("n_a") + F.col("n_b")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a similarity (Jaccard) of `threshold` or more."""
+def _folded(bits: Column) -> Column:
+    """A bitmap at half its size."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.transform(F.sequence(F.lit(1), half), lambda i: F.element_at(bits, i).bitwiseXOR(F.element_at(bits, i + half)))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) but for those whose bitmaps differ in more bits than similar sets can.
+
+    Similar sets are of like size, so their bitmaps are equally long or one is twice the other."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    pairs = pairs.where(F.least("n_a", "n_b") >= _need(threshold, F.greatest("n_a", "n_b")))
+    a, b = F.col("bits_a"), F.col("bits_b")
+    a, b = F.when(F.size(a) > F.size(b), _folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), _folded(b)).otherwise(b)
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = F.col("n_a") + F.col("n_b")
+    return pairs.where(both - differ >= 2 * _need(threshold / (1 + threshold), both)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a similarity (Jaccard) of `threshold` or more."""
+    pairs = cut(_likely(pairs, nodes, threshold), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = cut(nodes.join(ends, "node", "left_semi").select("node", F.col("id").alias("doc_id")), "asked")  # written, so that its size is known
+    texts = _identified(docs).join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = cut(shingle_sets(texts, shingle).join(asked, "doc_id").select("node", "h"), "sets")
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("_b")), "b")
     both = F.size(F.array_intersect("_a", "_b"))
     return met.where(both >= F.lit(threshold) * (F.size("_a") + F.size("_b") - both) - 1e-9).select("a", "b")
@@ -437,7 +475,7 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold: fl
     rows = cut(_nodes(docs, shingle), "fingerprints")
     counts = _counts(rows)
     rows = rows.where("doc_id is not null")
-    nodes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("node").alias("node"), F.first("n").alias("n"), F.min("fp").alias("fp")), "nodes")
+    nodes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("node").alias("node"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bits").alias("bits")), "nodes")
     size = nodes.agg(F.sum("n")).first()[0] or 0
     prefixes = _prefixes(docs, counts, shingle, threshold, max(1, int(size * (1 - threshold)) // PART_ROWS))
     # shingles of two sets, in one of them where the smaller of a pair has it
@@ -447,15 +485,10 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold: fl
     stars = prefixes.withColumnsRenamed({"node": "a", "n": "n_a", "at": "at_a"}).join(heads, "h").where(_can_reach(threshold)).select("a", "b")
     one = cut(nodes.groupBy("fp").agg(F.min("node").alias("id")), "fingerprints")
     same = nodes.select("fp", F.col("node").alias("a")).join(one.select("fp", F.col("id").alias("b")), "fp").select("a", "b")
-    first = cut(links(one, radius, all_within=False).union(same).union(stars).where("a <> b").distinct(), "pairs")
-    # sets of all that may be asked for: the ends of these pairs, and what shares an indexed shingle
-    ends = first.select(F.col("a").alias("node")).union(first.select("b")).union(prefixes.join(many.select("h"), "h", "left_semi").select("node"))
-    asked = cut(nodes.join(ends.distinct(), "node", "left_semi").select("node", F.col("id").alias("doc_id")), "asked")
-    texts = _identified(docs).join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = cut(shingle_sets(texts, shingle).join(asked, "doc_id").select("node", "h"), "sets")
     twins = rows.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_b")).where("b < _b")
     twins = rows.join(twins, "doc_id").select(F.col("node").alias("a"), "b")  # texts of one id go together
-    found = components(_verified(first, sets, threshold).union(twins))
+    near = links(one, radius, all_within=False).union(same).union(stars)
+    found = components(_verified(near, docs, nodes, shingle, threshold).union(twins))
     named = cut(nodes.join(found, "node", "left").select("node", "digest", "id", F.coalesce("component", "node").alias("part")), "parts")
     # pairs of different parts only: parts of a shingle first, then their sets
     held = cut(prefixes.join(many.select("h"), "h", "left_semi").join(named.select("node", "part"), "node"), "held")
@@ -465,7 +498,7 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold: fl
     right = held.select("h", F.col("part").alias("q"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     across = left.select("h", "p").distinct().join(right.select("h", "q").distinct(), "h").where("p <> q")
     rest = across.join(left, ["h", "p"]).join(right, ["h", "q"]).where((F.col("n_a") <= F.col("n_b")) & _can_reach(threshold)).select("a", "b")
-    more = _verified(rest, sets, threshold)
+    more = _verified(rest, docs, nodes, shingle, threshold)
     a, b = (named.select(F.col("node").alias(x), F.col("part").alias(f"_{x}")) for x in "ab")
     joined = components(more.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     whole = named.join(joined, named["part"] == joined["node"], "left").select("digest", "id", F.coalesce("component", "part").alias("whole"))
