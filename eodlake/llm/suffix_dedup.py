@@ -32,7 +32,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -490,30 +489,28 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     goes too.  A row of whose text nothing is left (though there was some) goes; `n_chars`, where
     there is such a column, is counted anew.
 
-    Only the texts that change are sent to Python."""
-    own, twin, spans, text, there = unused([*docs.columns, "d", "tk"], "own", "twin", "spans", "cut", "there")
-    keys = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias(own), F.xxhash64(F.coalesce("text", F.lit(""))).alias(twin), "*")
-    found = covered(docs, length).groupBy("d", "tk").agg(F.collect_list(F.struct("start", "n")).alias(spans), F.lit(True).alias(there))
-    found = found.select(F.col("d").alias(own), F.col("tk").alias(twin), spans, there)
-    met = keys.join(found, [own, twin], "left")
-    changed = F.col(there).isNotNull()
-    shorter = _cut_spans(length)(F.when(changed, F.col("text")), F.col(spans))
-    out = met.withColumn(text, F.when(changed, shorter).otherwise(F.col("text"))).where(~changed | (F.length(F.trim(F.col(text))) > 0))
-    new = {"text": F.col(text)} | ({"n_chars": F.coalesce(F.length(text), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
-
-
-def _cut_spans(length: int):
-    @F.pandas_udf("string")
-    def cut_spans(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                None if t is None else _kept(t.encode(), merge([(s["start"], s["n"]) for s in sp], length)).decode("utf-8", "ignore") if sp is not None else t
-                for t, sp in zip(text, spans, strict=True)
-            ]
-        )
-
-    return cut_spans
+    One pass of Python over the rows; a UDF would be run twice, by the filter and by the columns."""
+    own, twin, spans = unused([*docs.columns, "d", "tk"], "own", "twin", "spans")
+    keys = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias(own), F.xxhash64(F.coalesce("text", F.lit(""))).alias(twin))
+    found = covered(docs, length).groupBy("d", "tk").agg(F.collect_list(F.struct("start", "n")).alias(spans))
+    met = keys.join(found.select(F.col("d").alias(own), F.col("tk").alias(twin), spans), [own, twin], "left").select(*docs.columns, spans)
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols, last = list(batch.columns), batch.num_columns - 1
+            changed = np.flatnonzero(cols[last].is_valid().to_numpy(zero_copy_only=False))
+            texts, kept = cols[at].to_pylist(), np.ones(batch.num_rows, bool)
+            for i in changed.tolist():
+                texts[i] = _kept(texts[i].encode(), merge([(s["start"], s["n"]) for s in cols[last][i].as_py()], length)).decode("utf-8", "ignore")
+                kept[i] = bool(texts[i].strip(" "))
+            cols[at] = pa.array(texts, cols[at].type)
+            if chars is not None:
+                cols[chars] = pa.array([len(t or "") for t in texts]).cast(cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols[:last], names=names).filter(pa.array(kept))
+
+    return met.mapInArrow(run, docs.schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
