@@ -3,9 +3,11 @@
 The lexicon is learned: words whose document counts in toxic and other labelled texts differ by more
 than chance (likelihood ratio) with toxic ones ahead; each has its log odds as
 weight.  A text's words
-are read by the product of the lexicon's trie and the Levenshtein automaton: a state is the set of
-(trie node, edits left), and steps are remembered, so a word that leads nowhere ends after a few
-characters.  Terms of `FUZZY` letters may be misspelled by one edit, those of `FUZZY2` by two.
+are read by the product of the lexicon's trie and the Levenshtein automaton: a state is a set of
+(trie node, edits used) without the pairs that others make needless.  States are numbered and steps between them remembered, a
+deterministic automaton that is built as words need it, so a word that leads nowhere ends after a few
+characters; when it holds `KEEP_PAIRS` pairs it is begun anew.  Terms of `FUZZY` letters may be misspelled by one edit, those of `FUZZY2` by two.
+A token is tried without the signs around it and, if there are signs inside, in its pieces too; tokens of any length are read.
 
 A misspelling has the weight of its own counts, or `UNSEEN` of its term's where it was never met.
 
@@ -13,11 +15,12 @@ A hit counts by its window of `WINDOW` words: inside quotation marks, or next to
 speech, it counts as quoted and by `QUOTED` of its weight.  A logistic model over the sums of
 exact, misspelled and quoted hits gives the score.
 
-The lexicon has at most `MAX_TERMS` terms.  Learning takes at most `FIT_ROWS` labelled rows, chosen
+The lexicon has at most `max_terms` terms, of `min_length` to `max_length` letters (parameters of `score_texts`).  Learning takes at most `FIT_ROWS` labelled rows, chosen
 by a hash of their id: `PARTS - 1` of `PARTS` parts for the lexicon, the rest for the logistic
 model.  Only the text is scored.
 
-Defined results: a null or empty text has the score of a text without hits; null ids are carried
+Defined results: a null or empty text has the score of a text without hits; a very long text is read whole; of terms equally near
+the first in order counts, and of equally strong terms at the end of the lexicon the first by name stays; null ids are carried
 and not held out; labels that are null or of no document are ignored, several for one id count as
 their largest; without toxic labels there is no lexicon and every score is the share of toxic labels
 (0.02 without labels); repeated rows score alike; an empty table gives an empty result; extra columns are ignored.
@@ -25,7 +28,8 @@ their largest; without toxic labels there is no lexicon and every score is the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,8 @@ from pyspark.sql import functions as F
 from eodlake.llm.common import cut, map_batches, table
 
 FIT_ROWS, MAX_TERMS, PARTS, MIN_G, MIN_ODDS, UNSEEN, FUZZY, FUZZY2 = 20_000, 4000, 4, 15.0, 2.5, 0.6, 5, 9
-WINDOW, QUOTED, CUT, KEEP = 8, 0.25, 0.3, 200_000
+MIN_LENGTH, MAX_LENGTH = 3, 40
+WINDOW, QUOTED, CUT, KEEP, KEEP_PAIRS = 8, 0.25, 0.3, 200_000, 500_000
 MODULUS, HELD_OUT = 4, 2
 #: Words next to a quoted term.
 REPORTS = frozenset("said says say saying called calls call wrote writes word words term terms quote quoted quotes unquote".split())
@@ -43,14 +48,24 @@ OPEN, CLOSE = "\"“„«‹'‘(", "\"”“»›'’)"
 _STRIP = ".,;:!?…*_~-—–()[]{}<>|/\\\"'“”„‘’«»‹›"
 
 
+_INSIDE = re.compile(f"[{re.escape(_STRIP)}]+")
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def readings(token: str) -> list[str]:
+    """A token without the signs around it, then its pieces between signs inside."""
+    bare = token.strip(_STRIP)
+    pieces = _INSIDE.split(bare)
+    return [bare, *(p for p in pieces if p)] if len(pieces) > 1 else [bare]
+
+
 class FuzzyTrie:
     """Trie of the lexicon and the states of its product with the Levenshtein automaton."""
 
-    def __init__(self, terms: list[str], fuzzy: int = FUZZY, fuzzy2: int = FUZZY2, keep: int = 1_000_000) -> None:
+    def __init__(self, terms: list[str], fuzzy: int = FUZZY, fuzzy2: int = FUZZY2, keep: int = KEEP_PAIRS) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.term_at: list[int] = [-1]
         self.allowed = [2 if len(t) >= fuzzy2 else 1 if len(t) >= fuzzy else 0 for t in terms]
@@ -67,11 +82,27 @@ class FuzzyTrie:
                 node = self.children[node][c]
                 most[node] = max(most[node], edits)
             self.term_at[node] = number
-        self.most, self.keep = most, keep
-        self.start = self._closed({(0, 0)})
-        self.step: dict[tuple[frozenset, str], frozenset] = {}
-
-    def _closed(self, state: set[tuple[int, int]]) -> frozenset:
+        self.most, self.keep, self.letters = most, keep, frozenset(c for t in terms for c in t)
+        self._begin()
+
+    def _begin(self) -> None:
+        """State 0 leads nowhere, state 1 is the start.  A state is its pairs (node and edits as one number); `step` has a dictionary per state."""
+        self.numbers: dict[frozenset, int] = {frozenset(): 0}
+        self.pairs: list[frozenset] = [frozenset()]
+        self.step: list[dict[str, int]] = [{}]
+        self.held = 0
+        self._number(self._closed({0: 0}.items()))
+
+    def _number(self, pairs: frozenset) -> int:
+        n = self.numbers.get(pairs)
+        if n is None:
+            n = self.numbers[pairs] = len(self.pairs)
+            self.pairs.append(pairs)
+            self.step.append({})
+            self.held += len(pairs)
+        return n
+
+    def _closed(self, state: Iterable[tuple[int, int]]) -> frozenset:
         """With the lexicon's letters left out, (node, edits used); fewer edits make more needless."""
         todo, best = list(state), {}
         while todo:
@@ -80,11 +111,12 @@ class FuzzyTrie:
                 continue
             best[node] = used
             todo.extend((child, used + 1) for child in self.children[node].values())
-        return frozenset(best.items())
+        return frozenset(node << 2 | used for node, used in best.items())
 
     def _next(self, state: frozenset, c: str) -> frozenset:
         out = set()
-        for node, used in state:
+        for pair in state:
+            node, used = pair >> 2, pair & 3
             child = self.children[node].get(c)
             if child is not None:
                 out.add((child, used))
@@ -95,17 +127,22 @@ class FuzzyTrie:
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest term, the first of equals."""
-        state = self.start
+        if self.held > self.keep:
+            self._begin()
+        state = 1
         for c in word:
-            got = self.step.get((state, c))
+            if c not in self.letters:
+                c = ""  # all other letters lead the same way
+            got = self.step[state].get(c)
             if got is None:
-                if len(self.step) >= self.keep:
-                    self.step.clear()
-                got = self.step[state, c] = self._next(state, c)
+                got = self._number(self._next(self.pairs[state], c))
+                self.step[state][c] = got
+                self.held += 1
             state = got
             if not state:
                 return None
-        found = [(used, self.term_at[node]) for node, used in state if self.term_at[node] >= 0 and used <= self.allowed[self.term_at[node]]]
+        ends = ((pair & 3, self.term_at[pair >> 2]) for pair in self.pairs[state])
+        found = [(used, term) for used, term in ends if term >= 0 and used <= self.allowed[term]]
         if not found:
             return None
         used, term = min(found)
@@ -121,7 +158,12 @@ class Scanner:
         self.known: dict[str, tuple[float, bool] | None] = {}
 
     def _hit(self, token: str) -> tuple[float, bool] | None:
-        found = self.trie.find(token.strip(_STRIP)) if len(token) <= 64 else None
+        """The strongest hit among a token's readings."""
+        hits = [h for r in readings(token) if (h := self._reading(r))]
+        return max(hits, key=lambda h: (h[0], not h[1])) if hits else None
+
+    def _reading(self, word: str) -> tuple[float, bool] | None:
+        found = self.trie.find(word)
         if not found:
             return None
         term, edits = found
@@ -138,7 +180,9 @@ class Scanner:
             else:
                 if len(known) >= KEEP:
                     known.clear()
-                hit = known[token] = self._hit(token)
+                hit = self._hit(token)
+                if len(token) <= 64:
+                    known[token] = hit
             if hit:
                 out.append((i, *hit))
         return out
@@ -172,13 +216,13 @@ def _fit_labels(labels: DataFrame, rows: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
 
 
-def learn_lexicon(texts: DataFrame) -> list[tuple[str, float]]:
+def learn_lexicon(texts: DataFrame, max_terms: int = MAX_TERMS, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH) -> list[tuple[str, float]]:
     """(text, toxic) -> terms and weights, equal texts counted once."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         words, toxic = [], []
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {w.strip(_STRIP) for w in words_of(t or "")}
+            own = {r for w in words_of(t or "") for r in readings(w)}
             words += own
             toxic += [y] * len(own)
         return {"word": words, "toxic": toxic}
@@ -187,7 +231,7 @@ def learn_lexicon(texts: DataFrame) -> list[tuple[str, float]]:
     n, n_toxic = once.select(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
         return []
-    seen = map_batches(once, run, "word string, toxic int").where("length(word) between 3 and 40").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    seen = map_batches(once, run, "word string, toxic int").where(F.length("word").between(min_length, max_length)).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     t, c, all_t, all_n = F.col("t").cast("double"), (F.col("n") - F.col("t")).cast("double"), float(n_toxic), float(n)
     share = (t + c) / all_n
     term = lambda x, total: F.when(x > 0, x * F.log(x / (total * share))).otherwise(0.0)
@@ -196,7 +240,7 @@ def learn_lexicon(texts: DataFrame) -> list[tuple[str, float]]:
         .withColumn("w", F.log((t + 0.5) / (all_t + 1)) - F.log((c + 0.5) / (all_n - all_t + 1)))
         .where((F.col("g") >= MIN_G) & (F.col("w") > MIN_ODDS))
         .orderBy(F.desc("g"), "word")
-        .limit(MAX_TERMS)
+        .limit(max_terms)
     )
     return sorted((r["word"], r["w"]) for r in found.select("word", "w").collect())
 
@@ -205,26 +249,28 @@ def learn_misspellings(texts: DataFrame, lexicon: list[tuple[str, float]]) -> di
     """(term number, edits) -> weight, from the same texts as the lexicon: what is near a term by chance
     stands in other texts as often.  At most two numbers a term; those never met are left out."""
 
-    def run(batch: pa.RecordBatch) -> dict[str, list]:
-        trie, cols = FuzzyTrie([t for t, _ in lexicon]), {"term": [], "edits": [], "toxic": []}
-        known: dict[str, tuple[int, int] | None] = {}
-        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = set()
-            for w in {w.strip(_STRIP) for w in words_of(t or "")}:
-                if w not in known:
-                    if len(known) >= KEEP:
-                        known.clear()
-                    known[w] = trie.find(w) if len(w) <= 64 else None
-                own.add(known[w])
-            for found in own:
-                if found and found[1]:
-                    for c, v in zip(cols, (*found, y), strict=True):
-                        cols[c].append(v)
-        return cols
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, known = FuzzyTrie([t for t, _ in lexicon]), {}
+        for batch in batches:
+            rows: list[tuple[int, int, int]] = []
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = set()
+                for w in {r for w in words_of(t or "") for r in readings(w)}:
+                    if w not in known:
+                        if len(known) >= KEEP:
+                            known.clear()
+                        found = trie.find(w)
+                        if len(w) <= 64:
+                            known[w] = found
+                    else:
+                        found = known[w]
+                    own.add(found)
+                rows += [(*found, y) for found in own if found and found[1]]
+            yield pa.record_batch([pa.array(c, pa.int32()) for c in list(zip(*rows, strict=True)) or [()] * 3], names=["term", "edits", "toxic"])
 
     once = texts.groupBy("text").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = once.select(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    seen = map_batches(once, run, "term int, edits int, toxic int").groupBy("term", "edits").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    seen = once.mapInArrow(run, "term int, edits int, toxic int").groupBy("term", "edits").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     out = {}
     for r in seen.collect():
         odds = np.log((r["t"] + 0.5) / (n_toxic + 1)) - np.log((r["n"] - r["t"] + 0.5) / (n - n_toxic + 1))
@@ -253,20 +299,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarra
     return beta
 
 
-def score_texts(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+def score_texts(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH) -> DataFrame:
     """-> doc_id, held_out, score, predicted, exact, misspelled."""
     fit = cut(_fit_labels(labels, rows), "toxic-labels")
     texts = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(fit), "doc_id").select("text", "toxic", "part"), "toxic-texts")
-    lexicon = learn_lexicon(texts.where("part > 0").select("text", "toxic"))
+    lexicon = learn_lexicon(texts.where("part > 0").select("text", "toxic"), max_terms, min_length, max_length)
 
     misspelled = learn_misspellings(texts.where("part > 0").select("text", "toxic"), lexicon) if lexicon else {}
 
-    def sums(batch: pa.RecordBatch) -> dict[str, list]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon, misspelled)
-        got = [scanner.features(t or "") for t in batch.column(0).to_pylist()]
-        return {"exact": [g[0] for g in got], "misspelled": [g[1] for g in got], "toxic": batch.column(1)}
+        for batch in batches:
+            got = np.array([scanner.features(t or "") for t in batch.column(0).to_pylist()], float).reshape(-1, 2)
+            yield pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1]), batch.column(1)], names=["exact", "misspelled", "toxic"])
 
-    seen = np.array([tuple(r) for r in map_batches(texts.where("part = 0").select("text", "toxic"), sums, "exact double, misspelled double, toxic int").collect()], float).reshape(-1, 3)
+    seen = np.array([tuple(r) for r in texts.where("part = 0").select("text", "toxic").mapInArrow(sums, "exact double, misspelled double, toxic int").collect()], float).reshape(-1, 3)
     beta = fit_logistic(np.log1p(seen[:, :2]), seen[:, 2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
