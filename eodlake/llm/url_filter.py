@@ -3,27 +3,30 @@
 The first level encodes the listed keys; every further level encodes the keys of the known
 universe that the level before accepts wrongly, until none is left.  The first level that
 rejects a key settles it: an odd level says "not listed", an even one "listed".  Over the keys
-of the universe the answer is exact, and no join is needed: the bits are one array that reaches
-the tasks as the value of a scalar subquery.
+of the universe the answer is exact, whatever the sizes.
 
-The bits of a level grow with the listed keys (`BITS_PER_KEY` each), so their size is known
-before they are sent.  Beyond `MAX_BITS` the same answer comes from a semi-join on the keys.
+The first level is so large that about as many unlisted keys pass it as there are listed ones; further levels have
+`BITS_PER_KEY` bits a key, and each holds about a quarter of the one before the last.  So the bits grow with the listed keys and
+the logarithm of the others' share.  Keys fall into shards by a hash, whose bits are one row of at most about `MAX_BITS` bits a level; a
+row of the pages meets the filter of its shard, never the list.  Spark sends a small filter to every task and deals out a large one.
 
 Defined results: a null url and one without `://` have an empty host and path, no rule, and are
-allowed; repeated rows are judged alike; an empty table gives an empty result; extra columns of
-the input are ignored.
+allowed; a very long url is read whole; of rules that fit equally long the last by name wins; repeated rows are judged alike, each where it
+is; an empty table gives an empty result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eodlake.llm.common import ascii_lower, cut, table
 
-BITS_PER_KEY, HASHES, MAX_BITS, MAX_LEVELS = 12, 4, 1 << 25, 24
+#: Bits and hashes of a key in the levels after the first; the most hashes in the first; bits of a shard in one level.
+BITS_PER_KEY, HASHES, MOST_HASHES, MAX_BITS = 3, 2, 10, 1 << 23
 
 #: The contract's rules as (host, path, verdict).
 RULES = (
@@ -42,71 +45,91 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return host, F.coalesce(F.regexp_extract(rest, r"^([^/?#]*)([^?#]*)", 2), F.lit(""))
 
 
-def _words(bits: int) -> int:
-    return max(1, bits // 64)
-
-
-def _position(h1: Column, h2: Column, i: int, bits: int) -> Column:
-    return F.pmod(h1 + F.lit(i) * h2, F.lit(bits))
+@dataclass
+class Level:
+    """Number of bits in a shard, hashes of a key, and a salt: other hashes at each level, or keys that meet once would always meet."""
+
+    bits: int
+    hashes: int
+    salt: int
+
+    def positions(self, key: Column) -> list[Column]:
+        # cut short, so that sums of multiples cannot overflow
+        h1, h2 = (F.shiftright(F.xxhash64(key, F.lit(2 * self.salt + i)), 8) for i in (0, 1))
+        return [F.pmod(h1 + F.lit(i) * h2, F.lit(self.bits)) for i in range(self.hashes)]
+
+    def passes(self, key: Column, filled: Column) -> Column:
+        """Whether all of a key's bits are set; a shard without keys has no bits."""
+        out = F.lit(True)
+        for p in self.positions(key):
+            out &= F.getbit(F.element_at(filled, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1
+        return F.coalesce(out, F.lit(False))
+
+    def fill(self, keys: DataFrame) -> DataFrame:
+        """(shard, key) -> shard, and the words of its bits in the column `l` and the salt."""
+        at = keys.select("shard", F.explode(F.array(*self.positions(F.col("key")))).alias("p"))
+        words = at.groupBy("shard", F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+        packed = words.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+        full = F.transform(F.sequence(F.lit(0), F.lit(self.bits // 64 - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("bigint")))
+        return packed.select("shard", full.alias(f"l{self.salt}"))
 
 
 @dataclass
 class Cascade:
-    """Levels as (DataFrame of one row with `bits` ARRAY<BIGINT>, number of bits)."""
-
-    levels: list[tuple[DataFrame, int]] = field(default_factory=list)
-    listed: DataFrame | None = None  # set where the bits would exceed MAX_BITS
+    """`filters`: one row per shard with an array of words for each level."""
 
-    @staticmethod
-    def _hashes(key: Column, salt: int) -> tuple[Column, Column]:
-        """Other hashes at each level, or keys that meet once would always meet; cut short, so that sums of multiples cannot overflow."""
-        return F.shiftright(F.xxhash64(key, F.lit(2 * salt)), 8), F.shiftright(F.xxhash64(key, F.lit(2 * salt + 1)), 8)
+    levels: list[Level]
+    filters: DataFrame | None
+    shards: int
 
     @classmethod
     def build(cls, keys: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
         """`keys`: the universe as (key STRING, listed BOOLEAN), each key once."""
-        spark = keys.sparkSession
         rest = cut(keys, "universe")
-        out, n_level, flag = cls(), 0, True
-        while True:
-            n = rest.where(F.col("listed") == flag).count()
-            n_level += 1
-            if n == 0 and n_level > 1:
-                return out
-            bits = 64 * max(1, -(-max(n, 1) * BITS_PER_KEY // 64))
-            if bits > max_bits or n_level > MAX_LEVELS:
-                return cls([], keys.where("listed").select("key"))
-            out.levels.append((cut(cls._level(spark, rest.where(F.col("listed") == flag), bits, n_level), "level"), bits))
+        n, others = rest.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
+        if not n:
+            return cls([], None, 1)
+        hashes = min(MOST_HASHES, max(HASHES, round(log2(max(others, 1) / n)) if others > n else HASHES))
+        per_key = max(BITS_PER_KEY, ceil(1.45 * hashes))
+        shards = max(1, ceil(n * per_key / max_bits))
+        rest = rest.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(shards)).cast("int"))
+        out, flag = cls([], None, shards), True
+        while n:
+            level = Level(64 * max(1, ceil(n * per_key / shards / 64)), hashes, len(out.levels) + 1)
+            filled = cut(level.fill(rest.where(F.col("listed") == flag)), "level")
+            out.levels.append(level)
+            out.filters = filled if out.filters is None else out.filters.join(filled, "shard", "full")
             # the level's own keys go on (all pass it); of the others those that pass wrongly
-            rest = cut(rest.where((F.col("listed") == flag) | cls._passes(F.col("key"), *out.levels[-1], n_level)), "universe")
-            flag = not flag
-
-    @classmethod
-    def _level(cls, spark: SparkSession, keys: DataFrame, bits: int, salt: int) -> DataFrame:
-        h1, h2 = cls._hashes(F.col("key"), salt)
-        at = keys.select(F.explode(F.array(*[_position(h1, h2, i, bits) for i in range(HASHES)])).alias("p"))
-        words = at.groupBy(F.floor(F.col("p") / 64).cast("bigint").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-        # each word's row number is its place; words without keys are zero
-        full = spark.range(_words(bits)).withColumnRenamed("id", "w").join(words, "w", "left")
-        return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))), lambda x: x["b"]).alias("bits"))
+            met = rest.join(filled, "shard", "left")
+            rest = cut(met.where((F.col("listed") == flag) | level.passes(F.col("key"), F.col(f"l{level.salt}"))).select(*rest.columns), "universe")
+            flag, hashes, per_key = not flag, HASHES, BITS_PER_KEY
+            n = rest.where(F.col("listed") == flag).count()
+        out.filters = cut(out.filters, "cascade")
+        return out
 
-    @classmethod
-    def _passes(cls, key: Column, level: DataFrame, bits: int, salt: int) -> Column:
-        h1, h2 = cls._hashes(key, salt)
-        filled = level.scalar()
-        tests = [
-            F.getbit(F.element_at(filled, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1
-            for p in (_position(h1, h2, i, bits) for i in range(HASHES))
-        ]
-        return tests[0] & tests[1] & tests[2] & tests[3]
-
-    def contains(self, key: Column) -> Column:
-        """Exact for keys of the universe."""
+    def _settled(self, key: Column, filled: list[Column]) -> Column:
         answer = F.lit(len(self.levels) % 2 == 1)
         for i in range(len(self.levels) - 1, -1, -1):
-            answer = F.when(~self._passes(key, *self.levels[i], i + 1), F.lit(i % 2 == 1)).otherwise(answer)
+            answer = F.when(~self.levels[i].passes(key, filled[i]), F.lit(i % 2 == 1)).otherwise(answer)
         return answer
 
+    def marked(self, df: DataFrame, key: Column, name: str) -> DataFrame:
+        """`df` with a column that says whether the key is listed; exact for keys of the universe."""
+        if self.filters is None:
+            return df.withColumn(name, F.lit(False))
+        met = df.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards)).cast("int")).join(self.filters, "shard", "left")
+        return met.select(*df.columns, self._settled(key, [F.col(f"l{x.salt}") for x in self.levels]).alias(name))
+
+    def with_listed(self, df: DataFrame, keys: Column, name: str) -> DataFrame:
+        """`df` with those of an array of keys of the universe that are listed; for lists of one shard, such as written rules."""
+        if self.filters is None:
+            return df.withColumn(name, F.slice(keys, 1, 0))
+        if self.shards > 1:
+            raise ValueError("the list has several shards")
+        filled = [F.col(f"l{x.salt}") for x in self.levels]
+        met = df.withColumn("shard", F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(self.shards))).join(F.broadcast(self.filters), "shard", "left")
+        return met.select(*df.columns, F.filter(keys, lambda key: self._settled(key, filled)).alias(name))
+
 
 def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     """Keys that could be listed: each domain above or at the host, with each path prefix of the
@@ -121,47 +144,33 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, listed_hosts: DataFrame | None = None) -> DataFrame:
     """-> page_id, host, path, rule, verdict, listed_host.
 
-    `rules` are few and written out; `listed_hosts` (host) may be large: both are keys of one
-    cascade, over the universe of all candidate keys and hosts of `pages`.  Where no rule fits,
+    `rules` are few and written out; `listed_hosts` (host) may be large.  Each is a cascade of its own, the rules' over the
+    universe of all candidate keys of `pages`, the hosts' over all hosts.  Where no rule fits,
     pages of a listed host are blocked and the others allowed.
     """
     spark = pages.sparkSession
     host, path = host_path(F.col("url"))
-    lengths = [len(p) for _, p, _ in rules]
-    # one row per page, host and path; repeated rows are counted and come back at the end
-    base = pages.select("page_id", host.alias("host"), path.alias("path")).groupBy("page_id", "host", "path").agg(F.count("*").alias("_n"))
-    base = cut(base.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths)), "urls")
-    if listed_hosts is None:
-        listed_hosts = spark.createDataFrame([], "host string")
-    rule_keys = spark.createDataFrame([(h + p,) for h, p, _ in rules], "key string")
-    seen = base.select(F.explode("keys").alias("key")).distinct().union(base.select(F.concat(F.lit("host:"), "host").alias("key")).distinct())
-    want = rule_keys.union(listed_hosts.select(F.concat(F.lit("host:"), "host").alias("key"))).distinct()
-    universe = seen.select("key", F.lit(0).alias("l")).union(want.select("key", F.lit(1).alias("l"))).groupBy("key").agg((F.max("l") == 1).alias("listed"))
-    cascade = Cascade.build(universe)
-    if cascade.listed is not None:
-        return _judge_joined(base, cascade.listed, rules)
-    one = base.select("page_id", "host", "path", "_n", F.explode_outer("keys").alias("key"))
-    hit = F.when(cascade.contains(F.col("key")), F.col("key"))
-    ruled = one.withColumn("_hit", hit).groupBy("page_id", "host", "path", "_n").agg(F.max_by("_hit", F.length("_hit")).alias("rule"))
-    return _verdict(ruled.withColumn("listed_host", cascade.contains(F.concat(F.lit("host:"), "host"))), rules)
-
-
-def _judge_joined(base: DataFrame, listed: DataFrame, rules: tuple) -> DataFrame:
-    """The exact way for lists whose bits exceed the bound: joins on the keys."""
-    marked = listed.withColumn("_in", F.lit(True))
-    one = base.select("page_id", "host", "path", "_n", F.explode_outer("keys").alias("key"))
-    hits = one.join(marked, "key", "left").withColumn("_hit", F.when(F.col("_in"), F.col("key")))
-    ruled = hits.groupBy("page_id", "host", "path", "_n").agg(F.max_by("_hit", F.length("_hit")).alias("rule"))
-    hosts = marked.where(F.col("key").startswith("host:")).select(F.expr("substr(key, 6)").alias("host"), "_in")
-    return _verdict(ruled.join(hosts, "host", "left").withColumn("listed_host", F.coalesce("_in", F.lit(False))), rules)
-
-
-def _verdict(df: DataFrame, rules: tuple) -> DataFrame:
+    base = pages.select("page_id", host.alias("host"), path.alias("path"))
+    keys = candidates(F.col("host"), F.col("path"), [len(p) for _, p, _ in rules])
+    written = spark.range(1).select(F.explode(F.array(*[F.lit(h + p) for h, p, _ in rules]) if rules else F.array().cast("array<string>")).alias("key"))
+    ruled = Cascade.build(_universe(base.select(F.explode(keys).alias("key")), written), 1 << 30)
+    if listed_hosts is not None:
+        listed = Cascade.build(_universe(base.select(F.col("host").alias("key")), listed_hosts.select(F.col("host").alias("key"))))
+        base = listed.marked(base, F.col("host"), "listed_host")
+    else:
+        base = base.withColumn("listed_host", F.lit(False))
+    hits = F.transform("hits", lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))
+    found = ruled.with_listed(base, keys, "hits").withColumn("rule", F.array_max(hits)["k"])
     said = F.when(F.col("listed_host"), F.lit("block")).otherwise(F.lit("allow"))
     for h, p, v in rules:
         said = F.when(F.col("rule") == h + p, F.lit(v)).otherwise(said)
-    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_i")
-    return df.select("page_id", "host", "path", "rule", said.alias("verdict"), "listed_host", each).drop("_i")
+    return found.select("page_id", "host", "path", "rule", said.alias("verdict"), "listed_host")
+
+
+def _universe(seen: DataFrame, listed: DataFrame) -> DataFrame:
+    """Keys met and keys listed -> key, listed."""
+    both = seen.distinct().select("key", F.lit(False).alias("l")).union(listed.select("key", F.lit(True).alias("l")))
+    return both.groupBy("key").agg(F.max("l").alias("listed"))
 
 
 def tracked_hosts(pages: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from eodlake.llm import decontaminate, fingerprint, licenses, mixing, quality, simhash, suffix_dedup, tokens, toxicity, url_filter
 from eodlake.llm.common import components
@@ -244,19 +245,28 @@ URLS = [
 
 @pytest.mark.parametrize("bits", [url_filter.MAX_BITS, 64])
 def test_url_rules(spark, bits, monkeypatch):
-    monkeypatch.setattr(url_filter.Cascade.build.__func__, "__defaults__", (bits,))
+    build = url_filter.Cascade.build.__func__
+    monkeypatch.setattr(build, "__defaults__", (bits,))
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(0, URLS[0], "again")], "page_id long, url string, html string")
-    listed = spark.createDataFrame([("listed.info",), ("other.info",)], "host string")
-    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, listed_hosts=listed).collect())
-    want = sorted((i, *brute_judge(u, {"listed.info"})) for i, u in [*enumerate(URLS), (0, URLS[0])])
-    assert got == want
+    listed = spark.createDataFrame([("listed.info",), ("other.info",), *((f"x{i}.info",) for i in range(200))], "host string")
+    for some in (listed, None):
+        names = {"listed.info"} if some else set()
+        got = sorted((r["page_id"], r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in url_filter.judge(pages.withColumn("host", pages["html"]).withColumn("shard", pages["html"]), listed_hosts=some).collect())
+        want = sorted((i, h, p, r or "", v) for i, u in [*enumerate(URLS), (0, URLS[0])] for h, p, r, v in [brute_judge(u, names)])
+        assert got == want
+
 
+@pytest.mark.parametrize(("every", "bits"), [(7, url_filter.MAX_BITS), (2000, 1024), (2, 256), (1, 64)])
+def test_cascade_is_exact(spark, every, bits):
+    keys = spark.range(20000 if every == 2000 else 3000).selectExpr("concat('k', id) AS key", f"id % {every} = 0 AS listed")
+    cascade = url_filter.Cascade.build(keys, bits)
+    assert cascade.levels and (cascade.shards > 1) == (bits < 1024)  # ten keys among 20,000 stay one small cascade
+    assert cascade.marked(keys, keys["key"], "found").where("found <> listed").count() == 0
 
-def test_cascade_is_exact(spark):
-    keys = spark.range(3000).selectExpr("concat('k', id) AS key", "id % 7 = 0 AS listed")
-    cascade = url_filter.Cascade.build(keys)
-    assert len(cascade.levels) > 1
-    assert keys.where(cascade.contains(keys["key"]) != keys["listed"]).count() == 0
+
+def test_cascade_of_no_listed_keys(spark):
+    cascade = url_filter.Cascade.build(spark.range(5).selectExpr("cast(id as string) AS key", "false AS listed"))
+    assert cascade.marked(spark.range(5).selectExpr("cast(id as string) AS key"), F.col("key"), "found").where("found").count() == 0
 
 
 def test_urls_empty(spark):
@@ -377,7 +387,7 @@ def lev(a, b):
 def test_automaton_against_distances():
     r = random.Random(3)
     terms = sorted({"".join(r.choice("abc") for _ in range(r.randint(3, 10))) for _ in range(40)})
-    trie = toxicity.FuzzyTrie(terms)
+    trie = toxicity.FuzzyTrie(terms, keep=3000)  # begun anew now and then
     for _ in range(1500):
         w = "".join(r.choice("abcd") for _ in range(r.randint(0, 11)))
         want = min(((lev(w, t), i) for i, t in enumerate(terms) if lev(w, t) <= trie.allowed[i]), default=None)
@@ -392,6 +402,25 @@ def test_quotes_lower_a_hit():
     assert s.features("wrthless, idiott!")[1] > 0 and s.features("") == [0.0, 0.0]
 
 
+def test_tokens_of_any_length_and_signs():
+    s = toxicity.Scanner([("idiot", 4.0), ("worthless", 5.0)])
+    for text in ("!" * 61 + "idiot", "idiot" + "." * 60, "idiot/idiot", "(an/idiot)", "\u2019idiot\u2019s"):
+        assert s.features(text)[0] > 0, text
+    assert s.features("x" * 5000) == [0.0, 0.0] and s.features("x" * 100 + "/idiot")[0] == 4.0
+    assert toxicity.readings("--a/b--") == ["a/b", "a", "b"]
+
+
+def test_automaton_stays_small():
+    r = random.Random(8)
+    terms = sorted({"".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 14))) for _ in range(1500)})
+    trie = toxicity.FuzzyTrie(terms, keep=50_000)
+    most = 0
+    for _ in range(300):
+        trie.find("".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(3, 12))))
+        most = max(most, trie.held)
+    assert most < 50_000 + 12 * 2 * len(trie.children)
+
+
 def toxic_corpus(n=900, seed=4):
     r = random.Random(seed)
     words = ["".join(r.choice("bcdfglmnrst") for _ in range(r.randint(3, 8))) for _ in range(200)]
