@@ -4,17 +4,21 @@ A text falls into paragraphs (lines with their line end); `FANOUT` of them, or f
 line, are a section.  A paragraph's leaves are its sentences, cut further after `LEAF` bytes
 (`SHORT_LEAF` in texts under `SHORT` bytes).  Each
 node is the hash of its children's, each leaf the hash of its bytes, so equal roots mean equal
-texts; `differing` walks down only the branches whose hashes differ and returns the spans of bytes.
+texts.  `aligned` sets the branches of two trees against each other by their hashes, whatever their places: equal ones at the ends first, then
+the longest sequence of those that stand once in both; only what lies between is opened, a level down.  So a paragraph put in front moves the
+others without making them differ.  `differing` gives the spans of bytes that are left, the edits.
 
-The fingerprint is written as root ':' leaves, six hex digits each.  The likeness of two is Dice's
-share of common leaves (1 for equal roots, which two empty texts have).
+The fingerprint is written as root ':' leaves, six hex digits each, with ',' after a paragraph and ';' after a
+section, so the tree can be read from it.  The likeness of two is Dice's
+share of the leaves that are aligned (1 for equal roots, which two empty texts have).
 
 The edited text of a document takes its tail from the next one by id.  Documents are put in
 ranges of ids, each range in a task's stream in order; only the first document of a range is also
-sent to the range before it.  Ranges are taken from the ids' quantiles, so what a task holds at once
-is two documents and a batch.
+sent to the range before it.  Ranges are taken from the ids' quantiles, as many as make `RANGE_BYTES` of text each; what a task holds at once
+is two documents and a batch, so rows of a null id, which are one range, are read by one task but never held.
 
-Defined results: a null text is empty; null ids come after all others; rows that share the id follow the order of a
+Defined results: a null text is empty; a very long text is one tree, in memory with its edited text's and the next one's; branches that stand several times
+in both texts are aligned only at the ends of what differs; null ids come after all others; rows that share the id follow the order of a
 hash of their text, so equal rows are each other's next; one document alone is its own next; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from eodlake.llm.common import map_batches, table, text_bytes
 
-FANOUT, LEAF, SHORT, SHORT_LEAF, DIGITS = 8, 48, 256, 8, 6
+FANOUT, LEAF, SHORT, SHORT_LEAF, DIGITS, RANGE_BYTES = 8, 48, 256, 8, 6, 64 << 20
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+[ \t]*|\n|$)", re.DOTALL)
 _LINE = re.compile(rb"[^\n]*\n|[^\n]+")
 LOWEST = -(1 << 63)
@@ -87,33 +91,102 @@ def leaves(node: Node, depth: int = 0) -> Iterator[Node]:
 
 
 def fingerprint(root: Node) -> str:
-    return root.digest.hex() + ":" + "".join(x.digest.hex()[:DIGITS] for x in leaves(root))
-
-
-def likeness(a: str, b: str) -> float:
-    (ra, la), (rb, lb) = a.split(":"), b.split(":")
-    if ra == rb:
-        return 1.0
-    x, y = (Counter(s[i : i + DIGITS] for i in range(0, len(s), DIGITS)) for s in (la, lb))
-    both, n = sum((x & y).values()), x.total() + y.total()
-    return min(2 * both / n, 1.0) if n else 1.0
-
-
-def differing(a: Node, b: Node, depth: int = 0) -> list[tuple[int, int]]:
-    """Spans of `b` whose branches differ from those of `a` in the same place."""
+    sections = ("".join("".join(x.digest.hex()[:DIGITS] for x in p.children) + "," for p in s.children) + ";" for s in root.children)
+    return root.digest.hex() + ":" + "".join(sections)
+
+
+def read_tree(fp: str) -> Node:
+    """The tree of a fingerprint: digests are what is written of a node, spans count leaves."""
+    root, _, rest = fp.partition(":")
+    sections, at = [], 0
+    for section in rest.split(";")[:-1]:
+        paragraphs = []
+        for paragraph in section.split(",")[:-1]:
+            found = [Node(paragraph[i : i + DIGITS].encode(), at + i // DIGITS, at + i // DIGITS + 1, []) for i in range(0, len(paragraph), DIGITS)]
+            paragraphs.append(Node(paragraph.encode(), at, at + len(found), found))
+            at += len(found)
+        sections.append(Node(section.encode(), paragraphs[0].start if paragraphs else at, at, paragraphs))
+    return Node(root.encode(), 0, at, sections)
+
+
+def _anchors(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
+    """Places of nodes that stand once in both, as many as come in the same order."""
+    once_a, once_b = (Counter(x.digest for x in side) for side in (a, b))
+    where = {x.digest: j for j, x in enumerate(b) if once_b[x.digest] == 1}
+    both = [(i, where[x.digest]) for i, x in enumerate(a) if once_a[x.digest] == 1 and x.digest in where]
+    ends: list[int] = []  # longest increasing sequence of the places in b
+    last: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(both):
+        k = bisect_left(ends, j)
+        before.append(last[k - 1] if k else -1)
+        if k == len(ends):
+            ends.append(j)
+            last.append(n)
+        else:
+            ends[k], last[k] = j, n
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(both[n])
+        n = before[n]
+    return out[::-1]
+
+
+def aligned(a: list[Node], b: list[Node], depth: int = 0) -> Iterator[tuple[Node | None, Node | None]]:
+    """Nodes that are equal in both sequences, as pairs; leaves of `a` or `b` without an equal one, alone.
+
+    `depth` is that of the nodes: 0 for roots, 3 for leaves."""
+    lo, na, nb = 0, len(a), len(b)
+    while lo < na and lo < nb and a[lo].digest == b[lo].digest:
+        yield a[lo], b[lo]
+        lo += 1
+    hi = 0
+    while hi < na - lo and hi < nb - lo and a[na - 1 - hi].digest == b[nb - 1 - hi].digest:
+        hi += 1
+    mid_a, mid_b = a[lo : na - hi], b[lo : nb - hi]
+    i = j = 0
+    for x, y in [*_anchors(mid_a, mid_b), (len(mid_a), len(mid_b))]:
+        gap_a, gap_b = mid_a[i:x], mid_b[j:y]
+        if depth == 3:
+            yield from ((n, None) for n in gap_a)
+            yield from ((None, n) for n in gap_b)
+        elif gap_a or gap_b:
+            yield from aligned([c for n in gap_a for c in n.children], [c for n in gap_b for c in n.children], depth + 1)
+        if x < len(mid_a):
+            yield mid_a[x], mid_b[y]
+        i, j = x + 1, y + 1
+    yield from zip(a[na - hi :], b[nb - hi :], strict=True) if hi else ()
+
+
+def _leaves_below(node: Node, depth: int) -> int:
+    return sum(1 for _ in leaves(node, depth))
+
+
+def likeness(a: Node, b: Node) -> float:
+    """Dice's share of aligned leaves, whose depth tells how many a pair stands for."""
     if a.digest == b.digest:
-        return []
-    if depth == 3 or not b.children:
-        return [(b.start, b.end)]
-    out: list[tuple[int, int]] = []
-    for i, c in enumerate(b.children):
-        spans = differing(a.children[i], c, depth + 1) if i < len(a.children) else [(c.start, c.end)]
-        for s, e in spans:
-            if out and out[-1][1] == s:
-                out[-1] = out[-1][0], e
+        return 1.0
+    n, m = _leaves_below(a, 0), _leaves_below(b, 0)
+    alone = sum(1 for x, y in aligned([a], [b]) if x is None or y is None)
+    return (n + m - alone) / (n + m) if n + m else 1.0
+
+
+def differing(a: Node, b: Node) -> list[tuple[int, int]]:
+    """Spans of `b` that have no equal branch in `a`; where bytes of `a` are only missing, the empty span of that place."""
+    out: list[list[int]] = []
+    end = 0
+    for x, y in aligned([a], [b]):
+        if y is None:
+            if not out or out[-1][1] != end:
+                out.append([end, end])
+            continue
+        if x is None:
+            if out and out[-1][1] == y.start:
+                out[-1][1] = y.end
             else:
-                out.append((s, e))
-    return out
+                out.append([y.start, y.end])
+        end = y.end
+    return [(s, e) for s, e in out]
 
 
 def _bounds(ids: DataFrame, ranges: int) -> list[int]:
@@ -128,12 +201,14 @@ def _range_of(bounds: list[int], d: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """-> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """-> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_spans (bytes of the
+    edited text that differing branches locate)."""
     import zstandard
 
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    ranges = ranges or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = ranges or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     bounds = _bounds(ids, ranges)
 
     def tops(batch: pa.RecordBatch) -> dict[str, list]:
@@ -163,7 +238,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     ordered = dealt.repartition(ranges, "r").sortWithinPartitions("r", "extra", F.desc("d"), "tk")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Documents with their next: ((id, text, fingerprint), (text, fingerprint))."""
+        """Documents with their next: ((id, text, tree), (id, text, tree))."""
         unpack, last, last_range, met_extra = zstandard.ZstdDecompressor(), None, None, False
         for batch in batches:
             for r, extra, d, z in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
@@ -173,29 +248,32 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                     continue
                 met_extra = extra
                 text = unpack.decompress(z)
-                own = (d, text.decode(), fingerprint(tree(text)))
+                own = (d, text.decode(), tree(text))
                 if last:
                     yield last, own
                 last = own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for (d, text, fp), (_, after, after_fp) in pairs(batches):
+        for (d, text, own), (_, after, next_tree) in pairs(batches):
             n = len(text)
             edited = (text[: n - n // 3] + after[: n // 3]).encode()
-            own = fingerprint(tree(edited))
-            rows.append((None if d == LOWEST else d, n, hashlib.sha256(edited).hexdigest(), fp, own, likeness(fp, own), likeness(fp, after_fp)))
-            if len(rows) >= 2000:
+            other = tree(edited)
+            spans = [{"start": s, "end": e} for s, e in differing(own, other)]
+            digest = hashlib.sha256(edited).hexdigest()
+            rows.append((None if d == LOWEST else d, n, digest, fingerprint(own), fingerprint(other), likeness(own, other), likeness(own, next_tree), spans))
+            if len(rows) >= 500:
                 yield batch_of(rows)
                 rows = []
         yield batch_of(rows)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names=names)
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), span)
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_spans"]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 8, kinds, strict=True)], names=names)
 
-    return ordered.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_spans array<struct<start bigint, end bigint>>")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -710,6 +710,17 @@ def test_native_operators_run_no_python(docs, spark):
 # 10
 
 
+def brute_leaves(t):
+    """Sentences of each line, in pieces of 48 bytes (8 in short texts)."""
+    b = t.encode()
+    step = 48 if len(b) >= 256 else 8
+    out = []
+    for line in re.findall(rb"[^\n]*\n|[^\n]+", b):
+        for sentence in re.findall(rb"[^.!?\n]*(?:[.!?]+[ \t]*|\n|$)", line):
+            out += [sentence[i : i + step] for i in range(0, len(sentence), step)]
+    return out
+
+
 def test_fingerprints(docs, rows):
     order = sorted(rows, key=lambda r: -r[0])
     got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
@@ -720,10 +731,22 @@ def test_fingerprints(docs, rows):
         edited = t[: n - n // 3] + after[: n // 3]
         g = got[i]
         assert (g["n_chars"], g["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
-        own, other = (fingerprint.fingerprint(fingerprint.tree(x.encode())) for x in (t, edited))
-        nxt = fingerprint.fingerprint(fingerprint.tree(after.encode()))
-        assert (g["fingerprint"], g["edited_fingerprint"]) == (own, other)
-        assert g["near_edited"] == fingerprint.likeness(own, other) and g["near_next"] == fingerprint.likeness(own, nxt)
+        own, other, nxt = brute_leaves(t), brute_leaves(edited), brute_leaves(after)
+        written = [g[c].partition(":")[2].replace(",", "").replace(";", "") for c in ("fingerprint", "edited_fingerprint")]
+        assert written == ["".join(xxhash.xxh3_128_digest(x).hex()[:6] for x in leaf) for leaf in (own, other)]
+        for near, x, y, same in ((g["near_edited"], own, other, t == edited), (g["near_next"], own, nxt, t == after)):
+            # at least the common ends, at most the common leaves in any order
+            ends = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+            most = 2 * (Counter(x) & Counter(y)).total() / max(len(x) + len(y), 1)
+            assert near == 1.0 if same else 2 * ends / max(len(x) + len(y), 1) - 1e-9 <= near <= most + 1e-9
+        spans, b = [(s["start"], s["end"]) for s in g["edited_spans"]], edited.encode()
+        if t != edited:  # what is outside the spans stands in the text, in order
+            at, outside = 0, [b[p:q] for p, q in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(b)], strict=True)]
+            for piece in outside:
+                at = t.encode().find(piece, at)
+                assert at >= 0
+        else:
+            assert not spans
     same = Counter(t or "" for _, t, *_ in rows)
     assert len({g["fingerprint"] for g in got.values()}) == len(same)
 
@@ -742,3 +765,15 @@ def test_branches_locate_edits():
     assert len(spans) == 1 and spans[0][0] <= at < spans[0][1] and spans[0][1] - spans[0][0] < 60
     assert fingerprint.differing(fingerprint.tree(text), fingerprint.tree(text)) == []
     assert "".join(text[x.start : x.end].decode() for x in fingerprint.leaves(fingerprint.tree(text))) == text.decode()
+
+
+def test_a_paragraph_in_front_is_one_edit():
+    text = "\n".join(f"Paragraph {i}. It has two sentences." for i in range(40)).encode()
+    front = b"A new paragraph.\n"
+    a, b = fingerprint.tree(text), fingerprint.tree(front + text)
+    assert fingerprint.differing(a, b) == [(0, len(front))]
+    assert fingerprint.likeness(a, b) > 0.97
+    gone = fingerprint.differing(b, a)
+    assert gone == [(0, 0)]
+    for x, y in ((a, b), (b, a), (a, fingerprint.tree(b"")), (fingerprint.tree(b""), fingerprint.tree(b""))):
+        assert fingerprint.likeness(*(fingerprint.read_tree(fingerprint.fingerprint(t)) for t in (x, y))) == fingerprint.likeness(x, y)
