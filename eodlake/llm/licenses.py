@@ -1,8 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a window of `BLOCK` words; windows start every `STEP` words, so that a passage of up to
-BLOCK - STEP words lies in one of them however its lines break.  A template matches a block that
-holds at least `threshold` of its distinct words.  Words are ordered by their frequency in the
+A block is a window of `BLOCK` words, or of two, four, ... times as many for longer templates; windows start every half block, so that a
+passage of half a block's words lies in one of them however its lines break.  A template has the shortest blocks of which half holds
+it, and matches a block that holds at least `threshold` of its distinct words; every such block is found.  Words are ordered by their frequency in the
 corpus, rarest first, and a template is looked up only by its prefix, the |t| - a + 1 rarest of its
 words (a = ceil(threshold |t|), the overlap needed): a block without any of these cannot match.
 Length filter: the block has at least a of the templates' words.  Positional filter: what is left
@@ -11,10 +11,11 @@ of both lists after the shared word can still reach a.  Candidates are verified
 Base phrases are templates of threshold 1; blocks that match are searched for the phrase's words in
 sequence.
 
-Templates are a written list, so the index sent to the tasks has a fixed size (`MAX_TOKENS` is
-checked).  Whole texts are scanned in one pass, after one that counts the templates' words.
+Templates are a written list of notices and whole license texts, so the index sent to the tasks has a fixed size (`MAX_TOKENS` is
+checked); any other list may be given.  Whole texts are scanned in one pass, after one that counts the templates' words.
 
-Defined results: a null or empty text has no words, labels '' and score 0; null ids are carried;
+Defined results: a null or empty text has no words, labels '' and score 0; a very long text is scanned whole, block by block; labels that tie
+are all given, words of equal frequency are ordered by their letters; null ids are carried;
 repeated rows are reported each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from eodlake.llm.common import map_batches, table, text_bytes
 
-BLOCK, STEP, THRESHOLD, MAX_TOKENS = 64, 32, 0.8, 100_000
+BLOCK, THRESHOLD, MAX_TOKENS = 64, 0.8, 100_000
 
 #: The contract's phrases.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -47,6 +48,67 @@ TEMPLATES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
     ("this work has been released into the public domain", "public-domain"),
+    # whole texts, without the line that names year and holder: fixed values
+    (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+        is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+        included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+        IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+        "mit",
+    ),
+    (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+        THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+        IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+        RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT
+        OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        "isc",
+    ),
+    (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+        the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED
+        BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+        HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+        BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+        HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        "bsd-2-clause",
+    ),
+    (
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+        any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+        including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+        origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+        software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+        source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+        may not be removed or altered from any source distribution.""",
+        "zlib",
+    ),
+    (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+        agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+        limitations under the License.""",
+        "apache-2.0",
+    ),
+    (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program
+        is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+        or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the
+        GNU General Public License along with this program.""",
+        "gpl-3.0",
+    ),
 )
 
 #: A-Z to a-z, ASCII that is neither letter nor digit to a space.
@@ -65,16 +127,19 @@ class Template:
     phrase: bool  # its words must stand in sequence
 
     def __post_init__(self) -> None:
+        self.block = BLOCK
+        while len(self.words) > self.block // 2 + 1:
+            self.block *= 2
         self.tokens = sorted(set(self.words))
         self.need = max(1, ceil(self.threshold * len(self.tokens) - 1e-9))
 
 
 def make_templates(base=BASE, templates=TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
-    out = [Template(p.encode().split(), label, 1.0, True) for p, label in base]
-    out += [Template(t.encode().split(), label, threshold, False) for t, label in templates]
-    if sum(len(t.tokens) for t in out) > MAX_TOKENS or any(len(t.words) > BLOCK - STEP + 1 for t in out):
-        raise ValueError(f"templates exceed {MAX_TOKENS} words together or {BLOCK - STEP + 1} words each")
-    return out
+    out = [Template(words_of(p.encode()), label, 1.0, True) for p, label in base]
+    out += [Template(words_of(t.encode()), label, threshold, False) for t, label in templates]
+    if sum(len(t.tokens) for t in out) > MAX_TOKENS:
+        raise ValueError(f"templates exceed {MAX_TOKENS} words together")
+    return [t for t in out if t.words]
 
 
 class Index:
@@ -87,12 +152,15 @@ class Index:
         self.lists = [sorted(self.rank[w] for w in t.tokens) for t in templates]
         self.sets = [set(x) for x in self.lists]
         self.sequences = [np.array([self.rank[w] for w in t.words]) for t in templates]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        #: by block length: prefix words to (template, place in its order), and which words these are
+        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for number, (t, own) in enumerate(zip(templates, self.lists, strict=True)):
             for i, token in enumerate(own[: len(own) - t.need + 1]):
-                self.postings.setdefault(token, []).append((number, i))
-        self.is_prefix = np.zeros(len(vocabulary) + 1, bool)  # the last place stands for other words
-        self.is_prefix[list(self.postings)] = True
+                self.postings.setdefault(t.block, {}).setdefault(token, []).append((number, i))
+        self.is_prefix = {}
+        for block, postings in self.postings.items():
+            self.is_prefix[block] = np.zeros(len(vocabulary) + 1, bool)  # the last place stands for other words
+            self.is_prefix[block][list(postings)] = True
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         get = self.rank.get
@@ -100,27 +168,26 @@ class Index:
 
     def matches(self, ranks: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, first word of the block, overlap)."""
-        at = np.flatnonzero(self.is_prefix[ranks])
-        if not len(at):
-            return
-        for k in np.unique(np.concatenate((at // STEP, np.maximum(at // STEP - 1, 0)))).tolist():
-            block = np.unique(ranks[k * STEP : k * STEP + BLOCK])
-            own = block[block >= 0].tolist()
-            tried = set()
-            for j, token in enumerate(own):
-                for number, i in self.postings.get(token, ()):
-                    need = self.templates[number].need
-                    if number in tried or len(own) < need or 1 + min(len(self.lists[number]) - i, len(own) - j) - 1 < need:
-                        continue
-                    tried.add(number)
-                    overlap = len(self.sets[number].intersection(own))
-                    if overlap >= need:
-                        yield number, k * STEP, overlap
+        for block, postings in self.postings.items():
+            at, step = np.flatnonzero(self.is_prefix[block][ranks]), block // 2
+            for k in np.unique(np.concatenate((at // step, np.maximum(at // step - 1, 0)))).tolist():
+                own = np.unique(ranks[k * step : k * step + block])
+                own = own[own >= 0].tolist()
+                tried = set()
+                for j, token in enumerate(own):
+                    for number, i in postings.get(token, ()):
+                        need = self.templates[number].need
+                        if number in tried or len(own) < need or min(len(self.lists[number]) - i, len(own) - j) < need:
+                            continue
+                        tried.add(number)
+                        overlap = len(self.sets[number].intersection(own))
+                        if overlap >= need:
+                            yield number, k * step, overlap
 
     def places(self, number: int, ranks: np.ndarray, first: int) -> np.ndarray:
         """Where the words of a template stand in sequence in the block, starts of the next block left out."""
         seq = self.sequences[number]
-        block = ranks[first : first + STEP + len(seq) - 1]
+        block = ranks[first : first + self.templates[number].block // 2 + len(seq) - 1]
         n = len(block) - len(seq) + 1
         if n <= 0:
             return np.empty(0, np.int64)
@@ -147,7 +214,7 @@ class Index:
                 share = overlap / len(t.tokens)
                 labels.add(t.label)
                 score = max(score, share)
-                spans.append((first, min(first + BLOCK, len(words)) - 1, t.label, share))
+                spans.append((first, min(first + t.block, len(words)) - 1, t.label, share))
         return len(words), places, base, labels | base, score, spans
 
 
@@ -191,22 +258,22 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{' '.join(w.decode() for w in t.words)}', '{t.label}', {len(t.tokens)}, {t.need}, {str(t.phrase).lower()})" for t in make_templates())
+    values = ", ".join(f"('{' '.join(w.decode() for w in t.words)}', '{t.label}', {len(t.tokens)}, {t.need}, {str(t.phrase).lower()}, {t.block})" for t in make_templates())
     return (
         r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents
-), t(txt, label, n, need, phrase) AS (VALUES """
+), t(txt, label, n, need, phrase, size) AS (VALUES """
         + values
-        + rf"""), p AS (
-  SELECT txt, label, n, need, phrase, string_split(txt, ' ') AS ws FROM t
+        + r"""), p AS (
+  SELECT txt, label, n, need, phrase, size, string_split(txt, ' ') AS ws, list_distinct(string_split(txt, ' ')) AS own FROM t
 ), b AS (
-  SELECT r, unnest(range(0, len(w), {STEP})) AS first, w FROM d
+  SELECT r, size, unnest(range(0, len(w), size // 2)) AS first, w FROM d, (SELECT DISTINCT size FROM p WHERE NOT phrase)
 ), bl AS (
-  SELECT r, list_distinct(w[first + 1:first + {BLOCK}]) AS ws FROM b
+  SELECT r, size, list_distinct(w[first + 1:first + size]) AS ws FROM b
 ), m AS (
-  SELECT r, label, len(list_intersect(list_distinct(p.ws), bl.ws)) / n::DOUBLE AS share
-  FROM bl, p WHERE NOT phrase AND len(list_intersect(list_distinct(p.ws), bl.ws)) >= need
+  SELECT r, label, len(list_intersect(own, bl.ws)) / n::DOUBLE AS share
+  FROM bl JOIN p ON bl.size = p.size WHERE NOT phrase AND len(list_intersect(own, bl.ws)) >= need
 ), ph AS (
   SELECT r, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(ws)] = ws)) AS place FROM d, p WHERE phrase
 ), ba AS (

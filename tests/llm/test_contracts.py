@@ -82,10 +82,9 @@ def test_licenses(docs, rows):
             places += found
             base |= {label} if found else set()
         labels, score = set(base), 1.0 if base else 0.0
-        for k in range(0, len(w), licenses.STEP):
-            block = set(w[k : k + licenses.BLOCK])
-            for x in templates:
-                share = len({b.decode() for b in x.tokens} & block) / len(x.tokens)
+        for x in templates:
+            for k in range(0, len(w), x.block // 2):
+                share = len({b.decode() for b in x.tokens} & set(w[k : k + x.block])) / len(x.tokens)
                 if not x.phrase and share >= x.threshold - 1e-9:
                     labels.add(x.label)
                     score = max(score, share)
@@ -94,6 +93,35 @@ def test_licenses(docs, rows):
         assert (g["base_labels"], g["labels"], g["score"]) == (",".join(sorted(base)), ",".join(sorted(labels)), score)
 
 
+def test_whole_license_texts(spark):
+    """Anywhere in a text, with a sixth of the words left out; half of them aren't enough."""
+    r = random.Random(2)
+    rows, want = [], {}
+    for n, (text, label) in enumerate(t for t in licenses.TEMPLATES if len(t[0].split()) > 40):
+        w = text.split()
+        tokens = sorted(set(WORDS.findall(ascii_lower(text))))
+        for m, share in enumerate((0, 0.15, 0.5)):
+            gone = set(r.sample(tokens, int(share * len(tokens))))
+            some = [x for x in w if not gone & set(WORDS.findall(ascii_lower(x)))]
+            noise = [f"n{r.randrange(9999)}" for _ in range(r.randrange(700))]
+            rows.append((10 * n + m, " ".join([*noise, *some, *noise]), "en", "s", 0))
+            want[10 * n + m] = label, share
+    for x in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        label, share = want[x["doc_id"]]
+        if share == 0:
+            assert label in x["labels"].split(",") and x["score"] == 1.0
+        if share == 0.15 and x["score"] >= 0.8:
+            assert label in x["labels"].split(",")
+        if share == 0.5:
+            assert label not in {s["label"] for s in x["spans"] if s["last"] - s["first"] > 64}
+
+
+def test_licenses_odd(odd, empty):
+    got = licenses.scan(odd.selectExpr("*", "1 AS words", "2 AS labels")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["labels"]) for r in got) == [(0, 0, ""), (0, 6, ""), (1, 5, ""), (1, 6, ""), (1, 6, "")]
+    assert licenses.scan(empty).count() == 0
+
+
 def test_license_words_are_ascii_rules():
     assert licenses.words_of("ÀB cd_9 É\u00a0x\x7fy".encode()) == [x.encode() for x in WORDS.findall(ascii_lower("ÀB cd_9 É\u00a0x\x7fy"))]
 
