@@ -14,7 +14,8 @@ Pieces hold a mark only at their start (or are marks alone), so a text falls int
 that follows another character, and the best path is made of those of its parts.  Equal parts are
 searched once per task: a bounded dictionary holds their counts.
 
-Defined results: a null or empty text has no tokens; null ids are carried; repeated rows are
+Defined results: a null or empty text has no tokens; a very long text is counted part by part, parts over 64 characters are not
+remembered; ties go by the rules above; null ids are carried; repeated rows are
 reported each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -97,10 +98,11 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """-> doc_id, n_tokens.  `path` is the model file, present on each machine."""
+    """-> doc_id, n_tokens.  `path` is the model file, read on the driver; its pieces (some ten thousand) are sent to the tasks."""
+    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches):
-        counter = Counter(vocabulary(path))
+        counter = Counter(pieces.value)
         for batch in batches:
             n = [counter(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])

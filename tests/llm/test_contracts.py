@@ -393,6 +393,12 @@ def test_token_counts(docs, rows):
         assert i is None or got[i] == n
 
 
+def test_token_counts_odd(odd, empty):
+    got = tokens.count_tokens(odd.selectExpr("*", "1 AS n_tokens")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in got) == [(0, False), (0, True), (1, True), (1, True), (1, True)]
+    assert tokens.count_tokens(empty).count() == 0
+
+
 def test_token_cache_is_bounded():
     counter = tokens.Counter([("▁a", -1.0, True), ("b", -2.0, True), ("▁ab", -3.0, True), ("a", -1.0, True), ("▁", -1.0, True)], keep=2)
     assert [counter(x) for x in ("ab", "a b", "abab", "bbb bb ab")] == [1, 3, 3, 8]
@@ -569,6 +575,45 @@ def test_kth_largest(spark, monkeypatch):
     assert quality.kth_largest(keys, 340) == float("-inf") and quality.kth_largest(keys, 0) == float("inf")
 
 
+def test_several_labels_of_one_id(spark):
+    rows, labels = quality_corpus()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    twice = [*labels, *((i, 0, 0) for i, *_ in labels[:50])]  # the largest counts
+    got = [sorted((r["doc_id"], r["kept"]) for r in quality.weigh(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")).collect()) for x in (labels, twice)]
+    assert got[0] == got[1]
+    rows, labels = toxic_corpus(300)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted((r["doc_id"], r["score"]) for r in toxicity.score_texts(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")).collect()) for x in (labels, [*labels, *((i, 1, 0) for i, *_ in labels)])]
+    assert got[0] == got[1]
+
+
+def test_leaks_odd(spark, odd):
+    benchmark = spark.createDataFrame([(1, "a b c d e f", 0), (1, "a b c d e f", 0), (2, "z y x w v", 0)], "item_id long, text string, doc_id long")
+    got = sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.leaks(odd, benchmark).collect())
+    assert got == [(0, 1), (0, 1), (1, 1), (1, 1), (1, 1), (1, 1), (1, 2)]
+    assert [r["text"] for r in decontaminate.without_leaks(odd, benchmark).collect()] == [None]
+
+
+def test_very_long_texts(spark):
+    """A megabyte in one row, beside a copy of its end."""
+    r = random.Random(77)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(r.choice(words) for _ in range(160_000))
+    item = " ".join(long.split()[-40:])
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, long[-3000:], "en", "s", 3000), (3, "short", "en", "s", 5)], SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {x["doc_id"]: x["n_words"] for x in licenses.scan(docs).collect()}[1] == 160_000
+    assert {x["doc_id"]: x["fp"][0] % (1 << 64) for x in simhash.near_duplicates(docs).collect()}[1] == brute_simhash(long)
+    assert {x["doc_id"]: x["n_removed"] for x in suffix_dedup.repeats(docs).collect()} == {1: 0, 2: 3000, 3: 0}
+    assert tokens.count_tokens(docs.where("doc_id = 1")).first()["n_tokens"] == tokens.Counter(tokens.vocabulary())(long)
+    assert toxicity.score_texts(docs, none).count() == quality.weigh(docs, none).count() == 3
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {(x["doc_id"], x["similarity"]) for x in decontaminate.leaks(docs, benchmark).collect()} == {(1, 1.0), (2, 1.0)}
+    assert {x["doc_id"]: x["size"] for x in mixing.mix(docs).collect()}[1] == 160_000
+    got = {x["doc_id"]: x for x in fingerprint.fingerprints(docs).collect()}
+    assert got[1]["n_chars"] == len(long) and 0.6 < got[1]["near_edited"] < 1
+
+
 def test_quality_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.keep(odd, none).count() == 5 and quality.keep(empty, none).count() == 0
