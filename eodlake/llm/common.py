@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths written in the innermost `passing`.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches bounded by rows and bytes; the session's own settings come back afterwards."""
@@ -58,9 +63,32 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that `cut` has written."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def passing(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of `make` as a written table; the tables that it was made of are deleted then."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        df = make()
+        _made.reset(token)
+        return cut(df, name)
+    finally:
+        if _made.get() is made:
+            _made.reset(token)
+        remove(spark, *made)
+
+
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """Names for helper columns that are not among `columns` (upper and lower case count as equal)."""
     taken = {c.lower() for c in columns}

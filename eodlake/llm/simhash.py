@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eodlake.llm.common import components, cut, gathered, map_batches, pack, parted, table, text_bytes, unpack, unused
+from eodlake.llm.common import components, cut, gathered, map_batches, pack, parted, passing, table, text_bytes, unpack, unused
 
 SEED, TILE, CHUNK, AT_ONCE, THRESHOLD = 42, 1024, 1 << 15, 1 << 17, 0.8
 #: The stage compares fingerprints within this many bits; counts of shingles are kept by `SKETCH` hashes of them.
@@ -511,8 +511,8 @@ def keep_first(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold:
     similarity `threshold` or more; of rows that share the id, one stays.  Rows of a null id stay.
 
     Every such pair counts, whatever the fingerprints say (`similar`)."""
-    found = similar(docs, shingle, radius, threshold)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")  # written, so that its size is known
+    # written, so that its size is known
+    gone = passing(docs.sparkSession, lambda: similar(docs, shingle, radius, threshold).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
