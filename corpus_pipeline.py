@@ -5,20 +5,20 @@ read again as the next stage's documents.  All stages but the last return the co
 `documents`; the last adds `copy_no`.  Each stage works on all rows that the one before has kept.
 Rows of a null id pass through each stage by the rules in the operators' docstrings.
 
-Stages whose last step runs Python over whole texts write it themselves, in small Arrow batches; the
-session's settings stay as they are.
+Stages whose last step runs Python over whole texts write it themselves, in small Arrow batches, and delete the
+tables that it was made of; the session's settings stay as they are.
 """
 
 from __future__ import annotations
 
 from eodlake.llm import decontaminate, mixing, quality, simhash, suffix_dedup
-from eodlake.llm.common import cut, table
+from eodlake.llm.common import cut, passing, table
 from pyspark.sql import DataFrame, SparkSession
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps; the models are fitted on `docs` and `labels`."""
-    return cut(quality.keep(docs, table(spark, sf_dir, "labels")), "kept")
+    return passing(spark, lambda: quality.keep(docs, table(spark, sf_dir, "labels")), "kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 100 bytes that stand earlier too."""
-    return cut(suffix_dedup.without_repeats(docs), "kept")
+    return passing(spark, lambda: suffix_dedup.without_repeats(docs), "kept")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
