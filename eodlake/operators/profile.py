@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
@@ -11,19 +13,27 @@ LIMITS = {"tinyint": 7, "smallint": 15, "int": 31}
 
 def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """One row per column: rows, distinct values (null is one), their share, whether a dictionary pays (under
-    half distinct), least and greatest number, and the narrowest integer type.  One pass over `df`."""
+    half distinct), least and greatest number, and the narrowest integer type.
+
+    One pass over `df` if counts may be approximate; else one per column, which reads that column only: several exact
+    distinct counts in one aggregate would write every row once per column."""
     types = dict(df.dtypes)
     columns = columns or df.columns
     count = F.approx_count_distinct if approximate else F.countDistinct
-    aggs = [F.count("*").alias("n")]
-    for i, c in enumerate(columns):
+
+    def of(c: str) -> Column:
         col = F.col(f"`{c}`")
-        aggs += [(count(col) + F.coalesce(F.max(col.isNull().cast("int")), F.lit(0))).alias(f"d{i}")]
         number = col if types[c] in INTEGERS else F.lit(None).cast("bigint")
-        aggs += [F.min(number).cast("bigint").alias(f"a{i}"), F.max(number).cast("bigint").alias(f"b{i}")]
-    one = df.agg(*aggs)
-    each = [F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("type"), F.col("n").alias("n_rows"), F.col(f"d{i}").cast("bigint").alias("n_distinct"), F.col(f"a{i}").alias("least"), F.col(f"b{i}").alias("greatest")) for i, c in enumerate(columns)]
-    out = one.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+        distinct = (count(col) + F.coalesce(F.max(col.isNull().cast("int")), F.lit(0))).cast("bigint")
+        return F.struct(
+            F.lit(c).alias("column_name"), F.lit(types[c]).alias("type"), F.count("*").alias("n_rows"), distinct.alias("n_distinct"), F.min(number).cast("bigint").alias("least"), F.max(number).cast("bigint").alias("greatest")
+        )
+
+    if approximate:
+        out = df.agg(*[of(c).alias(f"c{i}") for i, c in enumerate(columns)])
+        out = out.select(F.explode(F.array(*[f"c{i}" for i in range(len(columns))])).alias("r")).select("r.*")
+    else:
+        out = reduce(DataFrame.union, [df.agg(of(c).alias("r")).select("r.*") for c in columns])
     narrow = F.lit("bigint")
     for kind, bits in reversed(LIMITS.items()):
         narrow = F.when((F.col("least") >= -(1 << bits)) & (F.col("greatest") < (1 << bits)), F.lit(kind)).otherwise(narrow)

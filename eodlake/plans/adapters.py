@@ -76,7 +76,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_sme(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
-    return _orders(spark, sf_dir).where("o_orderkey % 3 = 0").select(
+    return _orders(spark, sf_dir).select(
         F.lit("N").alias("MARKET"), F.lit("SM").alias("SERIES"), F.when(F.col("o_custkey") % 53 != 0, F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("SYMBOL"),
         price.alias("OPEN_PRICE"), price.alias("HIGH_PRICE"), price.alias("LOW_PRICE"), price.alias("CLOSE_PRICE"), (F.col("o_custkey") % 1000).alias("NET_TRDQTY"), "file_date", "line_no",
     )
@@ -85,7 +85,7 @@ def raw_sme(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
     stated = F.when(F.col("o_orderkey") % 5 == 0, "wrong").otherwise(F.date_format("file_date", "dd-MM-yyyy"))
-    return _orders(spark, sf_dir).where("o_orderkey % 3 = 1").select(
+    return _orders(spark, sf_dir).select(
         F.col("o_orderpriority").alias("Index Name"), stated.alias("Index Date"), price.alias("Open Index Value"), price.alias("High Index Value"), price.alias("Low Index Value"), price.alias("Closing Index Value"),
         F.lit("1").alias("P/E"), F.col("o_custkey").alias("Volume"), "file_date", "line_no",
     )
@@ -93,7 +93,7 @@ def raw_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_bidx(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
-    return _orders(spark, sf_dir).where("o_orderkey % 3 = 1").select(
+    return _orders(spark, sf_dir).select(
         F.when(F.col("o_custkey") % 7 == 0, specs.SENTINEL).otherwise(F.col("o_orderpriority")).alias("IndexName"), F.lit("c").alias("IndexCode"),
         price.alias("OpenPrice"), price.alias("HighPrice"), price.alias("LowPrice"), price.alias("ClosePrice"), "file_date", "line_no",
     )
@@ -143,11 +143,11 @@ RAW_FO = """raw_fo AS (SELECT
   l_extendedprice AS OpnPric, l_tax AS HghPric, l_discount AS LwPric, l_extendedprice AS ClsPric, l_quantity::BIGINT AS TtlTradgVol,
   date_trunc('month', l_shipdate)::DATE AS file_date, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)"""
 RAW_SME = """raw_sme AS (SELECT CASE WHEN o_custkey % 53 <> 0 THEN 'C' || o_custkey END AS SYMBOL, o_totalprice AS p, o_custkey % 1000 AS NET_TRDQTY,
-  o_orderdate::DATE AS file_date, o_orderkey AS line_no FROM orders WHERE o_orderkey % 3 = 0)"""
+  o_orderdate::DATE AS file_date, o_orderkey AS line_no FROM orders)"""
 RAW_IDX = """raw_idx AS (SELECT o_orderpriority AS IndexName, CASE WHEN o_orderkey % 5 = 0 THEN 'wrong' ELSE strftime(o_orderdate, '%d-%m-%Y') END AS stated, o_totalprice AS p, o_custkey AS Volume,
-  o_orderdate::DATE AS file_date, o_orderkey AS line_no FROM orders WHERE o_orderkey % 3 = 1)"""
+  o_orderdate::DATE AS file_date, o_orderkey AS line_no FROM orders)"""
 RAW_BIDX = """raw_bidx AS (SELECT CASE WHEN o_custkey % 7 = 0 THEN 'BSE SENSEX' ELSE o_orderpriority END AS IndexName, o_totalprice AS p,
-  o_orderdate::DATE AS file_date, o_orderkey AS line_no FROM orders WHERE o_orderkey % 3 = 1)"""
+  o_orderdate::DATE AS file_date, o_orderkey AS line_no FROM orders)"""
 FILES = """files AS (SELECT
   CASE WHEN o_orderkey % 31 = 0 OR o_custkey % 6 = 2 THEN '2001-13-45' ELSE strftime(o_orderdate, '%Y-%m-%d') END
   || ['-NSE-EQ', '-NSE-FO', '-NSE-SME', '-NSE-INDEX', '-BSE-EQ', '-BSE-INDEX'][o_custkey % 6 + 1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eodlake import specs
@@ -402,8 +402,8 @@ def fetch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {a.FETCH_LOG}, p AS (SELECT target_date, segment, bool_or(success) AS ok FROM fetch_log WHERE event_id % 40 = 7 GROUP BY ALL)
-SELECT target_date, count(*) AS n_segments, count(*) FILTER (ok) AS n_ok, CASE WHEN count(*) FILTER (ok) = 0 THEN 'none' WHEN count(*) FILTER (ok) = count(*) THEN 'all' ELSE 'partial' END AS status FROM p GROUP BY 1""".replace(" WHERE event_id % 40 = 7", "")
+    f"""WITH {a.FETCH_LOG}, p AS (SELECT target_date, segment, bool_or(success) AS ok FROM fetch_log GROUP BY ALL)
+SELECT target_date, count(*) AS n_segments, count(*) FILTER (ok) AS n_ok, CASE WHEN count(*) FILTER (ok) = 0 THEN 'none' WHEN count(*) FILTER (ok) = count(*) THEN 'all' ELSE 'partial' END AS status FROM p GROUP BY 1"""
 )
 def completion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetchlog.completion(a.fetch_log(spark, sf_dir))
@@ -470,8 +470,8 @@ def holiday_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.parse_holidays(a.table(spark, sf_dir, "orders").select(line.alias("value")))
 
 
-def _zip_days(df: DataFrame, columns: list[str], pattern: str) -> DataFrame:
-    """Rows as one zipped text per day -> file_name, content."""
+def _day_files(df: DataFrame, columns: list[str], spec: specs.SegmentSpec) -> DataFrame:
+    """Rows as one text per day, zipped if the segment's are -> file_name, content."""
     import io
     import zipfile
 
@@ -479,12 +479,15 @@ def _zip_days(df: DataFrame, columns: list[str], pattern: str) -> DataFrame:
 
     def pack(day: pd.DataFrame) -> pd.DataFrame:
         name, out = day["file_name"].iloc[0], io.BytesIO()
+        text = day.sort_values("line_no")[columns].to_csv(index=False)
+        if not spec.zipped:
+            return pd.DataFrame({"file_name": [name], "content": [text.encode()]})
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("about.txt", "x")
-            z.writestr(name.removesuffix(".zip"), day.sort_values("line_no")[columns].to_csv(index=False))
+            z.writestr(name.removesuffix(".zip"), text)
         return pd.DataFrame({"file_name": [name], "content": [out.getvalue()]})
 
-    named = df.withColumn("file_name", F.replace(F.lit(pattern), F.lit("{date}"), compact(F.col("file_date"))))
+    named = df.withColumn("file_name", F.replace(F.lit(spec.filename_pattern), F.lit("{date}"), F.date_format("file_date", spec.date_format)))
     return named.groupBy("file_date").applyInPandas(pack, "file_name string, content binary")
 
 
@@ -495,7 +498,30 @@ def zip_ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's rows as a zipped file, read again."""
     spec = specs.SEGMENTS["NSE_EQ"]
     columns = ["TradDt", "TckrSymb", "SctySrs", "OpnPric", "HghPric", "LwPric", "ClsPric", "TtlTradgVol"]
-    return readers.good(readers.parse_files(_zip_days(a.raw_cm(spark, sf_dir), columns, spec.filename_pattern), spec))
+    return readers.good(readers.parse_files(_day_files(a.raw_cm(spark, sf_dir), columns, spec), spec))
+
+
+@query(f"WITH {a.RAW_SME} SELECT SYMBOL, p AS OPEN_PRICE, p AS CLOSE_PRICE, NET_TRDQTY, file_date, row_number() OVER (PARTITION BY file_date ORDER BY line_no) AS line_no FROM raw_sme")
+def csv_ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's rows as a plain file, read again."""
+    spec = specs.SEGMENTS["NSE_SME"]
+    files = _day_files(a.raw_sme(spark, sf_dir), ["SYMBOL", "OPEN_PRICE", "CLOSE_PRICE", "NET_TRDQTY"], spec)
+    return readers.good(readers.parse_files(files, spec)).select("SYMBOL", "OPEN_PRICE", "CLOSE_PRICE", "NET_TRDQTY", "file_date", "line_no")
+
+
+@query(f"WITH {a.RAW_CM} SELECT file_date, TckrSymb AS symbol, line_no, row_number() OVER (PARTITION BY file_date ORDER BY TckrSymb NULLS LAST, line_no) AS place FROM raw_cm WHERE SctySrs IN ('EQ', 'BE', 'BZ')")
+def symbols_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of a day's rows as they come."""
+    rows = normalize.by_symbol(normalize.nse_eq(a.raw_cm(spark, sf_dir))).withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("file_date").orderBy("at"))
+    return rows.select("file_date", F.col("TckrSymb").alias("symbol"), "line_no", place.alias("place"))
+
+
+@query(f"WITH {_SUMMARY} SELECT exchange, segment, n_files, last_date FROM summ WHERE exchange || '_' || segment IN ('NSE_EQ', 'BSE_INDEX')")
+def chosen_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some segments only; an unknown name is ignored."""
+    chosen = specs.segment_table(spark, ["NSE_EQ", "BSE_INDEX", "LSE_EQ"])
+    return coverage.segment_summary(chosen, coverage.stored_files(a.files(spark, sf_dir))).select("exchange", "segment", "n_files", "last_date")
 
 
 _ORDERED = f"""WITH {_NSE} SELECT symbol, trade_date, open, close, volume, exchange, segment, file_date, source_segment,
@@ -518,8 +544,8 @@ def stream_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = shared_folder(spark, "stream")
     eq, sme, idx = normalize.nse_eq(a.raw_cm(spark, sf_dir)), normalize.sme(a.raw_sme(spark, sf_dir), suffix=True), normalize.nse_index(a.raw_idx(spark, sf_dir))
     for name, df in (("INDEX", idx), ("EQ", eq), ("SME", sme)):
-        append.unified(df).withColumn("source_segment", F.lit(name)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    arriving = spark.readStream.schema(arrivals.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        append.unified(df).withColumn("source_segment", F.lit(name)).write.mode("append").parquet(f"{base}/in")
+    arriving = spark.readStream.schema(arrivals.SCHEMA).option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
     arrivals.stream_consolidate(arriving, "NSE", f"{base}/landed", f"{base}/lake", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/lake").select(*_LAKE)
 
@@ -532,6 +558,33 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("file_name").agg(F.count("*").alias("n_lines"), F.sum(F.element_at(F.split("line", ","), -1).cast("bigint")).alias("volume"))
 
 
+def _written_days(spark: SparkSession, sf_dir: str) -> str:
+    path = shared_folder(spark, "days")
+    sinks.write_days(append.ordered(_nse(spark, sf_dir)), path, specs.SEGMENTS["NSE_EQ"].file_suffix)
+    return path
+
+
+@query(f"WITH {_NSE} SELECT DISTINCT strftime(file_date, '%Y-%m-%d') || '-NSE-EQ.txt' AS file_name, true AS has_bytes FROM cons")
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days' files as they are listed."""
+    return readers.inventory(spark, _written_days(spark, sf_dir)).select("file_name", (F.col("length") > 0).alias("has_bytes"))
+
+
+@query(f"WITH {_NSE} SELECT symbol, trade_date, open, close, volume, file_date FROM cons")
+def days_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days' files, headerless, by their names."""
+    return readers.read_normalized(spark, _written_days(spark, sf_dir)).select("symbol", "trade_date", "open", "close", "volume", "file_date")
+
+
+@query(f"WITH {_NSE} SELECT exchange || '_' || segment || '_' || strftime(file_date, '%d%m%Y') || '_combined.csv' AS file_name, count(*) AS n_rows, sum(volume)::BIGINT AS volume FROM cons GROUP BY 1")
+def combined_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text with a header per day and all its segments."""
+    path = shared_folder(spark, "combined")
+    sinks.write_combined(append.ordered(_nse(spark, sf_dir)).select(*specs.UNIFIED, "exchange", "segment", "file_date", "row_order"), path)
+    rows = spark.read.schema(f"{specs.UNIFIED_SCHEMA}, row_order bigint").csv(path, header=True)
+    return rows.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count("*").alias("n_rows"), F.sum("volume").cast("bigint").alias("volume"))
+
+
 @query("SELECT l_orderkey, l_partkey, l_quantity * 2 AS doubled FROM lineitem WHERE l_returnflag = 'A'")
 def csv_transform_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A big CSV through a caller's function."""
@@ -544,14 +597,14 @@ def csv_transform_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Date columns by query; results give them as text, so that engines need not agree on a date's form.
 DATES = {
-    "file_date": "normalize_nse_eq normalize_bse_eq normalize_bse_eq_denied_table normalize_sme normalize_sme_suffix normalize_nse_index normalize_bse_index fut_roman_symbols fut_quarantine consolidate_nse consolidate_nse_without_sme zip_ingest_roundtrip lake_write_roundtrip stream_consolidate consolidate_bse append_order append_idempotent align_by_name align_by_position date_parse_quality index_date_quality rows_per_day_segment segments_per_day money_text file_validity",
+    "file_date": "normalize_nse_eq normalize_bse_eq normalize_bse_eq_denied_table normalize_sme normalize_sme_suffix normalize_nse_index normalize_bse_index fut_roman_symbols fut_quarantine consolidate_nse consolidate_nse_without_sme zip_ingest_roundtrip lake_write_roundtrip stream_consolidate consolidate_bse append_order append_idempotent align_by_name align_by_position date_parse_quality index_date_quality rows_per_day_segment segments_per_day money_text file_validity csv_ingest_roundtrip symbols_in_order days_read_back",
     "s e d": "trading_days_expand",
     "month": "month_trading_days",
     "day last_trading_day next_trading_day": "last_next_trading_day",
     "s shifted": "add_trading_days",
     "s e": "count_trading_days",
     "expected_date": "expected_last_date",
-    "last_date": "segment_summary coverage_status overall_status",
+    "last_date": "segment_summary chosen_segments coverage_status overall_status",
     "missing_date": "missing_trading_days gap_days",
     "target_date": "fetch_manifest missing_file_severity completion_status",
     "start_date end_date": "date_ranges",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,12 +22,25 @@ BAD = "_bad_file"
 def _cast(values: list[str | None], kind: T.DataType) -> list:
     if isinstance(kind, T.StringType):
         return [v or None for v in values]
-    number = pd.to_numeric(pd.Series(values, dtype="object"), errors="coerce")
     if isinstance(kind, T.LongType):
-        return [None if pd.isna(v) else int(v) for v in number]
+        return [_whole(v) for v in values]
+    number = pd.to_numeric(pd.Series(values, dtype="object"), errors="coerce")
     return [None if pd.isna(v) else float(v) for v in number]
 
 
+def _whole(value: str | None) -> int | None:
+    """A whole number as it stands, however long; a broken one is none."""
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        pass
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return None
+    return int(number) if number.is_integer() else None
+
+
 def _csv_rows(content: bytes) -> tuple[list[str], list[list[str]]]:
     lines = csv.reader(io.StringIO(content.decode("utf-8-sig")))
     header = next(lines, [])
@@ -68,7 +82,8 @@ def parse_files(files: DataFrame, spec: specs.SegmentSpec) -> DataFrame:
                         reason = "no csv member"
                     else:
                         header, rows = _csv_rows(bytes(content))
-                except (zipfile.BadZipFile, UnicodeDecodeError, csv.Error) as e:
+                # a damaged stream, an encrypted member, an unknown method: RuntimeError has the last two
+                except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, UnicodeDecodeError, csv.Error) as e:
                     reason = f"unreadable: {type(e).__name__}"
                 n = 1 if reason else len(rows)
                 if not n:
@@ -100,17 +115,20 @@ def read_holidays(spark: SparkSession, path: str, iso: bool = False) -> DataFram
     return parse_holidays(spark.read.text(path), "value", iso)
 
 
-def empty_files(spark: SparkSession, path: str) -> DataFrame:
+def empty_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(file_name, length, modificationTime) of files without a byte, which Spark's readers leave out.
 
-    Names come from the file system's own listing, as Spark's index of a folder does."""
+    Names come from the file system's own listing of a folder or pattern, as Spark's index of a folder does: on the driver, a few calls
+    per file, for the some ten thousand daily files of a history."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     found = []
-    while files.hasNext():
-        f = files.next()
-        if not f.getLen() and not f.getPath().getName().startswith(("_", ".")):
-            found.append((f.getPath().getName(), 0, f.getModificationTime()))
+    for top in fs.globStatus(hadoop) or []:
+        files = fs.listFiles(top.getPath(), recursive)
+        while files.hasNext():
+            f = files.next()
+            if not f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+                found.append((f.getPath().getName(), 0, f.getModificationTime()))
     df = spark.createDataFrame(found, "file_name string, length bigint, ms bigint")
     return df.select("file_name", "length", F.timestamp_millis("ms").alias("modificationTime"))
 
@@ -118,7 +136,7 @@ def empty_files(spark: SparkSession, path: str) -> DataFrame:
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """Files below a folder, names and sizes only; `coverage.stored_files` reads their names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "modificationTime").unionByName(empty_files(spark, path))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "modificationTime").unionByName(empty_files(spark, path, recursive=True))
 
 
 def read_normalized(spark: SparkSession, path: str, schema: str = specs.UNIFIED_SCHEMA) -> DataFrame:

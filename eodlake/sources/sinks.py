@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eodlake import specs
@@ -31,9 +31,27 @@ def write_lake(df: DataFrame, path: str) -> None:
     keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAKE_PARTITIONS).parquet(path)
 
 
+def _name_files(spark: SparkSession, staging: str, path: str) -> None:
+    """Spark names its files itself: each `file_name=X` folder's one file becomes X below `path`.
+
+    A rename per file on the driver, for the some thousand days of an export; no bytes move."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(hadoop(f"{staging}/file_name=*")) or []:
+        name = folder.getPath().getName().removeprefix("file_name=")
+        for part in fs.globStatus(hadoop(f"{staging}/file_name={name}/part-*")):
+            target = hadoop(f"{path}/{name}")
+            fs.delete(target, False)
+            fs.rename(part.getPath(), target)
+    fs.delete(hadoop(staging), True)
+
+
 def write_combined(df: DataFrame, path: str) -> None:
-    """K3: text with a header, a folder per day (an export: the lake itself is by month)."""
-    df.repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "row_order").write.mode("overwrite").partitionBy(*PARTITIONS).csv(path, header=True)
+    """K3: a text with a header per day, `<EXCH>_<SEG>_DDMMYYYY_combined.csv` (an export: the lake itself is by month)."""
+    name = F.concat_ws("_", "exchange", "segment", F.date_format("file_date", "ddMMyyyy"), F.lit("combined.csv"))
+    rows = df.withColumn("file_name", name).drop(*PARTITIONS).repartition("file_name").sortWithinPartitions("file_name", "row_order")
+    rows.write.mode("overwrite").partitionBy("file_name").csv(f"{path}/_staging", header=True)
+    _name_files(df.sparkSession, f"{path}/_staging", path)
 
 
 def export_lines(df: DataFrame, appended_money: bool = True) -> DataFrame:
@@ -68,6 +86,7 @@ def export_days(df: DataFrame, suffix: str) -> DataFrame:
 
 
 def write_days(df: DataFrame, path: str, suffix: str) -> None:
-    """K1 for a folder on a shared file system, written by Spark: each day is a folder of its name with one text part."""
+    """K1 for a folder on a shared file system: one text per day, `YYYY-MM-DD<suffix>.txt`."""
     days = export_days(df, suffix).withColumn("content", F.regexp_replace("content", "\n$", ""))  # the writer ends the line
-    days.repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(path)
+    days.repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(f"{path}/_staging")
+    _name_files(df.sparkSession, f"{path}/_staging", path)

@@ -19,16 +19,19 @@ SCHEMA = "symbol string, trade_date string, open double, high double, low double
 
 
 def land(batch: DataFrame, landed: str, batch_id: int) -> None:
-    """A batch is a folder; the same batch again replaces it."""
-    numbered = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(landed)
+    """A batch's months are folders; the same batch again replaces them."""
+    numbered = batch.withColumn("file_month", sinks.month_of(F.col("file_date"))).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_month", "batch_id").parquet(landed)
 
 
-def consolidate_months(spark: SparkSession, exchange: str, landed: str, lake: str, months: DataFrame, enabled: set[str] | None = None) -> None:
-    """Rewrite the lake's folders of these months from what has landed; of a day and segment that came
-    more than once, the last batch counts."""
-    rows = spark.read.schema(f"{SCHEMA}, batch_id bigint").parquet(landed).withColumn("file_month", sinks.month_of(F.col("file_date")))
-    rows = rows.join(F.broadcast(months), "file_month", "left_semi").drop("file_month")
+def _landed(spark: SparkSession, landed: str) -> DataFrame:
+    return spark.read.schema(f"{SCHEMA}, file_month string, batch_id bigint").parquet(landed)
+
+
+def consolidate_months(spark: SparkSession, exchange: str, landed: str, lake: str, months: list[str], enabled: set[str] | None = None) -> None:
+    """Rewrite the lake's folders of these months from what has landed, of which only these months' folders are read; of a day and segment
+    that came more than once, the last batch counts."""
+    rows = _landed(spark, landed).where(F.col("file_month").isin(months)).drop("file_month")
     last = rows.groupBy("file_date", "source_segment").agg(F.max("batch_id").alias("batch_id"))
     rows = rows.join(last, ["file_date", "source_segment", "batch_id"], "left_semi").drop("batch_id")
     part = lambda s: rows.where(F.col("source_segment") == s).drop("source_segment")
@@ -45,7 +48,7 @@ def stream_consolidate(arrivals: DataFrame, exchange: str, landed: str, lake: st
         if rows.isEmpty():
             return
         land(rows, landed, batch_id)
-        came = spark.read.schema(f"{SCHEMA}, batch_id bigint").parquet(landed).where(F.col("batch_id") == batch_id)
-        consolidate_months(spark, exchange, landed, lake, came.select(sinks.month_of(F.col("file_date")).alias("file_month")).distinct(), enabled)
+        came = _landed(spark, landed).where(F.col("batch_id") == batch_id).select("file_month").distinct()
+        consolidate_months(spark, exchange, landed, lake, [r["file_month"] for r in came.collect()], enabled)
 
     return arrivals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

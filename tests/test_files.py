@@ -42,6 +42,26 @@ def test_archives(spark, tmp_path):
     assert normalize.nse_eq(readers.good(df)).count() == 2
 
 
+def test_unreadable_archives_cost_only_their_day(spark, tmp_path):
+    day = lambda d: f"BhavCopy_NSE_CM_0_0_0_{d}_F_0000.csv.zip"
+    good = zipped(("a.csv", HEADER + "2025-07-14,A,EQ,1,1,1,1,9007199254740993,x\n2025-07-14,B,EQ,1,1,1,1,123.5,x\n" * 40))
+    broken = bytearray(good)
+    broken[60:75] = b"\xff" * 15
+    locked, odd = bytearray(good), bytearray(good)
+    at = good.index(b"PK\x01\x02")
+    for body, flag, method in ((locked, 1, None), (odd, None, 99)):
+        if flag:
+            body[6] |= flag
+            body[at + 8] |= flag
+        if method:
+            body[8] = body[at + 10] = method
+    for d, body in (("20250714", good), ("20250715", bytes(broken)), ("20250716", bytes(locked)), ("20250717", bytes(odd))):
+        (tmp_path / day(d)).write_bytes(body)
+    df = readers.read_raw(spark, str(tmp_path / "*.zip"), specs.SEGMENTS["NSE_EQ"])
+    assert readers.good(df).groupBy("TtlTradgVol").count().count() == 2 and readers.good(df).where("TtlTradgVol = 9007199254740993").count() == 40
+    assert sorted(r["file_date"].day for r in readers.bad(df).collect()) == [15, 16, 17]
+
+
 def test_plain_and_empty_files(spark, tmp_path):
     (tmp_path / "INDEXSummary_17042025.csv").write_text("IndexID,IndexName,OpenPrice,HighPrice,LowPrice,ClosePrice\n1,BSE SENSEX,1,2,0.5,1.5\n")
     (tmp_path / "INDEXSummary_18042025.csv").write_text("")
@@ -85,8 +105,8 @@ def test_export_of_days(spark, tmp_path):
     assert got["2025-07-14-NSE-EQ.txt"].splitlines()[0] == "A,20250714,1.005,1.0,1.0,2.5,10"
     assert got["2025-07-14-NSE-EQ.txt"].splitlines()[2] == "S_SME,20250714,1.01,1.00,1.00,2.50,10"
     sinks.write_days(consolidated(spark), str(tmp_path / "days"), "-NSE-EQ")
-    part = next((tmp_path / "days" / "file_name=2025-07-14-NSE-EQ.txt").glob("part-*"))
-    assert part.read_text() == got["2025-07-14-NSE-EQ.txt"]
+    assert (tmp_path / "days" / "2025-07-14-NSE-EQ.txt").read_text() == got["2025-07-14-NSE-EQ.txt"]
+    assert sorted(p.name for p in (tmp_path / "days").iterdir() if not p.name.startswith((".", "_"))) == sorted(got)
 
 
 def test_read_back(spark, tmp_path):
@@ -97,6 +117,7 @@ def test_read_back(spark, tmp_path):
 def test_combined_files(spark, tmp_path):
     sinks.write_combined(consolidated(spark), str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 5
+    assert (tmp_path / "c" / "NSE_EQ_14072025_combined.csv").read_text().count("\n") == 5
 
 
 def test_lake_is_idempotent(spark, tmp_path):
