@@ -490,22 +490,35 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold: fl
     near = links(one, radius, all_within=False).union(same).union(stars)
     found = components(_verified(near, docs, nodes, shingle, threshold).union(twins))
     named = cut(nodes.join(found, "node", "left").select("node", "digest", "id", F.coalesce("component", "node").alias("part")), "parts")
-    # pairs of different parts only: parts of a shingle first, then their sets
-    held = cut(prefixes.join(many.select("h"), "h", "left_semi").join(named.select("node", "part"), "node"), "held")
+    shared = cut(prefixes.join(many.select("h"), "h", "left_semi"), "shared")
+    # another set of each shingle against those of other parts, which leaves few parts of a group of copies
+    held = shared.join(named.select("node", "part"), "node")
+    heads = held.groupBy("h").agg(F.min("part").alias("_p"), F.max("part").alias("_q"), F.min_by(F.struct("node", "n", "at", "part"), F.xxhash64("node", F.lit(2))).alias("head")).where("_p < _q")
+    heads = heads.select("h", F.col("head.node").alias("b"), F.col("head.n").alias("n_b"), F.col("head.at").alias("at_b"), F.col("head.part").alias("q"))
+    stars = held.withColumnsRenamed({"node": "a", "n": "n_a", "at": "at_a"}).join(heads, "h").where((F.col("part") != F.col("q")) & _can_reach(threshold))
+    named = _regrouped(named, _verified(stars.select("a", "b"), docs, nodes, shingle, threshold))
+    # then all pairs of different parts: parts of a shingle first, then their sets; of a pair the smaller set by its index
+    held = cut(shared.join(named.select("node", "part"), "node"), "held")
     mixed = held.groupBy("h").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).where("_p < _q").select("h")
     held = held.join(mixed, "h", "left_semi")
     left = held.where("index").select("h", F.col("part").alias("p"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     right = held.select("h", F.col("part").alias("q"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     across = left.select("h", "p").distinct().join(right.select("h", "q").distinct(), "h").where("p <> q")
-    rest = across.join(left, ["h", "p"]).join(right, ["h", "q"]).where((F.col("n_a") <= F.col("n_b")) & _can_reach(threshold)).select("a", "b")
-    more = _verified(rest, docs, nodes, shingle, threshold)
-    a, b = (named.select(F.col("node").alias(x), F.col("part").alias(f"_{x}")) for x in "ab")
-    joined = components(more.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    whole = named.join(joined, named["part"] == joined["node"], "left").select("digest", "id", F.coalesce("component", "part").alias("whole"))
-    least = whole.join(whole.groupBy("whole").agg(F.min("id").alias("component_id")), "whole").select("digest", "component_id")
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    rest = across.join(left, ["h", "p"]).join(right, ["h", "q"]).where(smaller & _can_reach(threshold)).select("a", "b")
+    named = _regrouped(named, _verified(rest, docs, nodes, shingle, threshold))
+    least = named.join(named.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("digest", "component_id")
     return rows.select("doc_id", "digest").join(least, "digest").select("doc_id", "component_id")
 
 
+def _regrouped(named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`named` with the parts joined that pairs of their nodes link."""
+    a, b = (named.select(F.col("node").alias(x), F.col("part").alias(f"_{x}")) for x in "ab")
+    joined = components(pairs.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    met = named.join(joined, named["part"] == joined["node"], "left")
+    return cut(met.select(named["node"], "digest", "id", F.coalesce("component", "part").alias("part")), "parts")
+
+
 def keep_first(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the documents that are joined to one of a smaller id by pairs of shingle sets of
     similarity `threshold` or more; of rows that share the id, one stays.  Rows of a null id stay.
