@@ -479,8 +479,9 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold: fl
     size = nodes.agg(F.sum("n")).first()[0] or 0
     prefixes = _prefixes(docs, counts, shingle, threshold, max(1, int(size * (1 - threshold)) // PART_ROWS))
     # shingles of two sets, in one of them where the smaller of a pair has it
+    # a head has the fewest shingles that are rarer: of copies with edits, the one with the fewest edits, which most of them are similar to
     prefixes = cut(prefixes.withColumn("index", _in_index(threshold, F.col("n"), F.col("at"))), "repeated")
-    many = prefixes.groupBy("h").agg(F.count("*").alias("_n"), F.max("index").alias("_i"), F.min_by(F.struct("node", "n", "at"), F.xxhash64("node")).alias("head")).where("_n > 1 AND _i")
+    many = prefixes.groupBy("h").agg(F.count("*").alias("_n"), F.max("index").alias("_i"), F.min_by(F.struct("node", "n", "at"), F.struct("at", F.xxhash64("node"))).alias("head")).where("_n > 1 AND _i")
     heads = many.select("h", F.col("head.node").alias("b"), F.col("head.n").alias("n_b"), F.col("head.at").alias("at_b"))
     stars = prefixes.withColumnsRenamed({"node": "a", "n": "n_a", "at": "at_a"}).join(heads, "h").where(_can_reach(threshold)).select("a", "b")
     one = cut(nodes.groupBy("fp").agg(F.min("node").alias("id")), "fingerprints")
