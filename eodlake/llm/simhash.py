@@ -433,6 +433,13 @@ def _can_reach(threshold: float) -> Column:
     return (least >= _need(threshold, most)) & (left >= _need(threshold / (1 + threshold), F.col("n_a") + F.col("n_b")))
 
 
+def _parts_can_reach(threshold: float, left: Column, lo: Column, hi: Column) -> Column:
+    """The same filters for the best that sets of two parts can be: at most `left` and `left_q` shingles from the shared one on,
+    sizes `lo` to `hi` and `lo_q` to `hi_q`, the first part's set not the larger one."""
+    sizes = (hi >= _need(threshold, F.col("lo_q"))) & (lo <= F.col("hi_q"))
+    return sizes & (F.least(left, F.col("left_q")) >= _need(threshold / (1 + threshold), lo + F.col("lo_q")))
+
+
 def _folded(bits: Column) -> Column:
     """A bitmap at half its size."""
     half = (F.size(bits) / 2).cast("int")
@@ -504,9 +511,12 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold: fl
     held = held.join(mixed, "h", "left_semi")
     left = held.where("index").select("h", F.col("part").alias("p"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     right = held.select("h", F.col("part").alias("q"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    across = left.select("h", "p").distinct().join(right.select("h", "q").distinct(), "h").where("p <> q")
+    sides = [x.groupBy("h", p).agg(F.max(F.col(f"n_{a}") - F.col(f"at_{a}")).alias(f"left_{p}"), F.min(f"n_{a}").alias(f"lo_{p}"), F.max(f"n_{a}").alias(f"hi_{p}")) for x, p, a in ((left, "p", "a"), (right, "q", "b"))]
+    some = _parts_can_reach(threshold, F.col("left_p"), F.col("lo_p"), F.col("hi_p"))
+    across = sides[0].join(sides[1], "h").where((F.col("p") != F.col("q")) & some).select("h", "p", "q", "left_q", "lo_q", "hi_q")
+    one = _parts_can_reach(threshold, F.col("n_a") - F.col("at_a"), F.col("n_a"), F.col("n_a"))
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    rest = across.join(left, ["h", "p"]).join(right, ["h", "q"]).where(smaller & _can_reach(threshold)).select("a", "b")
+    rest = across.join(left, ["h", "p"]).where(one).join(right, ["h", "q"]).where(smaller & _can_reach(threshold)).select("a", "b")
     named = _regrouped(named, _verified(rest, docs, nodes, shingle, threshold))
     least = named.join(named.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("digest", "component_id")
     return rows.select("doc_id", "digest").join(least, "digest").select("doc_id", "component_id")
