@@ -42,7 +42,7 @@ from eodlake.llm.common import components, cut, gathered, map_batches, pack, par
 
 SEED, TILE, CHUNK, AT_ONCE, THRESHOLD = 42, 1024, 1 << 15, 1 << 17, 0.8
 #: The stage compares fingerprints within this many bits; counts of shingles are kept by `SKETCH` hashes of them.
-WIDE, SKETCH, SLICE, PART_ROWS = 13, 1 << 22, 1 << 18, 1 << 19
+WIDE, SKETCH, SLICE, PART_ROWS = 13, 1 << 22, 1 << 18, 1 << 18
 
 
 def shingle_hashes(words: list[bytes], n: int, seed: int = SEED) -> list[int]:
@@ -484,7 +484,7 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = WIDE, threshold: fl
     rows = rows.where("doc_id is not null")
     nodes = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("node").alias("node"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bits").alias("bits")), "nodes")
     size = nodes.agg(F.sum("n")).first()[0] or 0
-    prefixes = _prefixes(docs, counts, shingle, threshold, max(1, int(size * (1 - threshold)) // PART_ROWS))
+    prefixes = _prefixes(docs, counts, shingle, threshold, int(size * (1 - threshold)) // PART_ROWS + 1)
     # shingles of two sets, in one of them where the smaller of a pair has it
     # a head has the fewest shingles that are rarer: of copies with edits, the one with the fewest edits, which most of them are similar to
     prefixes = cut(prefixes.withColumn("index", _in_index(threshold, F.col("n"), F.col("at"))), "repeated")

@@ -40,7 +40,7 @@ from eodlake.llm.common import cut, gathered, map_batches, pack, parted, table,
 
 LENGTH, K, SHALLOW, SPLIT, SEGMENT = 100, 24, 16, 4096, 1 << 18
 #: Runs whose hashes, and bytes of runs, that one task holds at once.
-PART_RUNS, PART_BYTES = 1 << 19, 16 << 20
+PART_RUNS, PART_BYTES = 1 << 18, 8 << 20
 LAST = (1 << 63) - 1
 #: Bits of the hash that travel; the bits above them choose the part.
 BITS = 40
@@ -382,8 +382,8 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
             edges = np.append(np.flatnonzero(new), len(by))
             upto = np.cumsum(np.add.reduceat(size[by], edges[:-1]))  # bytes at the end of each group
             done = 0
-            while done < len(upto):  # about a megabyte of whole groups at once
-                last = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + (1 << 20))))
+            while done < len(upto):  # about half a megabyte of whole groups at once
+                last = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + (1 << 19))))
                 lo, hi = edges[done], edges[last]
                 i = by[lo:hi]
                 text = b"".join([buf[b : b + s] for b, s in zip(begin[i].tolist(), size[i].tolist(), strict=True)])
@@ -425,11 +425,11 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
 def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """-> d, tk, start, n: windows that also stand earlier."""
     windows = docs.agg(F.sum(F.greatest(F.octet_length("text") - length + 1, F.lit(0)))).first()[0] or 0
-    parts = max(1, min(windows // 40 // PART_RUNS, 1 << 22))  # the bits above BITS tell no more parts than that apart
+    parts = min(windows // 40 // PART_RUNS + 1, 1 << 22)  # the bits above BITS tell no more parts than that apart
     pieces = cut(run_pieces(docs, length, parts), "runs")
     asked = cut(repeated_runs(pieces), "repeated")
     size = asked.agg(F.sum(F.col("n") + length)).first()[0] or 0
-    found = cut(_compared(run_bytes(docs, asked, length, max(1, size // PART_BYTES)), length), "covered")
+    found = cut(_compared(run_bytes(docs, asked, length, size // PART_BYTES + 1), length), "covered")
     # the windows of dealt groups, by their whole strings
     place = F.struct("d", "tk", "start")
     hot = found.where("body is not null")
