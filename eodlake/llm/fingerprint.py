@@ -1,8 +1,9 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
 A text falls into paragraphs (lines with their line end); `FANOUT` of them, or fewer up to a blank
-line, are a section.  A paragraph's leaves are its sentences, cut further after `LEAF` bytes
-(`SHORT_LEAF` in texts under `SHORT` bytes).  Each
+line, are a section.  A paragraph's leaves are its sentences, cut further by content: after any `WINDOW` bytes of one sentence whose hash says
+so (one in `SPACING`), at least `LEAST` bytes after the cut before, and after `MOST` bytes at the latest.  The rule is the same for all texts and sees only the sentence,
+so what two texts share gives the same leaves, and a byte put in front of a long line changes one of them.  Each
 node is the hash of its children's, each leaf the hash of its bytes, so equal roots mean equal
 texts.  `aligned` sets the branches of two trees against each other by their hashes, whatever their places: equal ones at the ends first, then
 the longest sequence of those that stand once in both; only what lies between is opened, a level down.  So a paragraph put in front moves the
@@ -40,13 +41,13 @@ from pyspark.sql import functions as F
 
 from eodlake.llm.common import map_batches, table, text_bytes
 
-FANOUT, LEAF, SHORT, SHORT_LEAF, DIGITS, RANGE_BYTES = 8, 48, 256, 8, 6, 64 << 20
+FANOUT, WINDOW, SPACING, LEAST, MOST, DIGITS, RANGE_BYTES = 8, 4, 16, 4, 64, 6, 64 << 20
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+[ \t]*|\n|$)", re.DOTALL)
 _LINE = re.compile(rb"[^\n]*\n|[^\n]+")
 LOWEST = -(1 << 63)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     digest: bytes
     start: int
@@ -54,25 +55,76 @@ class Node:
     children: list[Node]
 
 
-def _inner(children: list[Node], at: int) -> Node:
+def _inner(children: list[Node | Paragraph], at: int) -> Node:
     digest = hashlib.blake2b(b"".join(c.digest for c in children), digest_size=16).digest()
     return Node(digest, children[0].start if children else at, children[-1].end if children else at, children)
 
 
-def _leaf_spans(text: bytes, a: int, b: int) -> Iterator[tuple[int, int]]:
-    leaf = LEAF if len(text) >= SHORT else SHORT_LEAF
-    for m in _SENTENCE.finditer(text, a, b):
-        for at in range(m.start(), m.end(), leaf):
-            yield at, min(at + leaf, m.end())
+def _marks(text: bytes) -> np.ndarray:
+    """Ends of the windows whose hash marks a cut, ascending."""
+    n = len(text) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    windows = np.ndarray((n,), "<u4", text, strides=(1,)) * np.uint32(0x9E3779B1)
+    return np.flatnonzero((windows >> np.uint32(15)) % np.uint32(SPACING) == 0) + WINDOW
 
 
-def tree(text: bytes) -> Node:
-    sections, paragraphs, at = [], [], 0
+class Paragraph:
+    """A node whose leaves are kept as digests and lengths, and made when its branch is opened."""
+
+    __slots__ = ("digest", "start", "end", "digests", "lengths")
+
+    def __init__(self, start: int, digests: list[bytes], lengths: list[int]) -> None:
+        self.digest = hashlib.blake2b(b"".join(digests), digest_size=16).digest()
+        self.start, self.end, self.digests, self.lengths = start, start + sum(lengths), digests, lengths
+
+    @property
+    def children(self) -> list[Node]:
+        out, at = [], self.start
+        for d, n in zip(self.digests, self.lengths, strict=True):
+            out.append(Node(d, at, at + n, []))
+            at += n
+        return out
+
+
+Leaves = tuple[list[bytes], list[int]]  # digests, lengths
+
+
+def _sentence_leaves(text: bytes, at: int, end: int, marks: list[int]) -> Leaves:
+    """The leaves of a sentence, which stands from `at` to `end`; its bytes alone decide."""
+    cuts, first, last = [], at + WINDOW, at  # windows stand in the sentence whole
+    for k in range(bisect_left(marks, first), len(marks)):
+        cut = marks[k]
+        if cut >= end:
+            break
+        while cut - last > MOST:
+            last += MOST
+            cuts.append(last)
+        if cut - last >= LEAST:
+            cuts.append(cut)
+            last = cut
+    cuts.extend(range(last + MOST, end, MOST))
+    edges = [at, *cuts, end]
+    return [xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(edges, edges[1:], strict=False)], [y - x for x, y in zip(edges, edges[1:], strict=False)]
+
+
+def tree(text: bytes, known: dict[bytes, Leaves] | None = None) -> Node:
+    """The tree of a text; `known` keeps the leaves of sentences between the trees of texts that share some."""
+    known = {} if known is None else known
+    sections, paragraphs, at, marks = [], [], 0, None
     for line in _LINE.findall(text):
-        end = at + len(line)
-        leaves = [Node(xxhash.xxh3_128_digest(text[a:b]), a, b, []) for a, b in _leaf_spans(text, at, end)]
-        paragraphs.append(_inner(leaves, at))
-        at = end
+        digests, lengths, start = [], [], at
+        for sentence in _SENTENCE.findall(line):
+            if not sentence:
+                continue
+            found = known.get(sentence)
+            if found is None:
+                marks = _marks(text).tolist() if marks is None else marks
+                found = known[sentence] = _sentence_leaves(text, at, at + len(sentence), marks)
+            digests += found[0]
+            lengths += found[1]
+            at += len(sentence)
+        paragraphs.append(Paragraph(start, digests, lengths))
         if len(paragraphs) == FANOUT or not line.strip():
             sections.append(_inner(paragraphs, at))
             paragraphs = []
@@ -91,7 +143,7 @@ def leaves(node: Node, depth: int = 0) -> Iterator[Node]:
 
 
 def fingerprint(root: Node) -> str:
-    sections = ("".join("".join(x.digest.hex()[:DIGITS] for x in p.children) + "," for p in s.children) + ";" for s in root.children)
+    sections = ("".join("".join(x.hex()[:DIGITS] for x in p.digests) + "," for p in s.children) + ";" for s in root.children)
     return root.digest.hex() + ":" + "".join(sections)
 
 
@@ -159,7 +211,7 @@ def aligned(a: list[Node], b: list[Node], depth: int = 0) -> Iterator[tuple[Node
 
 
 def _leaves_below(node: Node, depth: int) -> int:
-    return sum(1 for _ in leaves(node, depth))
+    return len(node.digests) if isinstance(node, Paragraph) else sum(_leaves_below(c, depth + 1) for c in node.children) if depth < 3 else 1
 
 
 def likeness(a: Node, b: Node) -> float:
@@ -238,7 +290,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     ordered = dealt.repartition(ranges, "r").sortWithinPartitions("r", "extra", F.desc("d"), "tk")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Documents with their next: ((id, text, tree), (id, text, tree))."""
+        """Documents with their next: both as (id, text, tree, leaves of its sentences)."""
         unpack, last, last_range, met_extra = zstandard.ZstdDecompressor(), None, None, False
         for batch in batches:
             for r, extra, d, z in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
@@ -248,17 +300,18 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                     continue
                 met_extra = extra
                 text = unpack.decompress(z)
-                own = (d, text.decode(), tree(text))
+                known: dict[bytes, Leaves] = {}  # of two documents at most
+                own = (d, text.decode(), tree(text, known), known)
                 if last:
                     yield last, own
                 last = own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for (d, text, own), (_, after, next_tree) in pairs(batches):
+        for (d, text, own, known), (_, after, next_tree, next_known) in pairs(batches):
             n = len(text)
             edited = (text[: n - n // 3] + after[: n // 3]).encode()
-            other = tree(edited)
+            other = tree(edited, next_known | known)
             spans = [{"start": s, "end": e} for s, e in differing(own, other)]
             digest = hashlib.sha256(edited).hexdigest()
             rows.append((None if d == LOWEST else d, n, digest, fingerprint(own), fingerprint(other), likeness(own, other), likeness(own, next_tree), spans))

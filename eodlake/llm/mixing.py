@@ -6,8 +6,8 @@ document is emitted once for each integer that its own step crosses.  Ordering b
 the copies over short and long texts, so the words taken stay near the target.
 
 Running sums are split: documents are ranked inside (source, size class, slice) groups, and the
-groups' counts are summed per source.  A source of any size is thus ranked by many tasks: slices grow with the
-number of documents.  Only the targets are set in one task, over one row per source; sources are corpora, not domains.
+groups' counts are summed per source.  A slice is a hash of the id, or of the text where the id is null, modulo their number: 16, or one per 2^20
+documents where that is more.  A source of any size is thus ranked by many tasks, whatever its ids are.  Only the targets are set in one task, over one row per source; sources are corpora, not domains.
 
 Defined results: a null text has size 0; a very long text is counted whole; null sources are one source, placed last; a source of
 size 0 has target 0 and takes nothing; null ids count as id 0 for the order, and equal sizes and ids tie without effect on what
@@ -66,15 +66,21 @@ def size_class(size: Column) -> Column:
     return size - size % unit
 
 
+def _key_hash(doc_id: Column, text: Column) -> Column:
+    """31 bits of the id's digest, or of the text's where there is no id."""
+    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """-> doc_id, source, size, source_size, target, copies, taken: one row per input row."""
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), "sizes")
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), _key_hash(F.col(id_col), F.col(text_col)).alias("_hash")), "sizes")
     return _mix_sized(sized, seed)
 
 
 def _mix_sized(sized: DataFrame, seed: str) -> DataFrame:
     slices = max(SLICES, sized.count() // SLICE_ROWS)
-    keyed = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_slice", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(slices)))
+    keyed = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_slice", F.col("_hash") % slices)
     groups = cut(
         keyed.groupBy("source", "_class", "_slice").agg(F.count("*").alias("_n"), F.sum("size").alias("_words")), "groups"
     )
@@ -125,10 +131,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 8))::BIGINT AS h FROM documents
 ), k AS (
   SELECT *, size - size % (1::BIGINT << greatest(length(bin(size)) - 3, 0)) AS c,
-         (coalesce(doc_id, 0) % 16 + 16) % 16 AS l FROM d
+         h % greatest(16, (SELECT count(*) FROM documents) // 1048576) AS l FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (

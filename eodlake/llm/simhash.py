@@ -21,8 +21,8 @@ Before texts are asked for, pairs are cut down by bitmaps of their sets, whose d
 
 Defined results: a null or blank text has fingerprint zero and links like any other; texts of
 fewer words than a shingle are one shingle; a very long text is hashed whole, its bits summed `CHUNK` shingles at once; a bit
-that is set in just half of the hashes is 0; repeated rows come back each; a null id is no
-component's smallest (a component of null ids only is null); an empty table gives an empty result;
+that is set in just half of the hashes is 0; repeated rows come back each; rows of a null id link like any others, but are no
+component's smallest (a component of null ids only has a null one); an empty table gives an empty result;
 components are followed until they settle, however many rounds that takes;
 extra columns are ignored by `near_duplicates` and carried by `keep_first`.
 """
@@ -43,6 +43,7 @@ from eodlake.llm.common import components, cut, gathered, map_batches, pack, par
 SEED, TILE, CHUNK, AT_ONCE, THRESHOLD = 42, 1024, 1 << 15, 1 << 17, 0.8
 #: The stage compares fingerprints within this many bits; counts of shingles are kept by `SKETCH` hashes of them.
 WIDE, SKETCH, SLICE, PART_ROWS = 13, 1 << 22, 1 << 18, 1 << 18
+SLOTS = 1024
 
 
 def shingle_hashes(words: list[bytes], n: int, seed: int = SEED) -> list[int]:
@@ -268,12 +269,24 @@ def links(nodes: DataFrame, radius: int = 4, words: int = 1, block_radius: int =
     return map_batches(groups.select("members"), run, "a bigint, b bigint")
 
 
+def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(fp, id) -> the same with numbers above all ids where the id is null, and the first of these numbers.
+
+    Numbers are dealt out in `SLOTS` slots by a hash, so no task ranks them all."""
+    first = (nodes.agg(F.max("id")).first()[0] or 0) + 1
+    slot = F.pmod(F.xxhash64("fp"), F.lit(SLOTS))
+    rank = F.row_number().over(Window.partitionBy(slot).orderBy("fp")).cast("bigint") - 1
+    unnamed = nodes.where("id is null").select("fp", (F.lit(first) + slot + rank * SLOTS).alias("id"))
+    return cut(nodes.where("id is not null").union(unnamed), "nodes"), first
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seeds: tuple[int, ...] = (SEED,), block_radius: int = 4, blocks: int | None = None) -> DataFrame:
     """-> doc_id, fp, component_id: the smallest id reachable over links of at most `radius` bits."""
     fps = cut(fingerprints(docs, shingle, seeds), "fingerprints")
-    nodes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    nodes, unnamed = _numbered(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprints-once"))
     found = components(links(nodes, radius, len(seeds), block_radius, blocks))
-    named = nodes.join(found, nodes["id"] == found["node"], "left").select(nodes["fp"].alias("_fp"), F.coalesce("component", "id").alias("component_id"))
+    least = F.coalesce("component", "id")
+    named = nodes.join(found, nodes["id"] == found["node"], "left").select(nodes["fp"].alias("_fp"), F.when(least < unnamed, least).alias("component_id"))
     return fps.join(named, fps["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
 
 

@@ -27,6 +27,7 @@ from eodlake.llm.common import ascii_lower, cut, table
 
 #: Bits and hashes of a key in the levels after the first; the most hashes in the first; bits of a shard in one level.
 BITS_PER_KEY, HASHES, MOST_HASHES, MAX_BITS = 3, 2, 10, 1 << 23
+PAGE = 256  # words that are filled together
 
 #: The contract's rules as (host, path, verdict).
 RULES = (
@@ -69,8 +70,14 @@ class Level:
         """(shard, key) -> shard, and the words of its bits in the column `l` and the salt."""
         at = keys.select("shard", F.explode(F.array(*self.positions(F.col("key")))).alias("p"))
         words = at.groupBy("shard", F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-        packed = words.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
-        full = F.transform(F.sequence(F.lit(0), F.lit(self.bits // 64 - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("bigint")))
+        # words to pages, pages to the shard: a gap is looked for among `PAGE` words or among the pages, never among all words
+        none = F.lit(0).cast("bigint")
+        listed = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+        filled = lambda m, n, gap: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at(m, i), gap))
+        page, last = F.floor(F.col("w") / PAGE).cast("int").alias("page"), self.bits // 64
+        pages = words.groupBy("shard", page).agg(listed((F.col("w") % PAGE).alias("w"), "b").alias("m")).select("shard", "page", filled("m", PAGE, none).alias("words"))
+        packed = pages.groupBy("shard").agg(listed("page", "words").alias("m"))
+        full = F.slice(F.flatten(filled("m", ceil(last / PAGE), F.array_repeat(none, PAGE))), 1, last)
         return packed.select("shard", full.alias(f"l{self.salt}"))
 
 

@@ -243,6 +243,55 @@ def test_components_of_chains(spark):
     assert got == dict.fromkeys(range(201), 0) | {1000: 1000, 1001: 1000}
 
 
+def flipped(text_bits):
+    """A fingerprint with some bits of a base flipped."""
+    return int(np.int64(np.uint64(0x0123456789ABCDEF ^ text_bits)))
+
+
+def test_rows_of_a_null_id_link(spark, monkeypatch):
+    """A to B 3 bits, B to C 4 bits, A to C 5 bits: B holds them together with an id or without; what only null ids reach has none."""
+    a, b, c = 0, 0b111, 0b111101
+    assert [(x ^ y).bit_count() for x, y in ((a, b), (b, c), (a, c))] == [3, 4, 5]
+    rows = [(1, a), (None, b), (3, c), (None, 0xFFFF << 40), (None, (0xFFFF << 40) ^ 1), (9, 0xFF << 20), (None, (0xFF << 20) ^ 0b11), (7, (0xFF << 20) ^ 0b1111), (None, 0b111)]
+    fps = spark.createDataFrame([(i, [flipped(x)]) for i, x in rows], "doc_id long, fp array<long>")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: fps)
+    got = Counter((r["doc_id"], r["fp"][0], r["component_id"]) for r in simhash.near_duplicates(None).collect())
+    assert got == Counter(zip([i for i, _ in rows], [flipped(x) for _, x in rows], brute_components(rows), strict=True))
+    assert {k[2] for k in got if k[0] == 3} == {1} and sum(n for k, n in got.items() if k[2] is None) == 2
+
+
+def brute_components(rows, radius=4):
+    low = list(range(len(rows)))
+
+    def top(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i, (_, x) in enumerate(rows):
+        for j, (_, y) in enumerate(rows[:i]):
+            if (x ^ y).bit_count() <= radius:
+                low[top(i)] = top(j)
+    ids = [[d for k, (d, _) in enumerate(rows) if top(k) == top(i) and d is not None] for i in range(len(rows))]
+    return [min(x) if x else None for x in ids]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_null_ids_against_brute_force(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    rows, ids = [], iter(r.sample(range(1000), 300))
+    for _ in range(40):
+        x = r.getrandbits(64)
+        for _ in range(r.randint(1, 6)):
+            rows.append((r.choice([None, next(ids)]), x))
+            for _ in range(r.randint(0, 4)):
+                x ^= 1 << r.randrange(64)
+    fps = spark.createDataFrame([(i, [int(np.uint64(x).astype(np.int64))]) for i, x in rows], "doc_id long, fp array<long>")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: fps)
+    got = Counter((r["doc_id"], int(np.int64(r["fp"][0]).astype(np.uint64)), r["component_id"]) for r in simhash.near_duplicates(None).collect())
+    assert got == Counter((d, x, c) for (d, x), c in zip(rows, brute_components(rows), strict=True))
+
+
 def test_simhash_odd_rows(odd, empty):
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(odd).collect())
     assert got == [(0, 0), (0, 1), (1, 1), (1, 1), (1, 1)]
@@ -292,6 +341,18 @@ def test_cascade_is_exact(spark, every, bits):
     assert cascade.marked(keys, keys["key"], "found").where("found <> listed").count() == 0
 
 
+def test_full_shards_fill_in_pages(spark):
+    """Several shards of many words each, against bits set one by one."""
+    level = url_filter.Level(1 << 20, 2, 5)
+    keys = spark.range(300_000).selectExpr("concat('k', id) AS key", "cast(id % 2 AS int) AS shard")
+    filled = {r["shard"]: np.array(r["l5"], np.int64).view(np.uint64) for r in level.fill(keys).collect()}
+    want = {s: np.zeros(1 << 14, np.uint64) for s in (0, 1)}
+    for r in keys.select("shard", F.array(*level.positions(F.col("key"))).alias("p")).toPandas().itertuples():
+        for p in r.p:
+            want[r.shard][p >> 6] |= np.uint64(1) << np.uint64(p & 63)
+    assert all(np.array_equal(filled[s], want[s]) for s in want)
+
+
 def test_cascade_of_no_listed_keys(spark):
     cascade = url_filter.Cascade.build(spark.range(5).selectExpr("cast(id as string) AS key", "false AS listed"))
     assert cascade.marked(spark.range(5).selectExpr("cast(id as string) AS key"), F.col("key"), "found").where("found").count() == 0
@@ -755,6 +816,16 @@ def test_mix(docs, rows):
     assert sorted(got) == sorted(mixing.mix(docs.repartition(3)).collect())
 
 
+def test_slices_spread_null_and_stepped_ids(spark):
+    """Null ids by their texts, ids that step by the number of slices by their hash."""
+    rows = [(None if i % 2 else 16 * i, f"w {i}", "en", "s", 0) for i in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    slices = docs.groupBy(F.isnull("doc_id").alias("none"), (mixing._key_hash(F.col("doc_id"), F.col("text")) % 16).alias("l")).count().collect()
+    assert len(slices) == 32 and max(r["count"] for r in slices) < 120
+    got = mixing.mix(docs).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(5)).collect())) and abs(sum(r["taken"] for r in got) - 4000) <= 6
+
+
 def test_targets_stop_at_three_times(spark):
     for sizes in ({"a": 1000, "b": 1, "c": 10}, {"a": 10, None: 5}, {"a": 0, "b": 7}, {"a": 0}, {"z": 5}, {"a": 1, "b": 1, "c": 1, "d": 100}):
         got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
@@ -784,16 +855,45 @@ def test_native_operators_run_no_python(docs, spark):
 
 
 def brute_leaves(t):
-    """Sentences of each line, in pieces of 48 bytes (8 in short texts)."""
-    b = t.encode()
-    step = 48 if len(b) >= 256 else 8
+    """Sentences of each line, cut after each window whose hash says so, and after `MOST` bytes."""
+    f = fingerprint
     out = []
-    for line in re.findall(rb"[^\n]*\n|[^\n]+", b):
+    for line in re.findall(rb"[^\n]*\n|[^\n]+", t.encode()):
         for sentence in re.findall(rb"[^.!?\n]*(?:[.!?]+[ \t]*|\n|$)", line):
-            out += [sentence[i : i + step] for i in range(0, len(sentence), step)]
+            leaf = b""
+            for i in range(len(sentence)):
+                leaf += sentence[i : i + 1]
+                window = sentence[max(i + 1 - f.WINDOW, 0) : i + 1]
+                mark = len(window) == f.WINDOW and ((int.from_bytes(window, "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 15) % f.SPACING == 0
+                if (mark and len(leaf) >= f.LEAST) or len(leaf) == f.MOST or i == len(sentence) - 1:
+                    out.append(leaf)
+                    leaf = b""
     return out
 
 
+@pytest.mark.parametrize(("size", "kept", "edited"), [(300, 200, 209), (420, 280, 289), (256, 255, 255), (255, 170, 400), (5000, 5000, 5001)])
+def test_texts_of_any_lengths_share_leaves(size, kept, edited):
+    """The likeness follows what two texts share, whatever their lengths; the mean of some texts, as leaves are few."""
+    r = random.Random(size)
+    line = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))[:n].encode()
+    near = []
+    for _ in range(30):
+        x = line(size)
+        y = b"Q" + x if edited > size and kept == size else (x[:kept] + line(edited))[:edited]
+        near.append(fingerprint.likeness(fingerprint.tree(x), fingerprint.tree(y)))
+    shared = 2 * kept / (size + edited)
+    assert shared - 0.1 <= sum(near) / len(near) <= shared + 0.03
+
+
+def test_leaves_kept_between_trees_change_nothing():
+    texts = [t.encode() for _, t, *_ in corpus(60, 9) if t]
+    known = {}
+    for t in texts:
+        assert fingerprint.fingerprint(fingerprint.tree(t, known)) == fingerprint.fingerprint(fingerprint.tree(t))
+        assert fingerprint.differing(fingerprint.tree(texts[0], known), fingerprint.tree(t, known)) == fingerprint.differing(fingerprint.tree(texts[0]), fingerprint.tree(t))
+    assert fingerprint.likeness(fingerprint.tree(b"a" * 1000), fingerprint.tree(b"a" * 1064)) > 0.9
+
+
 def test_fingerprints(docs, rows):
     order = sorted(rows, key=lambda r: -r[0])
     got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
