@@ -1,9 +1,10 @@
 """Phrase collocation mining by partitioning (SON): shards are mined at lowered support, then candidates are counted exactly.
 
 Everything is per language.  Texts are cut to blocks of bounded size (at breaks, which no phrase crosses); a block belongs to one of `SHARDS` shards of its
-language.  Shards grow with the corpus, so each is mined by many tasks:
+language.  Shards grow with the corpus, so each is mined by many tasks; they are few, as a support of 10 leaves little to lower it by (two shards
+of a half ask for 5 each):
 
-* first pass: each block counts its phrases of 1 to 3 words by 64-bit hashes and sends them, sorted and packed, to the hashes' buckets.  There the counts of
+* first pass: each block counts its phrases of 1 to 3 words by 48-bit hashes and sends them, sorted and packed, to the hashes' buckets.  There the counts of
   each shard are complete, and a hash that reaches the shard's support (the global support times the shard's share of the words, rounded up) in any shard is a
   candidate: a phrase that is frequent in all reaches it somewhere.  Equal hashes of different phrases only add candidates;
 * second pass: each block gets the candidates that it holds, counts their phrases exactly, as words, and sends these counts alone.  Their sums are
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from eodlake.llm.common import cut, gathered, pack, parted, table, text_bytes, unpack
 
-SUPPORT, LONGEST, SHARDS, TOP, INSIDE_PERCENT = 10, 3, 4, 2000, 50
+SUPPORT, LONGEST, SHARDS, TOP, INSIDE_PERCENT = 10, 3, 2, 2000, 50
 BLOCK_BYTES, BUCKET_ROWS, SPLITS = 8 << 20, 1 << 18, 128
 FEW = 10_000  # shards' supports that are broadcast
 UNKNOWN_LANG = "und"
@@ -113,7 +114,7 @@ class Block:
         for j in range(k):
             out = (out ^ self.digests[at + j]) * _ODD[j]
             out ^= out >> np.uint64(29)
-        return out
+        return out >> np.uint64(16)
 
     def counted(self, at: np.ndarray, k: int) -> tuple[list[str], np.ndarray]:
         """Phrases at these places and their exact counts."""
@@ -127,7 +128,7 @@ class Block:
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((hashes >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _packed(hashes: np.ndarray, *others: np.ndarray) -> bytes:
