@@ -13,8 +13,8 @@ before a place, `count` in a range, `select` finds its k-th place and `places` a
 Tasks write through the file system that the path names (`pyarrow.fs`), below a name of their own that is moved to the final one, so a task that runs
 twice leaves one file.  Spark's reader lists and reads the files back.
 
-A text's chunks between ASCII white space are tokenised one by one and remembered: this tokenizer drops white space, and its normalizer and splits never
-look across it, so the ids are those of the whole text.
+A text's pieces are tokenised once each and remembered: this tokenizer drops white space, its normalizer and splits never look across it, and letters, digits
+and signs of ASCII are split by its pattern, so the ids are those of the whole text (tests hold them against it).
 
 Defined results: a null or empty text is its end id alone; a very long text is tokenised chunk by chunk and isn't parted: its ids are in one
 shard (a shard ends after the document that fills it); null ids come first; documents of one id are ordered by the digest of their ids, equal ones by a
@@ -23,8 +23,13 @@ fixed number of each row, which also spreads them over tasks; repeated rows are
 
 from __future__ import annotations
 
+import hashlib
 import math
+import os
+import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 
 from eodlake.llm.common import cut, map_batches, shared_dir, table, text_bytes
 
-END, SHARD_TOKENS, KEEP, KEEP_LENGTH = 1, 1 << 21, 400_000, 64
+END, SHARD_TOKENS, KEEP, KEEP_BYTES, MARK = 1, 1 << 21, 1_000_000, 1 << 24, b"\0"
 MAGIC, HEAD = b"WAVM", "<4sHHQQ"  # magic, version, bits, tokens, documents
 RUN = 1 << 12  # partitions whose sums are added up by one task
 
@@ -206,35 +211,84 @@ class ShardFile:
         return cls([d if ok else None for d, ok in zip(ids, named, strict=True)], lengths, WaveletMatrix(planes, sections[bits + 1 :].tolist(), n))
 
 
-class Encoder:
-    """Ids of whole texts; those of short chunks are remembered, up to a bound."""
+#: The tokenizer's own splits of chunks that are ASCII; a chunk with other characters stays whole.
+_PIECE = re.compile(rb"(?<!\S)[^\s\x80-\xff]*+[\x80-\xff]\S*|'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[a-zA-Z]+|[0-9]|[^\sa-zA-Z0-9\x80-\xff]+")
 
-    def __init__(self, model: str) -> None:
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model)
-        self.known: dict[bytes, list[int]] = {}
+def chunks_of(text: bytes) -> list[bytes]:
+    """Pieces of a text that the tokenizer takes by themselves.  ASCII texts are in lower case, as its normalizer makes them; texts that may hold a special
+    token, which is told before all that, are cut at white space only."""
+    if b"<|" in text:
+        return text.split()  # the white space of bytes is the six ASCII characters
+    return _PIECE.findall(text.lower() if text.isascii() else text)
+
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > KEEP:
-            self.known.clear()
-        asked = list(chunks)
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in asked], add_special_tokens=False)
-        self.known.update(zip(asked, (x.ids for x in found), strict=True))
+class Encoder:
+    """Ids of whole texts.  Chunks are numbered and their ids kept, up to a bound; those of a batch are learned together, as one text with
+    marks between them."""
+
+    def __init__(self, model: str, end: int = END) -> None:
+        from tokenizers import Tokenizer
 
-    def __call__(self, texts: list[bytes], end: int = END) -> Iterator[np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+        self.tokenizer, self.end = Tokenizer.from_str(model), end
+        self.mark = self._ids([MARK.decode()])
+        self.forget()
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def forget(self) -> None:
+        # number 0 is the end
+        self.number, self.size = {}, 0
+        self.flat, self.starts, self.lengths = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        odd = [c for c in chunks if MARK in c]
+        plain = [c for c in chunks if MARK not in c]
+        flat, lengths = [self.flat], [self.lengths]
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            found = self._ids([b" \0 ".join([*part, b""]).decode()])
+            ends = np.flatnonzero(found == self.mark[0])
+            if len(self.mark) > 1 or len(ends) != len(part):
+                raise ValueError("the mark isn't one token of its own")
+            flat.append(np.delete(found, ends))
+            lengths.append(np.diff(ends, prepend=-1) - 1)
+        for c in odd:
+            flat.append(self._ids([c.decode()]))
+            lengths.append(np.array([len(flat[-1])]))
+        for c in [*plain, *odd]:
+            self.number[c] = len(self.number) + 1
+            self.size += len(c)
+        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text with the end id after it."""
-        held = [t.split() for t in texts]  # the white space of bytes is the six ASCII characters
-        if new := {c for chunks in held for c in chunks if len(c) <= KEEP_LENGTH} - self.known.keys():
-            self._learn(new)
-        for chunks in held:
-            ids: list[int] = []
-            for c in chunks:
-                found = self.known.get(c)
-                # long chunks, and those that were forgotten as the bound was met
-                ids += self.tokenizer.encode(c.decode(), add_special_tokens=False).ids if found is None else found
-            ids.append(end)
-            yield np.array(ids, np.uint32)
+        held = [chunks_of(t) for t in texts]
+        met = set().union(*held)
+        new = met - self.number.keys()
+        if len(self.number) + len(new) > KEEP or self.size > KEEP_BYTES:
+            self.forget()
+            new = met
+        if new:
+            self._learn(list(new))
+        at = np.fromiter((n for h in held for n in (*map(self.number.__getitem__, h), 0)), np.int64, sum(map(len, held)) + len(held))
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, ends[np.flatnonzero(at == 0)][:-1]) if len(texts) else []
+
+
+def _worker_encoder(model: str) -> Encoder:
+    """The encoder that a Python worker keeps between its tasks, with what it has learned (bounded by `KEEP`).  Functions that are sent by value have no
+    module to keep it in, so it has one of its own."""
+    kept = sys.modules.setdefault("_eodlake_kept", types.ModuleType("_eodlake_kept")).__dict__
+    key = hashlib.sha256(model.encode()).hexdigest()
+    if key not in kept:
+        kept[key] = Encoder(model)
+    return kept[key]
 
 
 def _encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -245,10 +299,10 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encode, press = Encoder(model.value), zstandard.ZstdCompressor(level=1)
+        encode, press = _worker_encoder(model.value), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 ids = [x.astype("<u4").tobytes() for x in encode(part.column(1).to_pylist())]
                 out = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([press.compress(x) for x in ids])]
                 yield pa.record_batch(out, names=["doc_id", "n", "digest", "ids"])
