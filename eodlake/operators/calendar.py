@@ -41,6 +41,14 @@ def calendar(spark: SparkSession, start: date, end: date, holidays: DataFrame, s
     )
 
 
+def calendar_for(facts: DataFrame, columns: list[str], holidays: DataFrame, pad: int = PAD, **flags: bool) -> DataFrame:
+    """The calendar that these date columns need: from their least to their greatest day, padded.  One scan of the columns; without a date, an empty one."""
+    ends = facts.agg(*[f(c) for c in columns for f in (F.min, F.max)]).first()
+    known = [d for d in ends if d is not None]
+    first, last = (min(known), max(known)) if known else (date(1970, 1, 1) + timedelta(days=2 * pad), date(1970, 1, 1) - timedelta(days=1))
+    return calendar(facts.sparkSession, first, last, holidays, pad=pad, **flags)
+
+
 def parse_holidays(lines: DataFrame, column: str = "value", iso: bool = False) -> DataFrame:
     """(holiday), each once; lines without a date are left out."""
     return lines.select(holiday_date(F.col(column), iso).alias("holiday")).where("holiday is not null").distinct()
@@ -56,13 +64,24 @@ def explode_range(df: DataFrame, start: Column, end: Column, name: str = "d") ->
 
 
 def trading_days(ranges: DataFrame, cal: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per trading day of each range."""
-    return explode_range(ranges, F.col(start), F.col(end)).join(F.broadcast(cal.where("is_trading").select("d")), "d", "left_semi")
+    """One row per trading day of each range; a day outside the calendar is an error."""
+    met = explode_range(ranges, F.col(start), F.col(end)).join(_lookup(cal, "is_trading", prefix="_c_"), F.col("d") == F.col("_c_d"), "left")
+    return met.where(_known(F.col("_c_is_trading"), F.col("d"))).drop("_c_d", "_c_is_trading")
+
+
+def days_of_months(df: DataFrame, cal: DataFrame, month: str, out: str = "d") -> DataFrame:
+    """One row per trading day of each row's month (`month` is any day of it), by equality on the month; a month that the calendar
+    doesn't hold whole is an error."""
+    whole = cal.groupBy(F.trunc("d", "month").alias("_m")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("is_trading"), F.col("d")))).alias("_days"))
+    met = df.join(F.broadcast(whole), F.trunc(F.col(month), "month") == F.col("_m"), "left")
+    days = _known(F.when(F.col("_n") == F.dayofmonth(F.last_day(F.col(month))), F.col("_days")), F.col(month))
+    return met.withColumn(out, F.explode(days)).drop("_m", "_n", "_days")
 
 
 def month_trading_days(cal: DataFrame, year: int, month: int) -> DataFrame:
-    first = date(year, month, 1)
-    return cal.where(F.col("is_trading") & F.col("d").between(F.lit(first), F.last_day(F.lit(first)))).select("d")
+    """The trading days of one month."""
+    first = cal.sparkSession.createDataFrame([(date(year, month, 1),)], "month date")
+    return days_of_months(first, cal, "month").select("d")
 
 
 def _lookup(cal: DataFrame, *columns: str, prefix: str) -> DataFrame:
@@ -71,7 +90,7 @@ def _lookup(cal: DataFrame, *columns: str, prefix: str) -> DataFrame:
 
 def _known(found: Column, asked: Column) -> Column:
     """A date outside the calendar is an error, not a null."""
-    return F.when(asked.isNotNull() & found.isNull(), F.raise_error(F.lit("date outside the calendar")).cast("date")).otherwise(found)
+    return F.when(asked.isNotNull() & found.isNull(), F.raise_error(F.lit("date outside the calendar"))).otherwise(found)
 
 
 def with_last_trading_day(df: DataFrame, cal: DataFrame, day: str, out: str = "last_trading_day") -> DataFrame:
@@ -96,10 +115,11 @@ def add_trading_days(df: DataFrame, cal: DataFrame, day: str, n: str, out: str =
 
 
 def count_trading_days(df: DataFrame, cal: DataFrame, start: str, end: str, out: str = "n_trading_days") -> DataFrame:
-    """In [start, end], 0 if reversed; two lookups of the running count."""
+    """In [start, end], 0 if reversed; two lookups of the running count; a date outside the calendar is an error."""
     a, b = _lookup(cal, "trading_idx", "is_trading", prefix="_a_"), _lookup(cal, "trading_idx", prefix="_b_")
     met = df.join(a, F.col(start) == F.col("_a_d"), "left").join(b, F.col(end) == F.col("_b_d"), "left")
-    n = F.greatest(F.col("_b_trading_idx") - F.col("_a_trading_idx") + F.col("_a_is_trading").cast("bigint"), F.lit(0).cast("bigint"))
+    first, last = _known(F.col("_a_trading_idx"), F.col(start)), _known(F.col("_b_trading_idx"), F.col(end))
+    n = last - first + F.col("_a_is_trading").cast("bigint")
     n = F.when(F.col(start) > F.col(end), F.lit(0).cast("bigint")).otherwise(n)
     return met.withColumn(out, n).drop(*[c for c in met.columns if c.startswith(("_a_", "_b_"))])
 

@@ -13,9 +13,9 @@ from eodlake.functions.dates import compact, data_available, date_in_name, in_ma
 from eodlake.functions.text import money
 from eodlake.operators import append, calendar, contracts, coverage, fetchlog, normalize, planning, profile
 from eodlake.plans import adapters as a
-from eodlake.sources import readers, sinks
+from eodlake.sources import commits, named, readers, sinks
 from eodlake.sources.scratch import shared_folder
-from eodlake.streaming import arrivals
+from eodlake.streaming import arrivals, waiting
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -207,7 +207,8 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {a.cal_sql()}, r AS ({_RANGES}) SELECT o_orderkey, s, e, d FROM r JOIN cal ON d BETWEEN s AND e AND is_trading")
 def trading_days_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.trading_days(_ranges(spark, sf_dir).drop("n"), a.cal(spark), "s", "e").select("o_orderkey", "s", "e", "d")
+    ranges = _ranges(spark, sf_dir).drop("n")
+    return calendar.trading_days(ranges, calendar.calendar_for(ranges, ["s", "e"], a.holidays(spark)), "s", "e").select("o_orderkey", "s", "e", "d")
 
 
 @query(
@@ -217,7 +218,7 @@ SELECT month, n_orders, (SELECT count(*) FROM cal WHERE is_trading AND d >= mont
 def month_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trading days of each month that has orders."""
     months = a.table(spark, sf_dir, "orders").groupBy(F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(F.count("*").alias("n_orders"))
-    return calendar.count_trading_days(months.withColumn("to", F.last_day("month")), a.cal(spark), "month", "to").drop("to")
+    return calendar.days_of_months(months, a.cal(spark), "month").groupBy("month", "n_orders").agg(F.count("d").alias("n_trading_days"))
 
 
 @query(f"WITH {a.cal_sql()} SELECT o_orderkey, d AS day, last_trading_day, next_trading_day FROM orders JOIN cal ON d = o_orderdate::DATE")
@@ -236,7 +237,8 @@ def add_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {a.cal_sql()}, r AS ({_RANGES}) SELECT o_orderkey, s, e, (SELECT count(*) FROM cal WHERE is_trading AND d BETWEEN s AND e) AS n_trading_days FROM r")
 def count_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.count_trading_days(_ranges(spark, sf_dir).drop("n"), a.cal(spark), "s", "e")
+    ranges = _ranges(spark, sf_dir).drop("n")
+    return calendar.count_trading_days(ranges, calendar.calendar_for(ranges, ["s", "e"], a.holidays(spark)), "s", "e")
 
 
 @query(
@@ -552,9 +554,8 @@ def stream_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_NSE} SELECT strftime(file_date, '%Y-%m-%d') || '-NSE-EQ.txt' AS file_name, count(*) AS n_lines, sum(volume)::BIGINT AS volume FROM cons GROUP BY 1")
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One headerless text per day, read line by line again: the last field is the volume."""
-    days = sinks.export_days(append.ordered(_nse(spark, sf_dir)), specs.SEGMENTS["NSE_EQ"].file_suffix)
-    lines = days.select("file_name", F.explode(F.split(F.regexp_replace("content", "\n$", ""), "\n")).alias("line"))
+    """The lines of one headerless text per day: the last field is the volume."""
+    lines = sinks.day_lines(append.ordered(_nse(spark, sf_dir)), specs.SEGMENTS["NSE_EQ"].file_suffix)
     return lines.groupBy("file_name").agg(F.count("*").alias("n_lines"), F.sum(F.element_at(F.split("line", ","), -1).cast("bigint")).alias("volume"))
 
 
@@ -581,7 +582,7 @@ def combined_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text with a header per day and all its segments."""
     path = shared_folder(spark, "combined")
     sinks.write_combined(append.ordered(_nse(spark, sf_dir)).select(*specs.UNIFIED, "exchange", "segment", "file_date", "row_order"), path)
-    rows = spark.read.schema(f"{specs.UNIFIED_SCHEMA}, row_order bigint").csv(path, header=True)
+    rows = spark.read.schema(specs.UNIFIED_SCHEMA).csv(path, header=True)
     return rows.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count("*").alias("n_rows"), F.sum("volume").cast("bigint").alias("volume"))
 
 
@@ -595,9 +596,92 @@ def csv_transform_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("l_orderkey bigint, l_partkey bigint, doubled double").csv(f"{base}/out", header=True)
 
 
+_BY_MONTH = "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_custkey, (row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) - 1) // 40 AS chunk FROM orders"
+
+
+@query(
+    f"""WITH o AS ({_BY_MONTH}), c AS (SELECT month, chunk, count(*) AS n_rows, bool_or(o_custkey % 97 = 0) AS bad FROM o GROUP BY ALL)
+SELECT month, o_orderkey, o_custkey * 2 AS doubled, NULL::BIGINT AS chunk, NULL::BIGINT AS first_row, NULL::BIGINT AS n_rows, NULL::VARCHAR AS reason FROM o JOIN c USING (month, chunk) WHERE NOT bad
+UNION ALL SELECT month, NULL, NULL, chunk, chunk * 40, n_rows, 'ValueError: odd customer' FROM c WHERE bad"""
+)
+def csv_chunk_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Big CSVs through a caller's pandas function that fails on some chunks: all others are written, the failed ones listed.  Chunks are counted in a file's
+    blocks; a month of orders is one block."""
+    base = shared_folder(spark, "chunks")
+    rows = a.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_custkey")
+    lines = rows.select(F.concat(F.lit("orders-"), "month", F.lit(".csv")).alias("file_name"), sinks.csv_line(["month", "o_orderkey", "o_custkey"]).alias("line"), "o_orderkey")
+    named.write_named(lines, f"{base}/in", ["o_orderkey"], header="month,o_orderkey,o_custkey")
+
+    def double(chunk):
+        if (chunk["o_custkey"] % 97 == 0).any():
+            raise ValueError("odd customer")
+        return chunk.assign(doubled=chunk["o_custkey"] * 2)
+
+    out = "month string, o_orderkey bigint, doubled bigint"
+    _, faults = readers.transform_chunks(spark, f"{base}/in", "month string, o_orderkey bigint, o_custkey bigint", double, out, f"{base}/out", chunk_rows=40)
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    done = spark.read.schema(out).csv(f"{base}/out", header=True).select("*", none("chunk", "bigint"), none("first_row", "bigint"), none("n_rows", "bigint"), none("reason", "string"))
+    month = F.regexp_extract("file_name", r"orders-(.*)\.csv", 1).alias("month")
+    return done.unionByName(faults.select(month, none("o_orderkey", "bigint"), none("doubled", "bigint"), "chunk", "first_row", "n_rows", "reason"))
+
+
+@query(
+    f"""WITH {_NSE}, o AS (SELECT *, row_number() OVER (PARTITION BY file_date ORDER BY source_rank, CASE WHEN source_rank = 0 THEN symbol END NULLS LAST, line_no) AS row_order FROM cons WHERE day(file_date) <> 13)
+SELECT file_date, source_segment, symbol, open, volume, row_order, NULL::VARCHAR AS reason FROM o
+UNION ALL SELECT file_date, 'EQ', 'BhavCopy_NSE_CM_0_0_0_' || strftime(file_date, '%Y%m%d') || '_F_0000.csv.zip', NULL, NULL, NULL, 'unreadable: BadZipFile'
+FROM (SELECT DISTINCT file_date FROM raw_cm WHERE day(file_date) = 13)"""
+)
+def stream_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zipped equities and plain other segments land as raw files in any order, the archives of some days damaged: the lake and the quarantine."""
+    base, eq, sme, idx = shared_folder(spark, "archives"), specs.SEGMENTS["NSE_EQ"], specs.SEGMENTS["NSE_SME"], specs.SEGMENTS["NSE_INDEX"]
+    columns = ["TradDt", "TckrSymb", "SctySrs", "OpnPric", "HghPric", "LwPric", "ClsPric", "TtlTradgVol"]
+    archives = _day_files(a.raw_cm(spark, sf_dir), columns, eq)
+    thirteenth = F.dayofmonth(F.to_date(F.regexp_extract("file_name", eq.raw_name, 1), "yyyyMMdd")) == 13
+    archives = archives.withColumn("content", F.when(thirteenth, F.substring("content", 1, 90)).otherwise(F.col("content")))
+    index = a.raw_idx(spark, sf_dir)
+    for folder, files in (
+        ("index", _day_files(index, [c for c in index.columns if c not in ("file_date", "line_no")], idx)),
+        ("eq", archives),
+        ("sme", _day_files(a.raw_sme(spark, sf_dir), ["MARKET", "SERIES", "SYMBOL", "OPEN_PRICE", "HIGH_PRICE", "LOW_PRICE", "CLOSE_PRICE", "NET_TRDQTY"], sme)),
+    ):
+        named.write_contents(files, f"{base}/raw/{folder}")
+    arrivals.stream_archives(spark, f"{base}/raw", "NSE", f"{base}/landed", f"{base}/lake", f"{base}/bad", f"{base}/state").awaitTermination()
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    lake = spark.read.parquet(f"{base}/lake").select("file_date", "source_segment", "symbol", "open", "volume", "row_order", none("reason", "string"))
+    bad = arrivals.quarantined(spark, f"{base}/bad", f"{base}/raw")
+    return lake.unionByName(bad.select("file_date", F.lit("EQ").alias("source_segment"), F.col("file_name").alias("symbol"), none("open", "double"), none("volume", "double"), none("row_order", "bigint"), "reason"))
+
+
+@query(f"WITH {_NSE} SELECT exchange, segment, file_date, source_segment, symbol, open, volume FROM cons")
+def append_with_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that stopped before its markers, a run over half of the segments, and two over all: each day and segment is there once."""
+    rows, lake = _nse(spark, sf_dir).select("exchange", "segment", "file_date", "source_segment", "symbol", "open", "volume"), shared_folder(spark, "once")
+    commits.write_rows(rows.where("source_segment <> 'INDEX'"), lake, "0-stopped")
+    commits.append_once(rows.where("source_segment <> 'SME'"), lake)
+    for _ in range(2):
+        commits.append_once(rows, lake)
+    return commits.committed(spark, lake, "exchange string, segment string, file_date date, source_segment string, symbol string, open double, volume double")
+
+
+@query(
+    f"""WITH {_NSE}, p AS (SELECT file_date, 'EQ' AS s, count(*) AS n FROM eq GROUP BY 1 UNION ALL SELECT file_date, 'SME', count(*) FROM raw_sme GROUP BY 1 UNION ALL SELECT file_date, 'INDEX', count(*) FROM raw_idx GROUP BY 1)
+SELECT 'NSE' AS exchange, file_date, CASE WHEN count(*) = 3 THEN 'complete' ELSE 'pending' END AS status, string_agg(s, ',' ORDER BY s) AS segments, sum(n)::BIGINT AS n_rows FROM p GROUP BY file_date"""
+)
+def stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days wait, with state, until all their segments have come."""
+    base = shared_folder(spark, "days")
+    segments = {"INDEX": normalize.nse_index(a.raw_idx(spark, sf_dir)), "EQ": normalize.nse_eq(a.raw_cm(spark, sf_dir)), "SME": normalize.sme(a.raw_sme(spark, sf_dir))}
+    for i, (name, df) in enumerate(segments.items()):
+        came = df.groupBy("file_date").agg(F.count("*").alias("n_rows")).select(F.lit("NSE").alias("exchange"), "file_date", F.lit(name).alias("source_segment"), "n_rows", F.lit(f"2001-01-01 0{i}:00:00").cast("timestamp").alias("arrived"))
+        came.coalesce(1).write.mode("append").parquet(f"{base}/in")  # one row per day
+    arriving = spark.readStream.schema(came.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    waiting.stream_days(spark, arriving, f"{base}/out", f"{base}/state").awaitTermination()
+    return waiting.last_statuses(spark, f"{base}/out")
+
+
 #: Date columns by query; results give them as text, so that engines need not agree on a date's form.
 DATES = {
-    "file_date": "normalize_nse_eq normalize_bse_eq normalize_bse_eq_denied_table normalize_sme normalize_sme_suffix normalize_nse_index normalize_bse_index fut_roman_symbols fut_quarantine consolidate_nse consolidate_nse_without_sme zip_ingest_roundtrip lake_write_roundtrip stream_consolidate consolidate_bse append_order append_idempotent align_by_name align_by_position date_parse_quality index_date_quality rows_per_day_segment segments_per_day money_text file_validity csv_ingest_roundtrip symbols_in_order days_read_back",
+    "file_date": "normalize_nse_eq normalize_bse_eq normalize_bse_eq_denied_table normalize_sme normalize_sme_suffix normalize_nse_index normalize_bse_index fut_roman_symbols fut_quarantine consolidate_nse consolidate_nse_without_sme zip_ingest_roundtrip lake_write_roundtrip stream_consolidate consolidate_bse append_order append_idempotent align_by_name align_by_position date_parse_quality index_date_quality rows_per_day_segment segments_per_day money_text file_validity csv_ingest_roundtrip symbols_in_order days_read_back stream_archives append_with_markers stream_days",
     "s e d": "trading_days_expand",
     "month": "month_trading_days",
     "day last_trading_day next_trading_day": "last_next_trading_day",

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from eodlake import specs
 from eodlake.functions.dates import raw_name_date
+from eodlake.sources.scratch import shared_folder
 
 BAD = "_bad_file"
 
@@ -62,23 +67,35 @@ def read_raw(spark: SparkSession, path: str, spec: specs.SegmentSpec) -> DataFra
 
 
 def parse_files(files: DataFrame, spec: specs.SegmentSpec) -> DataFrame:
-    """(file_name, content) -> the spec's columns, file_date, line_no, file_name, _bad_file.
+    """(file_name, content) -> the spec's columns, file_date, line_no, file_name, _bad_file, by `parse_segments`."""
+    return parse_segments(files, [spec]).drop("segment_name")
+
+
+def parse_segments(files: DataFrame, chosen: list[specs.SegmentSpec]) -> DataFrame:
+    """(file_name, content) of any of the segments -> all their columns, segment_name, file_date, line_no, file_name, _bad_file, in one pass
+    over the files; a file belongs to the first segment whose names match, others are left out.
 
     Files are taken whole, as archives cannot be split and line numbers are needed, many to a task.  A
     file that can't be read gives one row with the reason in `_bad_file` and does not hold up the others;
     `good` and `bad` part them.  Columns that are absent in a file are null."""
-    schema = T.StructType.fromDDL(spec.schema)
-    out = T.StructType([*schema.fields, T.StructField("file_name", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField(BAD, T.StringType())])
-    zipped = spec.zipped
+    fields: dict[str, T.StructField] = {}
+    for spec in chosen:
+        for f in T.StructType.fromDDL(spec.schema):
+            if fields.setdefault(f.name, f) != f:
+                raise ValueError(f"segments differ in the type of {f.name}")
+    added = [T.StructField("segment_name", T.StringType()), T.StructField("file_name", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField(BAD, T.StringType())]
+    out = T.StructType([*fields.values(), *added])
+    patterns = [(re.compile(s.raw_name), s, {f.name for f in T.StructType.fromDDL(s.schema)}) for s in chosen]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["file_name"], batch["content"], strict=True):
+                spec, own = next((s, own) for p, s, own in patterns if p.search(name))
                 reason, header, rows = None, [], []
                 try:
                     if not content:
                         reason = "empty file"
-                    elif zipped and (content := _first_csv(bytes(content))) is None:
+                    elif spec.zipped and (content := _first_csv(bytes(content))) is None:
                         reason = "no csv member"
                     else:
                         header, rows = _csv_rows(bytes(content))
@@ -89,15 +106,23 @@ def parse_files(files: DataFrame, spec: specs.SegmentSpec) -> DataFrame:
                 if not n:
                     continue
                 data = {}
-                for f in schema.fields:
-                    at = header.index(f.name) if f.name in header else None
+                for f in fields.values():
+                    at = header.index(f.name) if f.name in header and f.name in own else None
                     values = [None] * n if reason or at is None else [r[at].strip() if at < len(r) else None for r in rows]
                     data[f.name] = pd.Series(_cast(values, f.dataType), dtype="object")
-                data |= {"file_name": [name] * n, "line_no": range(1, n + 1), BAD: [reason] * n}
+                data |= {"segment_name": [spec.name] * n, "file_name": [name] * n, "line_no": range(1, n + 1), BAD: [reason] * n}
                 yield pd.DataFrame(data, columns=out.fieldNames())
 
-    rows = files.where(F.col("file_name").rlike(spec.raw_name)).mapInPandas(run, out)
-    return rows.withColumn("file_date", raw_name_date(F.col("file_name"), spec.raw_name, spec.date_format))
+    known = reduce(lambda a, b: a | b, [F.col("file_name").rlike(s.raw_name) for s in chosen])
+    rows = files.where(known).mapInPandas(run, out)
+    day = reduce(lambda c, s: c.when(F.col("segment_name") == s.name, raw_name_date(F.col("file_name"), s.raw_name, s.date_format)), chosen, F)
+    return rows.withColumn("file_date", day)
+
+
+def of_segment(parsed: DataFrame, spec: specs.SegmentSpec) -> DataFrame:
+    """The good rows of one segment, in its own columns."""
+    rows = parsed.where((F.col("segment_name") == spec.name) & F.col(BAD).isNull())
+    return rows.select(*[F.col(f"`{f.name}`") for f in T.StructType.fromDDL(spec.schema)], "file_date", "line_no")
 
 
 def good(df: DataFrame) -> DataFrame:
@@ -154,3 +179,73 @@ def transform_csv(spark: SparkSession, path: str, schema: str, transform: Callab
     out = transform(seen.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
     out.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").csv(output, header=True)
     return {"rows_read": read.get["rows"], "rows_malformed": read.get["bad"], "rows_written": written.get["rows"]}
+
+
+FAULTS = "file_name string, block_start bigint, chunk bigint, first_row bigint, n_rows bigint, reason string"
+
+
+def transform_chunks(
+    spark: SparkSession, path: str, schema: str, transform: Callable[[pd.DataFrame], pd.DataFrame], out_schema: str, output: str, chunk_rows: int = 10_000
+) -> tuple[dict[str, int], DataFrame]:
+    """A big CSV through a caller's pandas function, chunk by chunk.  -> counts, and a row of FAULTS per chunk whose function
+    raised or whose result doesn't fit `out_schema`; all others are written to `output`.
+
+    A chunk is `chunk_rows` successive rows of a file's block (a split of Spark's reader), the last of a block may be shorter; chunks and rows are
+    numbered from 0 in their block.  The function runs once per chunk: its results and the faults go to one table in the shared folder first, so neither
+    the counts nor the files come from a second run of it.  A task holds one chunk."""
+    fields = T.StructType.fromDDL(out_schema)
+    taken = {f.name.lower() for f in [*fields, *T.StructType.fromDDL(schema)]} | {"_corrupt_record"}
+    clash = [m for m in ("_file", "_block", "_chunk", "_first", "_rows", "_reason") if m in taken]
+    if clash:
+        raise ValueError(f"columns of these names can't be carried: {clash}")
+    places = T.StructType.fromDDL("_file string, _block bigint, _chunk bigint, _first bigint, _rows bigint, _reason string")
+    staged = T.StructType([*fields, *places])
+    names, arrow = [f.name for f in fields], to_arrow_schema(fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        place, number, rows = None, 0, 0
+
+        def ended() -> pd.DataFrame:
+            nonlocal held, number, rows
+            chunk = pd.concat(held, ignore_index=True).drop(columns=["_file", "_block"])
+            reason, result = None, None
+            try:
+                result = transform(chunk)[names]
+                pa.RecordBatch.from_pandas(result, arrow, preserve_index=False)
+            except Exception as e:  # whatever the caller's function raises is that chunk's
+                reason, result = f"{type(e).__name__}: {e}"[:500], pd.DataFrame({n: pd.Series(dtype="object") for n in names})
+            head = pd.DataFrame({n: [None] for n in names}, dtype="object").assign(_file=place[0], _block=place[1], _chunk=number, _first=number * chunk_rows, _rows=len(chunk), _reason=reason)
+            held, number, rows = [], number + 1, 0
+            # one row of marks, then the results without any
+            return pd.concat([head, result.astype("object").assign(_file=None, _block=None, _chunk=None, _first=None, _rows=None, _reason=None)], ignore_index=True)[staged.fieldNames()]
+
+        for batch in batches:
+            for own, part in batch.groupby(["_file", "_block"], sort=False):
+                if own != place:
+                    if held:
+                        yield ended()
+                    place, number = own, 0
+                at = 0
+                while at < len(part):
+                    take = part.iloc[at : at + chunk_rows - rows]
+                    held.append(take)
+                    at, rows = at + len(take), rows + len(take)
+                    if rows == chunk_rows:
+                        yield ended()
+        if held:
+            yield ended()
+
+    read = Observation("read")
+    raw = spark.read.schema(f"{schema}, _corrupt_record string").csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    seen = raw.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    seen = seen.observe(read, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad"))
+    table = shared_folder(spark, "chunks")
+    seen.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record").mapInPandas(run, staged).write.parquet(table)
+    done = spark.read.schema(staged).parquet(table)
+    done.where("_chunk is null").select(*[F.col(f"`{n}`") for n in names]).write.mode("overwrite").csv(output, header=True)
+    marks = done.where("_chunk is not null")
+    faults = marks.where("_reason is not null").select("_file", "_block", "_chunk", "_first", "_rows", "_reason").toDF(*[f.name for f in T.StructType.fromDDL(FAULTS)])
+    n = marks.agg(F.count(F.lit(1)).alias("chunks"), F.count("_reason").alias("failed"), F.sum(F.when(F.col("_reason").isNotNull(), F.col("_rows"))).alias("lost")).first()
+    counts = {"rows_read": read.get["rows"], "rows_malformed": read.get["bad"], "chunks": n["chunks"], "chunks_failed": n["failed"], "rows_failed": n["lost"] or 0}
+    return counts | {"rows_written": done.where("_chunk is null").count()}, faults

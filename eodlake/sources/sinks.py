@@ -7,11 +7,13 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eodlake import specs
 from eodlake.functions.text import money, output_name
+from eodlake.operators.normalize import name
+from eodlake.sources.named import write_named
 
 PARTITIONS = ("exchange", "segment", "file_date")
 LAKE_PARTITIONS = ("exchange", "segment", "file_month")
@@ -31,27 +33,18 @@ def write_lake(df: DataFrame, path: str) -> None:
     keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAKE_PARTITIONS).parquet(path)
 
 
-def _name_files(spark: SparkSession, staging: str, path: str) -> None:
-    """Spark names its files itself: each `file_name=X` folder's one file becomes X below `path`.
-
-    A rename per file on the driver, for the some thousand days of an export; no bytes move."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(staging).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in fs.globStatus(hadoop(f"{staging}/file_name=*")) or []:
-        name = folder.getPath().getName().removeprefix("file_name=")
-        for part in fs.globStatus(hadoop(f"{staging}/file_name={name}/part-*")):
-            target = hadoop(f"{path}/{name}")
-            fs.delete(target, False)
-            fs.rename(part.getPath(), target)
-    fs.delete(hadoop(staging), True)
+def csv_line(columns: list[str]) -> Column:
+    """Columns as one line of CSV: quoted where they must be, blanks kept, null as nothing."""
+    plain = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "", "escape": '"', "quote": '"'}
+    return F.to_csv(F.struct(*[name(c) for c in columns]), plain)
 
 
 def write_combined(df: DataFrame, path: str) -> None:
-    """K3: a text with a header per day, `<EXCH>_<SEG>_DDMMYYYY_combined.csv` (an export: the lake itself is by month)."""
-    name = F.concat_ws("_", "exchange", "segment", F.date_format("file_date", "ddMMyyyy"), F.lit("combined.csv"))
-    rows = df.withColumn("file_name", name).drop(*PARTITIONS).repartition("file_name").sortWithinPartitions("file_name", "row_order")
-    rows.write.mode("overwrite").partitionBy("file_name").csv(f"{path}/_staging", header=True)
-    _name_files(df.sparkSession, f"{path}/_staging", path)
+    """K3: a text with a header per day, `<EXCH>_<SEG>_DDMMYYYY_combined.csv` (an export: the lake itself is by month).  It has the
+    data's columns; `row_order` only orders its lines."""
+    columns = [c for c in df.columns if c not in (*PARTITIONS, "row_order")]
+    file_name = F.concat_ws("_", "exchange", "segment", F.date_format("file_date", "ddMMyyyy"), F.lit("combined.csv"))
+    write_named(df.select(file_name.alias("file_name"), csv_line(columns).alias("line"), "row_order"), path, ["row_order"], header=",".join(columns))
 
 
 def export_lines(df: DataFrame, appended_money: bool = True) -> DataFrame:
@@ -85,8 +78,11 @@ def export_days(df: DataFrame, suffix: str) -> DataFrame:
     return spread.mapInPandas(run, "file_name string, content string")
 
 
+def day_lines(df: DataFrame, suffix: str) -> DataFrame:
+    """K1: -> file_name, line, row_order: the lines of headerless texts named YYYY-MM-DD<suffix>.txt."""
+    return export_lines(df).select(output_name(F.col("file_date"), F.lit(suffix)).alias("file_name"), csv_line(specs.UNIFIED).alias("line"), "row_order")
+
+
 def write_days(df: DataFrame, path: str, suffix: str) -> None:
     """K1 for a folder on a shared file system: one text per day, `YYYY-MM-DD<suffix>.txt`."""
-    days = export_days(df, suffix).withColumn("content", F.regexp_replace("content", "\n$", ""))  # the writer ends the line
-    days.repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(f"{path}/_staging")
-    _name_files(df.sparkSession, f"{path}/_staging", path)
+    write_named(day_lines(df, suffix), path, ["row_order"])
