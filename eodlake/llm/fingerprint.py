@@ -143,7 +143,7 @@ def leaves(node: Node, depth: int = 0) -> Iterator[Node]:
 
 
 def fingerprint(root: Node) -> str:
-    sections = ("".join("".join(x.hex()[:DIGITS] for x in p.digests) + "," for p in s.children) + ";" for s in root.children)
+    sections = ("".join(b"".join([x[: DIGITS // 2] for x in p.digests]).hex() + "," for p in s.children) + ";" for s in root.children)
     return root.digest.hex() + ":" + "".join(sections)
 
 
@@ -161,11 +161,11 @@ def read_tree(fp: str) -> Node:
     return Node(root.encode(), 0, at, sections)
 
 
-def _anchors(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
-    """Places of nodes that stand once in both, as many as come in the same order."""
-    once_a, once_b = (Counter(x.digest for x in side) for side in (a, b))
-    where = {x.digest: j for j, x in enumerate(b) if once_b[x.digest] == 1}
-    both = [(i, where[x.digest]) for i, x in enumerate(a) if once_a[x.digest] == 1 and x.digest in where]
+def _anchors(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """Places of digests that stand once in both, as many as come in the same order."""
+    once_a, once_b = Counter(a), Counter(b)
+    where = {x: j for j, x in enumerate(b) if once_b[x] == 1}
+    both = [(i, where[x]) for i, x in enumerate(a) if x in where and once_a[x] == 1]
     ends: list[int] = []  # longest increasing sequence of the places in b
     last: list[int] = []
     before: list[int] = []
@@ -184,30 +184,54 @@ def _anchors(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned(a: list[Node], b: list[Node], depth: int = 0) -> Iterator[tuple[Node | None, Node | None]]:
-    """Nodes that are equal in both sequences, as pairs; leaves of `a` or `b` without an equal one, alone.
-
-    `depth` is that of the nodes: 0 for roots, 3 for leaves."""
+def _equal_places(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """Places that are set against each other: equal ends, then anchors between them."""
     lo, na, nb = 0, len(a), len(b)
-    while lo < na and lo < nb and a[lo].digest == b[lo].digest:
-        yield a[lo], b[lo]
+    while lo < na and lo < nb and a[lo] == b[lo]:
         lo += 1
     hi = 0
-    while hi < na - lo and hi < nb - lo and a[na - 1 - hi].digest == b[nb - 1 - hi].digest:
+    while hi < na - lo and hi < nb - lo and a[na - 1 - hi] == b[nb - 1 - hi]:
         hi += 1
-    mid_a, mid_b = a[lo : na - hi], b[lo : nb - hi]
+    middle = _anchors(a[lo : na - hi], b[lo : nb - hi]) if lo + hi < min(na, nb) else []
+    return [*((i, i) for i in range(lo)), *((lo + i, lo + j) for i, j in middle), *((na - k, nb - k) for k in range(hi, 0, -1))]
+
+
+def aligned(a: list[Node], b: list[Node], depth: int = 0) -> Iterator[tuple[Node | None, Node | None]]:
+    """Nodes that are equal in both sequences, as pairs; leaves of `a` or `b` without an equal one, alone.
+
+    `depth` is that of the nodes: 0 for roots, 3 for leaves."""
     i = j = 0
-    for x, y in [*_anchors(mid_a, mid_b), (len(mid_a), len(mid_b))]:
-        gap_a, gap_b = mid_a[i:x], mid_b[j:y]
+    for x, y in [*_equal_places([n.digest for n in a], [n.digest for n in b]), (len(a), len(b))]:
+        gap_a, gap_b = a[i:x], b[j:y]
         if depth == 3:
             yield from ((n, None) for n in gap_a)
             yield from ((None, n) for n in gap_b)
         elif gap_a or gap_b:
             yield from aligned([c for n in gap_a for c in n.children], [c for n in gap_b for c in n.children], depth + 1)
-        if x < len(mid_a):
-            yield mid_a[x], mid_b[y]
+        if x < len(a):
+            yield a[x], b[y]
+        i, j = x + 1, y + 1
+
+
+def _digests(nodes: list[Node | Paragraph]) -> list[bytes]:
+    """The digests of the nodes' children."""
+    return [d for n in nodes for d in (n.digests if isinstance(n, Paragraph) else [c.digest for c in n.children])]
+
+
+def _equal_leaves(a: list[Node], b: list[Node], depth: int = 0) -> int:
+    """The leaves that `aligned` pairs, counted without making nodes of them."""
+    total = i = j = 0
+    for x, y in [*_equal_places([n.digest for n in a], [n.digest for n in b]), (len(a), len(b))]:
+        gap_a, gap_b = a[i:x], b[j:y]
+        if gap_a and gap_b:
+            if depth == 2:
+                total += len(_equal_places(_digests(gap_a), _digests(gap_b)))
+            else:
+                total += _equal_leaves([c for n in gap_a for c in n.children], [c for n in gap_b for c in n.children], depth + 1)
+        if x < len(a):
+            total += _leaves_below(a[x], depth)
         i, j = x + 1, y + 1
-    yield from zip(a[na - hi :], b[nb - hi :], strict=True) if hi else ()
+    return total
 
 
 def _leaves_below(node: Node, depth: int) -> int:
@@ -219,8 +243,7 @@ def likeness(a: Node, b: Node) -> float:
     if a.digest == b.digest:
         return 1.0
     n, m = _leaves_below(a, 0), _leaves_below(b, 0)
-    alone = sum(1 for x, y in aligned([a], [b]) if x is None or y is None)
-    return (n + m - alone) / (n + m) if n + m else 1.0
+    return 2 * _equal_leaves([a], [b]) / (n + m) if n + m else 1.0
 
 
 def differing(a: Node, b: Node) -> list[tuple[int, int]]:
