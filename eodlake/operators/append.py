@@ -76,6 +76,16 @@ def ordered(df: DataFrame) -> DataFrame:
     return df.withColumn("row_order", F.row_number().over(order).cast("bigint"))
 
 
+def ordered_by_month(df: DataFrame, month: str = "file_month") -> DataFrame:
+    """`ordered`, with rows dealt out by month: one shuffle serves the order in the days and folders of months, which are written from where the rows are."""
+    from pyspark.sql import Window
+
+    keyed = df.withColumn(month, F.date_format("file_date", "yyyy-MM")).repartition("exchange", "segment", month)
+    symbol = F.when(F.col("source_rank") == 0, F.col("symbol"))
+    order = Window.partitionBy("exchange", "segment", month, "file_date").orderBy("source_rank", F.asc_nulls_last(symbol), "line_no")
+    return keyed.withColumn("row_order", F.row_number().over(order).cast("bigint"))
+
+
 def days_with(df: DataFrame, sentinel: str = specs.SENTINEL, symbol: str = "symbol") -> DataFrame:
     """Days where a symbol contains the sentinel."""
     return df.where(name(symbol).contains(sentinel)).select("file_date").distinct()

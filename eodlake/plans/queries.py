@@ -13,7 +13,7 @@ from eodlake.functions.dates import compact, data_available, date_in_name, in_ma
 from eodlake.functions.text import money
 from eodlake.operators import append, calendar, contracts, coverage, fetchlog, normalize, planning, profile
 from eodlake.plans import adapters as a
-from eodlake.sources import commits, named, readers, sinks
+from eodlake.sources import commits, named, readers, segments, sinks
 from eodlake.sources.scratch import shared_folder
 from eodlake.streaming import arrivals, waiting
 
@@ -443,6 +443,23 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(a.table(spark, sf_dir, "lineitem"), _PROFILED)
 
 
+@query(
+    "WITH p AS ("
+    + " UNION ALL ".join(
+        _ONE.format(c=c, t=t, lo=f"min({c})::BIGINT" if "int" in t else "NULL::BIGINT", hi=f"max({c})::BIGINT" if "int" in t else "NULL::BIGINT") for c, t in _KINDS.items()
+    )
+    + ") SELECT column_name, type, n_rows, least, greatest, n_distinct, true AS near FROM p"
+)
+def profile_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by day, added in two runs, merge to the whole table's profile; the estimates are held against exact counts."""
+    path, rows = shared_folder(spark, "sketches"), a.table(spark, sf_dir, "lineitem").withColumn("file_date", F.col("l_shipdate").cast("date"))
+    profile.add_days(rows.where("file_date < '1995-01-01'"), path, _PROFILED)
+    merged = profile.merged_profile(profile.add_days(rows, path, _PROFILED)).withColumnRenamed("n_distinct", "estimate")
+    exact = profile.profile(rows, _PROFILED).select("column_name", "n_distinct")
+    near = F.abs(F.col("estimate") - F.col("n_distinct")) <= 0.1 * F.col("n_distinct")
+    return merged.join(F.broadcast(exact), "column_name").select("column_name", "type", "n_rows", "least", "greatest", "n_distinct", near.alias("near"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice FROM lineitem")
 def narrow_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values stay what they are in narrower types (cast back, as the widths depend on the data)."""
@@ -505,10 +522,26 @@ def zip_ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {a.RAW_SME} SELECT SYMBOL, p AS OPEN_PRICE, p AS CLOSE_PRICE, NET_TRDQTY, file_date, row_number() OVER (PARTITION BY file_date ORDER BY line_no) AS line_no FROM raw_sme")
 def csv_ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day's rows as a plain file, read again."""
-    spec = specs.SEGMENTS["NSE_SME"]
-    files = _day_files(a.raw_sme(spark, sf_dir), ["SYMBOL", "OPEN_PRICE", "CLOSE_PRICE", "NET_TRDQTY"], spec)
-    return readers.good(readers.parse_files(files, spec)).select("SYMBOL", "OPEN_PRICE", "CLOSE_PRICE", "NET_TRDQTY", "file_date", "line_no")
+    """Each day's rows as a plain file, read again by splits, without Python."""
+    spec, columns, path = specs.SEGMENTS["NSE_SME"], ["SYMBOL", "OPEN_PRICE", "CLOSE_PRICE", "NET_TRDQTY"], shared_folder(spark, "plain")
+    named.write_named(_plain_lines(a.raw_sme(spark, sf_dir), columns, spec), path, ["line_no"], header=",".join(columns))
+    return readers.read_plain(spark, path, spec).select(*columns, "file_date", "line_no")
+
+
+def _plain_lines(df: DataFrame, columns: list[str], spec: specs.SegmentSpec) -> DataFrame:
+    file_name = F.replace(F.lit(spec.filename_pattern), F.lit("{date}"), F.date_format("file_date", spec.date_format))
+    return df.select(file_name.alias("file_name"), sinks.csv_line(columns).alias("line"), "line_no")
+
+
+@query(f"WITH {a.RAW_SME} SELECT SYMBOL, p AS OPEN_PRICE, NET_TRDQTY, file_date, row_number() OVER (PARTITION BY file_date ORDER BY line_no) AS line_no FROM raw_sme")
+def segment_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One segment out of a folder of two: files of the other one aren't opened."""
+    path = shared_folder(spark, "segments")
+    for segment, df in (("NSE_SME", a.raw_sme(spark, sf_dir)), ("NSE_INDEX", a.raw_idx(spark, sf_dir))):
+        columns = [c for c in df.columns if c not in ("file_date", "line_no")]
+        named.write_named(_plain_lines(df, columns, specs.SEGMENTS[segment]), path, ["line_no"], header=",".join(columns))
+    rows = segments.read_segments(spark, path, ["NSE_SME", "NSE_INDEX"]).where("segment_name = 'NSE_SME'")
+    return readers.good(rows).select("SYMBOL", "OPEN_PRICE", "NET_TRDQTY", "file_date", "line_no")
 
 
 @query(f"WITH {a.RAW_CM} SELECT file_date, TckrSymb AS symbol, line_no, row_number() OVER (PARTITION BY file_date ORDER BY TckrSymb NULLS LAST, line_no) AS place FROM raw_cm WHERE SctySrs IN ('EQ', 'BE', 'BZ')")
@@ -534,10 +567,10 @@ _LAKE = ["symbol", "trade_date", "open", "close", "volume", "exchange", "segment
 @query(_ORDERED)
 def lake_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written twice, read back."""
-    lake, rows = shared_folder(spark, "lake"), append.ordered(_nse(spark, sf_dir))
+    lake, rows = shared_folder(spark, "lake"), _nse(spark, sf_dir)
     for _ in range(2):
-        sinks.write_lake(rows, lake)
-    return spark.read.schema(rows.schema).parquet(lake).select(*_LAKE)
+        sinks.write_ordered(rows, lake)
+    return spark.read.parquet(lake).select(*_LAKE)
 
 
 @query(_ORDERED)
@@ -681,7 +714,7 @@ def stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Date columns by query; results give them as text, so that engines need not agree on a date's form.
 DATES = {
-    "file_date": "normalize_nse_eq normalize_bse_eq normalize_bse_eq_denied_table normalize_sme normalize_sme_suffix normalize_nse_index normalize_bse_index fut_roman_symbols fut_quarantine consolidate_nse consolidate_nse_without_sme zip_ingest_roundtrip lake_write_roundtrip stream_consolidate consolidate_bse append_order append_idempotent align_by_name align_by_position date_parse_quality index_date_quality rows_per_day_segment segments_per_day money_text file_validity csv_ingest_roundtrip symbols_in_order days_read_back stream_archives append_with_markers stream_days",
+    "file_date": "normalize_nse_eq normalize_bse_eq normalize_bse_eq_denied_table normalize_sme normalize_sme_suffix normalize_nse_index normalize_bse_index fut_roman_symbols fut_quarantine consolidate_nse consolidate_nse_without_sme zip_ingest_roundtrip lake_write_roundtrip stream_consolidate consolidate_bse append_order append_idempotent align_by_name align_by_position date_parse_quality index_date_quality rows_per_day_segment segments_per_day money_text file_validity csv_ingest_roundtrip symbols_in_order days_read_back segment_files_read stream_archives append_with_markers stream_days",
     "s e d": "trading_days_expand",
     "month": "month_trading_days",
     "day last_trading_day next_trading_day": "last_next_trading_day",

@@ -12,7 +12,7 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -71,6 +71,45 @@ def parse_files(files: DataFrame, spec: specs.SegmentSpec) -> DataFrame:
     return parse_segments(files, [spec]).drop("segment_name")
 
 
+def segment_schema(chosen: list[specs.SegmentSpec]) -> T.StructType:
+    """The segments' columns together, then segment_name, file_name, line_no, _bad_file."""
+    fields: dict[str, T.StructField] = {}
+    for spec in chosen:
+        for f in T.StructType.fromDDL(spec.schema):
+            if fields.setdefault(f.name, f) != f:
+                raise ValueError(f"segments differ in the type of {f.name}")
+    return T.StructType([*fields.values(), T.StructField("segment_name", T.StringType()), T.StructField("file_name", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField(BAD, T.StringType())])
+
+
+def name_patterns(chosen: list[specs.SegmentSpec]) -> list[tuple[re.Pattern, specs.SegmentSpec, set[str]]]:
+    return [(re.compile(s.raw_name), s, {f.name for f in T.StructType.fromDDL(s.schema)}) for s in chosen]
+
+
+def parsed_columns(name: str, content: bytes | None, patterns: list[tuple[re.Pattern, specs.SegmentSpec, set[str]]], out: T.StructType) -> dict[str, object] | None:
+    """One file's rows as columns of `out`, one row with a reason if it can't be read, None if it has no rows."""
+    spec, own = next((s, own) for p, s, own in patterns if p.search(name))
+    reason, header, rows = None, [], []
+    try:
+        if not content:
+            reason = "empty file"
+        elif spec.zipped and (content := _first_csv(bytes(content))) is None:
+            reason = "no csv member"
+        else:
+            header, rows = _csv_rows(bytes(content))
+    # a damaged stream, an encrypted member, an unknown method: RuntimeError has the last two
+    except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, UnicodeDecodeError, csv.Error) as e:
+        reason = f"unreadable: {type(e).__name__}"
+    n = 1 if reason else len(rows)
+    if not n:
+        return None
+    data: dict[str, object] = {}
+    for f in out.fields[:-4]:
+        at = header.index(f.name) if f.name in header and f.name in own else None
+        values = [None] * n if reason or at is None else [r[at].strip() if at < len(r) else None for r in rows]
+        data[f.name] = pd.Series(_cast(values, f.dataType), dtype="object")
+    return data | {"segment_name": [spec.name] * n, "file_name": [name] * n, "line_no": range(1, n + 1), BAD: [reason] * n}
+
+
 def parse_segments(files: DataFrame, chosen: list[specs.SegmentSpec]) -> DataFrame:
     """(file_name, content) of any of the segments -> all their columns, segment_name, file_date, line_no, file_name, _bad_file, in one pass
     over the files; a file belongs to the first segment whose names match, others are left out.
@@ -78,40 +117,13 @@ def parse_segments(files: DataFrame, chosen: list[specs.SegmentSpec]) -> DataFra
     Files are taken whole, as archives cannot be split and line numbers are needed, many to a task.  A
     file that can't be read gives one row with the reason in `_bad_file` and does not hold up the others;
     `good` and `bad` part them.  Columns that are absent in a file are null."""
-    fields: dict[str, T.StructField] = {}
-    for spec in chosen:
-        for f in T.StructType.fromDDL(spec.schema):
-            if fields.setdefault(f.name, f) != f:
-                raise ValueError(f"segments differ in the type of {f.name}")
-    added = [T.StructField("segment_name", T.StringType()), T.StructField("file_name", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField(BAD, T.StringType())]
-    out = T.StructType([*fields.values(), *added])
-    patterns = [(re.compile(s.raw_name), s, {f.name for f in T.StructType.fromDDL(s.schema)}) for s in chosen]
+    out, patterns = segment_schema(chosen), name_patterns(chosen)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["file_name"], batch["content"], strict=True):
-                spec, own = next((s, own) for p, s, own in patterns if p.search(name))
-                reason, header, rows = None, [], []
-                try:
-                    if not content:
-                        reason = "empty file"
-                    elif spec.zipped and (content := _first_csv(bytes(content))) is None:
-                        reason = "no csv member"
-                    else:
-                        header, rows = _csv_rows(bytes(content))
-                # a damaged stream, an encrypted member, an unknown method: RuntimeError has the last two
-                except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, UnicodeDecodeError, csv.Error) as e:
-                    reason = f"unreadable: {type(e).__name__}"
-                n = 1 if reason else len(rows)
-                if not n:
-                    continue
-                data = {}
-                for f in fields.values():
-                    at = header.index(f.name) if f.name in header and f.name in own else None
-                    values = [None] * n if reason or at is None else [r[at].strip() if at < len(r) else None for r in rows]
-                    data[f.name] = pd.Series(_cast(values, f.dataType), dtype="object")
-                data |= {"segment_name": [spec.name] * n, "file_name": [name] * n, "line_no": range(1, n + 1), BAD: [reason] * n}
-                yield pd.DataFrame(data, columns=out.fieldNames())
+                if (data := parsed_columns(name, content, patterns, out)) is not None:
+                    yield pd.DataFrame(data, columns=out.fieldNames())
 
     known = reduce(lambda a, b: a | b, [F.col("file_name").rlike(s.raw_name) for s in chosen])
     rows = files.where(known).mapInPandas(run, out)
@@ -133,6 +145,37 @@ def bad(df: DataFrame) -> DataFrame:
     return df.where(F.col(BAD).isNotNull()).select("file_name", "file_date", F.col(BAD).alias("reason"))
 
 
+def read_plain(spark: SparkSession, path: str, spec: specs.SegmentSpec) -> DataFrame:
+    """S2 for large plain files: the spec's columns, file_date and line_no, as `parse_files` gives them, but on the JVM and with files cut to splits.
+
+    A line's number is its place in its split and the lines of the splits before: a first pass counts the lines of each split and finds each file's
+    header (one small row per split), a second one reads them.  Columns are found by each file's own header.  A field must not hold a line end; files
+    in archives, and those without a byte, are for `read_raw`."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias("_block"))
+    # numbers of one split follow each other in the order of its lines, in both passes
+    lines = lines.where((F.trim("value") != "") & F.col("_name").rlike(spec.raw_name)).withColumn("_at", F.monotonically_increasing_id())
+    splits = lines.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), F.min_by("value", "_at").alias("_head"))
+    order = Window.partitionBy("_path").orderBy("_block")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_path", "_block", (before - F.col("_first")).alias("_shift"), F.regexp_replace(F.first("_head").over(order), "^\ufeff", "").alias("_header"))
+    width = splits.agg(F.max(F.length("_header") - F.length(F.replace("_header", F.lit(","))) + 1)).first()[0] or 1
+    fields = lambda c: F.array(*[F.trim(F.from_csv(c, ", ".join(f"c{i} string" for i in range(width)), {"escape": '"'})[f"c{i}"]) for i in range(width)])
+    splits = splits.withColumn("_columns", fields("_header")).drop("_header")
+    met = lines.withColumnsRenamed({"_path": "_p", "_block": "_b"}).join(splits, (F.col("_p") == F.col("_path")) & (F.col("_b") == F.col("_block")))
+    met = met.withColumn("line_no", F.col("_at") + F.col("_shift")).where("line_no > 0").withColumn("_fields", fields("value"))
+    out = []
+    for f in T.StructType.fromDDL(spec.schema):
+        at = F.array_position("_columns", F.lit(f.name)).cast("int")
+        text = F.when(at > 0, F.nullif(F.try_element_at("_fields", at), F.lit("")))
+        number = F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
+        if isinstance(f.dataType, T.LongType):
+            text = F.coalesce(text.try_cast("bigint"), F.when(number == F.floor(number), number.try_cast("bigint")))
+        elif not isinstance(f.dataType, T.StringType):
+            text = number
+        out.append(text.alias(f.name))
+    return met.select(*out, raw_name_date(F.col("_name"), spec.raw_name, spec.date_format).alias("file_date"), "line_no")
+
+
 def read_holidays(spark: SparkSession, path: str, iso: bool = False) -> DataFrame:
     """S3."""
     from eodlake.operators.calendar import parse_holidays

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eodlake import specs
 from eodlake.functions.text import money, output_name
+from eodlake.operators.append import ordered_by_month
 from eodlake.operators.normalize import name
 from eodlake.sources.named import write_named
 
@@ -33,6 +34,14 @@ def write_lake(df: DataFrame, path: str) -> None:
     keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAKE_PARTITIONS).parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str) -> None:
+    """K2, K4, O3: consolidated rows, months given whole, get their order and replace their months in the lake, with one shuffle of the rows.
+
+    A month of one exchange and segment is one task's; for months too large for that, `write_lake(ordered(df), path)` deals twice."""
+    rows = ordered_by_month(df).sortWithinPartitions(*LAKE_PARTITIONS, "file_date", "row_order")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAKE_PARTITIONS).parquet(path)
+
+
 def csv_line(columns: list[str]) -> Column:
     """Columns as one line of CSV: quoted where they must be, blanks kept, null as nothing."""
     plain = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "", "escape": '"', "quote": '"'}

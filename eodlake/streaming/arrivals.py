@@ -39,7 +39,7 @@ def consolidate_months(spark: SparkSession, exchange: str, landed: str, lake: st
     rows = rows.join(last, ["file_date", "source_segment", "batch_id"], "left_semi").drop("batch_id")
     part = lambda s: rows.where(F.col("source_segment") == s).drop("source_segment")
     out = append.consolidate(exchange, part("EQ"), {s: part(s) for s in ("SME", "INDEX")}, enabled)
-    sinks.write_lake(append.ordered(out), lake)
+    sinks.write_ordered(out, lake)
 
 
 def _take_in(rows: DataFrame, batch_id: int, exchange: str, landed: str, lake: str, enabled: set[str] | None) -> None:

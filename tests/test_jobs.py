@@ -268,3 +268,88 @@ def test_dates_outside_the_calendar_are_errors(spark):
     own = calendar.calendar_for(outside, ["s", "e"], none)
     assert calendar.trading_days(outside, own, "s", "e").count() == 15 and calendar.month_trading_days(own, 2025, 7).count() == 23
     assert calendar.calendar_for(outside.where("s is null"), ["s", "e"], none).count() == 0
+
+
+# Only the files that are asked for
+
+
+def test_one_month_opens_one_months_files(spark, tmp_path):
+    from eodlake.sources import segments
+
+    for month in range(1, 13):
+        for day in range(1, 29):
+            (tmp_path / f"m{month}").mkdir(exist_ok=True)
+            (tmp_path / f"m{month}" / f"sme{day:02d}{month:02d}25.csv").write_text("SYMBOL,NET_TRDQTY\nA,1\nB,2\n" if (month, day) != (3, 13) else "")
+    (tmp_path / "ind_close_all_01032025.csv").write_text("Index Name,Volume\nN,7\n")
+    (tmp_path / "sme993125.csv").write_text("SYMBOL\nZ\n")  # no day of that name
+    (tmp_path / "other.txt").write_text("x")
+    year = segments.read_segments(spark, str(tmp_path), ["NSE_SME", "NSE_INDEX", "XSE_EQ"], partition_bytes=1)
+    opened = lambda df: df.rdd.getNumPartitions()  # noqa: E731  a file each
+    assert opened(year) == 12 * 28 + 2
+    march = year.where((F.col("file_date") >= date(2025, 3, 1)) & (F.col("file_date") < date(2025, 4, 1)))
+    assert opened(march) == 29 and opened(march.where("segment_name = 'NSE_SME'")) == 28
+    assert opened(year.where(F.col("file_date").isin(D1, D2))) == 2
+    assert opened(year.where(F.col("file_date") == D3).where("SYMBOL = 'A'")) == 1
+    rows = march.where("segment_name = 'NSE_SME'")
+    assert readers.good(rows).count() == 54 and [tuple(r)[1:] for r in readers.bad(rows).collect()] == [(date(2025, 3, 13), "empty file")]
+    assert sorted(tuple(r) for r in readers.good(march).where("line_no = 1 AND file_date = '2025-03-01'").select("segment_name", "SYMBOL", "`Index Name`", "Volume").collect()) == [("NSE_INDEX", None, "N", 7), ("NSE_SME", "A", None, None)]
+    assert year.where("file_date is null").count() == 1 and opened(year.where("file_date > '2026-01-01'")) == 1  # one task without files
+
+
+# S2
+
+
+def test_plain_files_of_several_splits_keep_their_order(spark, tmp_path):
+    head = {"sme140725.csv": "﻿SYMBOL,OPEN_PRICE,X,NET_TRDQTY", "sme150725.csv": "NET_TRDQTY,SYMBOL"}
+    body = {"sme140725.csv": [f'"S,{i}", {i}.5 ,x,{i}' for i in range(900)], "sme150725.csv": ["9007199254740993,A", "12.0,", "", "1.5, B ", "x,\"q\"\"\"", "3"]}
+    for name, lines in body.items():
+        (tmp_path / name).write_text("\n".join([head[name], *lines]) + "\n", encoding="utf-8")
+    (tmp_path / "notes.csv").write_text("x\n1\n")
+    spec = specs.SEGMENTS["NSE_SME"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = readers.read_plain(spark, str(tmp_path), spec)
+        assert "InPandas" not in df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, df.select("file_date", "line_no", "SYMBOL", "OPEN_PRICE", "NET_TRDQTY").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(D1, i + 1, f"S,{i}", i + 0.5, i) for i in range(900)]
+    want += [(D2, 1, "A", None, 9007199254740993), (D2, 2, None, None, 12), (D2, 3, "B", None, None), (D2, 4, 'q"', None, None), (D2, 5, None, None, 3)]
+    assert got == want
+    raw = readers.good(readers.read_raw(spark, str(tmp_path), spec)).select("file_date", "line_no", "SYMBOL", "OPEN_PRICE", "NET_TRDQTY")
+    assert sorted(map(tuple, raw.collect()), key=str) == sorted(want, key=str)
+
+
+# A10
+
+
+def test_sketches_merge_and_stored_days_stay(spark, tmp_path):
+    from eodlake.operators import profile
+
+    rows = spark.range(20_000).selectExpr("date_add(date'2025-01-01', cast(id % 30 as int)) AS file_date", "id AS k", "cast(id % 7 as int) AS small", "if(id % 10 = 0, null, concat('s', id % 500)) AS s", "id / 3.0 AS x")
+    path, columns = str(tmp_path / "p"), ["k", "small", "s", "x"]
+    profile.add_days(rows.where("file_date < '2025-01-11'"), path, columns)
+    poisoned = rows.where("file_date < '2025-01-11'").withColumn("k", F.raise_error(F.lit("read again")).cast("bigint"))
+    stored = profile.add_days(poisoned.union(rows.where("file_date >= '2025-01-11'")), path, columns)
+    assert stored.count() == 30 * 4 and profile.add_days(rows, path, columns).count() == 120
+    got, want = ({r["column_name"]: r.asDict() for r in df.collect()} for df in (profile.merged_profile(stored), profile.profile(rows, columns)))
+    for c in columns:
+        n, m = got[c].pop("n_distinct"), want[c].pop("n_distinct")
+        assert abs(n - m) <= 0.05 * m and {**got[c], "type": ""} == {**want[c], "type": ""}
+
+
+# O3, K4
+
+
+def test_lake_takes_one_shuffle(spark, tmp_path):
+    from eodlake.operators import append
+
+    kind = "symbol string, file_date date, line_no bigint, source_segment string, source_rank int, exchange string, segment string"
+    rows = [("B", D1, 1, "EQ", 0, "NSE", "EQ"), (None, D1, 2, "EQ", 0, "NSE", "EQ"), ("A", D1, 3, "EQ", 0, "NSE", "EQ"), ("Z", D1, 2, "SME", 1, "NSE", "EQ"), ("A", D3, 1, "EQ", 0, "NSE", "EQ"), ("C", D2, 1, "EQ", 0, "NSE", "EQ")]
+    df = spark.createDataFrame(rows, kind)
+    assert append.ordered_by_month(df)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(append.ordered_by_month(df).drop("file_month").collect(), key=str) == sorted(append.ordered(df).collect(), key=str)
+    for _ in range(2):
+        sinks.write_ordered(df, str(tmp_path / "lake"))
+    assert sorted((r["symbol"] or "", r["row_order"]) for r in spark.read.parquet(str(tmp_path / "lake")).collect()) == [("", 3), ("A", 1), ("A", 1), ("B", 2), ("C", 1), ("Z", 4)]
