@@ -8,11 +8,11 @@ id, or the same document further left).  Only the start matters of each such str
    belong to runs of the same hash.  What is shuffled by hash is packed: five bytes of hash, a place and a
    length per run.  Runs whose hash is met once end there.
 2. The others, with their bytes, come together by hash.  Hashes only group: the bytes decide.
-   Runs are ordered by a multikey sort of their lengths and first `SHALLOW` bytes; those still tied go to a blind trie, which
-   branches on the bytes that tell its members apart, and compares a newcomer with one leaf only.
-   A run that is equal to an earlier one is covered as a whole.
+   Runs of one length are ordered by a multikey quicksort to the shallow depth of `SHALLOW` bytes; those still tied go to a blind trie, which
+   branches on the bytes that tell its members apart, compares a newcomer with one leaf only, and is read in order.
+   A run that is equal to the one before it in that order is covered as a whole.
 3. The windows of the runs that are left in a group (such as at the edges of a shared passage) are ordered in the
-   same way, shallow sort first and blind tries below it.
+   same way, quicksort first and blind tries below it.
 4. Covered windows come back per document, and the texts, compressed for the shuffle, meet them once.
 
 Of equal runs in one batch of documents (compared byte by byte) only the first travels.  A hash with more than `SPLIT` runs is dealt to
@@ -280,19 +280,21 @@ def run_bytes(docs: DataFrame, asked: DataFrame, length: int, parts: int) -> Dat
     return map_batches(_zipped(docs).join(lists, ["d", "tk"]).select("d", "tk", "z", "asked"), run, "part int, piece binary")
 
 
-def _equal_in_trie(buf: bytes, places: list[int], length: int, skip: int) -> Iterator[int]:
-    """Numbers of the places whose `length` bytes stand at an earlier one; all agree on the first `skip`.
+def _trie_order(buf: bytes, places: list[int], length: int, skip: int) -> list[list[int]]:
+    """Numbers of the places in the order of their `length` bytes, equal ones together and ascending; all agree on the first `skip`.
 
-    A blind trie: a leaf is a place, an inner node [depth, {byte: child}, a leaf below]."""
-    root = places[0]
+    A blind trie: a leaf is a place, an inner node [depth, {byte: child}, a leaf below].  A newcomer goes down by the bytes that the nodes
+    branch on, is compared with the one leaf that it comes to, and is put in where it first differs.  The leaves, read by their bytes, are the order."""
+    root, equal = places[0], {places[0]: [0]}
     for number, p in enumerate(places[1:], 1):
         node = root
         while type(node) is list:
             child = node[1].get(buf[p + node[0]])
             node = node[2] if child is None else child
         if buf[p : p + length] == buf[node : node + length]:
-            yield number
+            equal[node].append(number)
             continue
+        equal[p] = [number]
         lo, hi = skip, length - 1  # the first byte that differs is in [lo, hi]
         while lo < hi:
             mid = (lo + hi) // 2
@@ -312,51 +314,93 @@ def _equal_in_trie(buf: bytes, places: list[int], length: int, skip: int) -> Ite
             root = new
         else:
             above[1][buf[p + above[0]]] = new
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if type(node) is list:
+            stack.extend(node[1][c] for c in sorted(node[1], reverse=True))
+        else:
+            out.append(equal[node])
+    return out
+
+
+def shallow_sort(keys: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multikey quicksort of strings by their groups and first bytes: (order, starts and ends in it of what is still tied).
+
+    A character is eight bytes, as a number; `keys` has one array per depth.  Each open stretch of the order takes a pivot, the median of three of its
+    characters, and is parted in place to what is less, equal and greater: the equal part goes on a character deeper, until the depth is
+    reached and it is tied.  All stretches of all groups are parted at once, and parting keeps the order of the texts."""
+    order = np.argsort(group, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0))) if len(order) else np.zeros(0, np.int64)
+    lo, hi = edges, np.append(edges[1:], len(order))
+    depth, tied = np.zeros(len(lo), np.int64), []
+    while True:
+        deep = (depth == len(keys)) & (hi - lo > 1)
+        tied.append((lo[deep], hi[deep]))
+        some = (hi - lo > 1) & (depth < len(keys))
+        lo, hi, depth = lo[some], hi[some], depth[some]
+        if not len(lo):
+            break
+        size = hi - lo
+        first = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(lo)), size)
+        inside = np.arange(len(of)) - first[of]
+        members = order[lo[of] + inside]
+        c = keys[0][members]
+        for d in range(1, len(keys)):
+            deeper = depth[of] == d
+            c[deeper] = keys[d][members[deeper]]
+        pivot = np.sort([c[first], c[first + size // 2], c[first + size - 1]], axis=0)[1]
+        less, same = c < pivot[of], c == pivot[of]
+        n_less, n_same = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(same, first, dtype=np.int64)
+        less_before, same_before = np.cumsum(less) - less, np.cumsum(same) - same  # before each, from its stretch's start on:
+        less_before, same_before = less_before - less_before[first][of], same_before - same_before[first][of]
+        at = np.where(less, less_before, np.where(same, n_less[of] + same_before, n_less[of] + n_same[of] + inside - less_before - same_before))
+        order[lo[of] + at] = members
+        a, b = lo + n_less, lo + n_less + n_same
+        lo, hi, depth = np.concatenate((lo, a, b)), np.concatenate((a, b, hi)), np.concatenate((depth, depth + 1, depth))
+    starts, ends = (np.concatenate(t) for t in zip(*tied, strict=True))
+    by = np.argsort(starts)
+    return order, starts[by], ends[by]
+
+
+def deep_shallow(buf: bytes, places: np.ndarray, group: np.ndarray, sizes: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings at `places` within their groups, equal ones in the order given, and which are equal to an earlier one.
+
+    Strings of one group have one size, of at least `SHALLOW` bytes; `keys` are their first ones."""
+    order, starts, ends = shallow_sort(keys, group)
+    late = np.zeros(len(order), bool)
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        members = order[a:b]
+        found = _trie_order(buf, places[members].tolist(), int(sizes[members[0]]), SHALLOW)
+        for same in found:
+            if len(same) > 1:
+                late[members[same[1:]]] = True
+        order[a:b] = members[[i for same in found for i in same]]
+    return order, late
 
 
 def covered_in_group(buf: bytes, begin: np.ndarray, n: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Windows that an earlier run of their group has too: (run, window).
 
     Runs stand in the order of groups, and inside a group in that of their documents and starts."""
-    x = np.frombuffer(buf, np.uint8)
-    v = x.astype(np.uint64)
+    v = np.frombuffer(buf, np.uint8).astype(np.uint64)
     for step, bits in ((1, 8), (2, 16), (4, 32)):  # the eight bytes from each place as a number
         v = (v << np.uint64(bits)) | np.concatenate((v[step:], np.zeros(step, np.uint64)))
     run = np.repeat(np.arange(len(n)), n)
     window = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     at = begin[run] + window
-    g = group[run]
-    keys = [v[at + i] for i in range(SHALLOW - 8, -1, -8)]
-    by = np.lexsort((*keys, g))  # stable: ties stay in the order of the texts
-    tie = g[by][1:] == g[by][:-1]
-    for key in keys:
-        tie &= key[by][1:] == key[by][:-1]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], tie.astype(np.int8), [0]))))
-    places, out = at[by], []
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        out.extend(a + i for i in _equal_in_trie(buf, places[a : b + 1].tolist(), length, SHALLOW))
-    found = by[np.array(out, np.int64)]
+    _, late = deep_shallow(buf, at, group[run], np.full(len(at), length), [v[at + i] for i in range(0, SHALLOW, 8)])
+    found = np.flatnonzero(late)
     return run[found], window[found]
 
 
 def equal_runs(buf: bytes, begin: np.ndarray, n: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which runs are equal to an earlier one of their group; a multikey sort of the first bytes, then blind tries."""
+    """Which runs are equal to an earlier one of their group, of as many windows."""
     x = np.frombuffer(buf, np.uint8)
     first = np.ascontiguousarray(x[begin[:, None] + np.arange(SHALLOW)]).view(">u8").astype(np.uint64)
-    keys = [*first.T[::-1], n, group]
-    by = np.lexsort(keys)  # stable: ties stay in the order of the texts
-    tie = np.ones(max(len(by) - 1, 0), bool)
-    for key in keys:
-        tie &= key[by][1:] == key[by][:-1]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], tie.astype(np.int8), [0]))))
-    out = np.zeros(len(by), bool)
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        size = int(n[by[a]]) + length - 1
-        for i in _equal_in_trie(buf, begin[by[a : b + 1]].tolist(), size, SHALLOW):
-            out[by[a + i]] = True
-    return out
-
-
+    _, alike = np.unique(np.stack((group, n)), axis=1, return_inverse=True)
+    return deep_shallow(buf, begin, alike.ravel(), n + length - 1, list(first.T))[1]
 
 
 def _compared(pieces: DataFrame, length: int) -> DataFrame:
@@ -486,7 +530,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with repeated strings cut out of the text; what is left of a character that was cut
-    goes too.  A row of whose text nothing is left (though there was some) goes; `n_chars`, where
+    goes too.  A row of whose text nothing but blanks is left (though there was more) goes; `n_chars`, where
     there is such a column, is counted anew.
 
     One pass of Python over the rows; a UDF would be run twice, by the filter and by the columns."""

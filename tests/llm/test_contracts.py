@@ -409,9 +409,29 @@ def test_trie_finds_equal_places():
     for _ in range(60):
         buf = bytes(r.choice(b"ab") for _ in range(60)) * 2
         places = [p for p in range(80) if buf[p : p + 3] == buf[0:3]]
-        got = list(suffix_dedup._equal_in_trie(buf, places, 20, 3))
-        want = [i for i, p in enumerate(places) if buf[p : p + 20] in {buf[q : q + 20] for q in places[:i]}]
-        assert got == want
+        got = suffix_dedup._trie_order(buf, places, 20, 3)
+        assert [i for same in got for i in same] == sorted(range(len(places)), key=lambda i: buf[places[i] : places[i] + 20])
+        assert sorted(i for same in got for i in same[1:]) == [i for i, p in enumerate(places) if buf[p : p + 20] in {buf[q : q + 20] for q in places[:i]}]
+
+
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"abcdefgh \x00\xff"])
+def test_suffixes_come_in_order(letters):
+    """Quicksort to the shallow depth and tries below it give the order of a plain sort, in every group."""
+    r = random.Random(len(letters))
+    for size in (0, 1, 2, 300, 3000):
+        buf = bytes(r.choice(letters) for _ in range(size // 3)) * 3 + bytes(r.choice(letters) for _ in range(120))
+        places = np.arange(len(buf) - 100) if size else np.zeros(0, np.int64)
+        r.shuffle(places)
+        group = np.array([r.randrange(4) for _ in places], np.int64)
+        keys = [np.array([int.from_bytes(buf[p + d : p + d + 8], "big") for p in places.tolist()], np.uint64) for d in (0, 8)]
+        order, late = suffix_dedup.deep_shallow(buf, places, group, np.full(len(places), 100), keys)
+        text = [(int(g), buf[p : p + 100]) for p, g in zip(places.tolist(), group.tolist(), strict=True)]
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i])
+        met, want = set(), []
+        for x in text:
+            want.append(x in met)
+            met.add(x)
+        assert late.tolist() == want
 
 
 def test_long_text_is_split_to_segments(spark, monkeypatch):
