@@ -33,6 +33,7 @@ import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -63,12 +64,15 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, tokens: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, zeros, left = [], [], np.asarray(tokens)
+        planes, zeros, left = [], [], np.asarray(tokens).astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
-            ones = (left >> level & 1).astype(bool)
+            ones = (left & left.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            zeros.append(int(len(left) - ones.sum()))
-            left = np.concatenate((left[~ones], left[ones]))
+            back, left = left, np.empty_like(left)
+            n = len(left) - int(np.count_nonzero(ones))
+            zeros.append(n)
+            np.compress(~ones, back, out=left[:n])
+            np.compress(ones, back, out=left[n:])
         return cls(planes, zeros, len(tokens))
 
     def _directory(self, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +110,12 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the deals of all planes are undone, the last first."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            out[self.zeros[level] :] |= out.dtype.type(1 << self.bits - 1 - level)
             back = np.empty_like(out)
-            back[~ones] = out[: self.zeros[level]]
-            back[ones] = out[self.zeros[level] :] | np.uint32(1 << self.bits - 1 - level)
+            back[~ones], back[ones] = out[: self.zeros[level]], out[self.zeros[level] :]
             out = back
         return out
 
@@ -266,19 +270,26 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text with the end id after it."""
+        if not texts:
+            return []
         held = [chunks_of(t) for t in texts]
-        met = set().union(*held)
-        new = met - self.number.keys()
-        if len(self.number) + len(new) > KEEP or self.size > KEEP_BYTES:
-            self.forget()
-            new = met
-        if new:
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        pieces = list(chain.from_iterable(held))
+        del held
+        numbers = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        late = np.flatnonzero(numbers < 0).tolist()
+        if late:
+            new = set(map(pieces.__getitem__, late))
+            if len(self.number) + len(new) > KEEP or self.size > KEEP_BYTES:
+                self.forget()
+                new, late = set(pieces), range(len(pieces))
             self._learn(list(new))
-        at = np.fromiter((n for h in held for n in (*map(self.number.__getitem__, h), 0)), np.int64, sum(map(len, held)) + len(held))
+            numbers[late] = [self.number[pieces[i]] for i in late]
+        at = np.insert(numbers, np.cumsum(sizes), 0)  # the end after each text
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.split(ids, ends[np.flatnonzero(at == 0)][:-1]) if len(texts) else []
+        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        return np.split(ids, ends[np.cumsum(sizes + 1) - 1][:-1])
 
 
 def _worker_encoder(model: str) -> Encoder:
