@@ -120,6 +120,17 @@ def stream_archives(
     return named.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest(
+    spark: SparkSession, folder: str, exchange: str, landed: str, lake: str, quarantine: str, batch_id: int = 0, enabled: set[str] | None = None, sme_suffix: bool = True, denied: list[str] | DataFrame | None = None
+) -> None:
+    """All raw files of an exchange's segments below `folder`, from archive to lake in one batch; files without a byte are quarantined too.
+    A later batch needs a higher number, as of a day and segment the last one counts; the same number again replaces its batch."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
+    empty = readers.empty_files(spark, folder, recursive=True).select("file_name", F.lit(b"").alias("content"))
+    take_in_files(named.unionByName(empty), batch_id, exchange, landed, lake, quarantine, enabled, sme_suffix, denied)
+
+
 def quarantined(spark: SparkSession, quarantine: str, folder: str | None = None) -> DataFrame:
     """-> file_name, file_date, reason of files that could not be read; with `folder`, also of files without a byte, which a stream passes over."""
     stored = spark.read.schema(QUARANTINE).parquet(quarantine).drop("batch_id")

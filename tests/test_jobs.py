@@ -240,6 +240,20 @@ def test_raw_archives_as_a_stream(spark, tmp_path):
     assert run() == [*want, (15, "A", 1), (15, "B", 2)]
 
 
+def test_a_folder_goes_to_the_lake_in_one_batch(spark, tmp_path):
+    raw, base = tmp_path / "raw", str(tmp_path)
+    (raw / "x").mkdir(parents=True)
+    eq = "TradDt,TckrSymb,SctySrs,OpnPric,HghPric,LwPric,ClsPric,TtlTradgVol\n2025-07-14,B,A,1,1,1,1,5\n2025-07-14,DENIED,A,1,1,1,1,5\n2025-07-14,A,F,1,1,1,1,5\n"
+    (raw / "x" / "BhavCopy_BSE_CM_0_0_0_20250714_F_0000.CSV").write_text(eq)
+    (raw / "INDEXSummary_14072025.csv").write_text("IndexName,OpenPrice,HighPrice,LowPrice,ClosePrice\nBSE SENSEX,1,2,0.5,1.5\n")
+    (raw / "INDEXSummary_15072025.csv").write_text("")
+    for batch in (0, 0, 1):
+        arrivals.ingest(spark, str(raw), "BSE", f"{base}/landed", f"{base}/lake", f"{base}/bad", batch, denied=["DENIED"])
+        got = spark.read.parquet(f"{base}/lake").orderBy("row_order").collect()
+        assert [(r["symbol"], r["source_segment"], r["volume"], r["row_order"]) for r in got] == [("B", "EQ", 5.0, 1), ("BSE SENSEX", "INDEX", 0.0, 2)]
+    assert [(r["file_date"], r["reason"]) for r in arrivals.quarantined(spark, f"{base}/bad", str(raw)).collect()] == [(D2, "empty file")]
+
+
 def test_segments_of_one_pass_keep_their_columns(spark):
     files = [("sme140725.csv", b"SYMBOL,OPEN_PRICE\nS,1.5\n"), ("INDEXSummary_14072025.csv", b"IndexName,OpenPrice\nI,2\n"), ("other", b"x")]
     df = spark.createDataFrame(files, "file_name string, content binary")
