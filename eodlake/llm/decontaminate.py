@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eodlake.llm.common import cut, table, text_bytes, unused
+from eodlake.llm.common import cut, lean, table, text_bytes, unused
 from eodlake.llm.simhash import SEED
 
 SHINGLE, THRESHOLD, RADIUS, BITS, BLOCKS, MAX_WORDS, AT_ONCE = 5, 0.8, 95, 512, 32, 100_000, 4096
@@ -235,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-        found = source.mapInArrow(run, schema)
+        found = source.mapInArrow(lean(run), schema)
         out = found if out is None else out.union(found)
     return out or source.where("false").selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in schema.split(", "))])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eodlake.llm.common import cut, map_batches, table, text_bytes, unused
+from eodlake.llm.common import cut, lean, map_batches, table, text_bytes, unused
 
 BUCKETS, FIT_ROWS, PARTS, SMOOTH, TEMPERATURE, SEED, BINS, FEW = 1 << 14, 20_000, 4, 1.0, 0.1, 7, 1024, 4096
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x7f-\xff]+")
@@ -57,7 +57,7 @@ def counts(texts: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in texts.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(lean(run), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -182,7 +182,7 @@ def keep(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, temperature:
             key = means(*found) / temperature + batch.column(last).to_numpy()
             yield batch.filter(pa.array(key >= least)).select(range(last))
 
-    return noisy.mapInArrow(run, docs.schema)
+    return noisy.mapInArrow(lean(run), docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eodlake.llm.common import components, cut, gathered, map_batches, pack, parted, passing, table, text_bytes, unpack, unused
+from eodlake.llm.common import components, cut, gathered, lean, map_batches, pack, parted, passing, table, text_bytes, unpack, unused
 
 SEED, TILE, CHUNK, AT_ONCE, THRESHOLD = 42, 1024, 1 << 15, 1 << 17, 0.8
 #: The stage compares fingerprints within this many bits; counts of shingles are kept by `SKETCH` hashes of them.
@@ -344,7 +344,7 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
         cols = none, none, [pack(_narrow(seen[i : i + SLICE])) for i in cuts], none, [i // SLICE for i in cuts], none
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return _identified(docs).mapInArrow(run, "doc_id bigint, fp array<bigint>, digest binary, node bigint, n bigint, bits array<bigint>")
+    return _identified(docs).mapInArrow(lean(run), "doc_id bigint, fp array<bigint>, digest binary, node bigint, n bigint, bits array<bigint>")
 
 
 def _narrow(n: np.ndarray) -> np.ndarray:
@@ -369,7 +369,7 @@ def _counts(rows: DataFrame) -> np.ndarray:
                 total += n
             yield pa.record_batch([pa.array([at], pa.int64()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["n", "total"])
 
-    slices = rows.where("doc_id is null").select("n", "digest").repartition("n").sortWithinPartitions("n").mapInArrow(run, "n bigint, total binary")
+    slices = rows.where("doc_id is null").select("n", "digest").repartition("n").sortWithinPartitions("n").mapInArrow(lean(run), "n bigint, total binary")
     out = np.zeros(SKETCH, np.uint32)
     for r in slices.collect():  # SKETCH / SLICE rows
         out[r["n"] * SLICE : (r["n"] + 1) * SLICE] = np.frombuffer(r["total"], np.uint32)
@@ -430,8 +430,8 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, threshold: floa
 
     schema = "h bigint, node bigint, n bigint, at int"
     dealt = cut(map_batches(_identified(docs), pieces, "part bigint, piece binary"), "prefixes")
-    direct = dealt.where("part < 0").mapInArrow(met, schema)
-    return dealt.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(met, schema).union(direct).distinct()
+    direct = dealt.where("part < 0").mapInArrow(lean(met), schema)
+    return dealt.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(lean(met), schema).union(direct).distinct()
 
 
 def _in_index(threshold: float, n: Column, at: Column) -> Column:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eodlake.llm.common import cut, gathered, map_batches, pack, parted, table, text_bytes, unpack, unused
+from eodlake.llm.common import cut, gathered, lean, map_batches, pack, parted, table, text_bytes, unpack, unused
 
 LENGTH, K, SHALLOW, SPLIT, SEGMENT = 100, 24, 16, 4096, 1 << 18
 #: Runs whose hashes, and bytes of runs, that one task holds at once.
@@ -232,7 +232,7 @@ def repeated_runs(pieces: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c) for c in cols], names=["d", "tk", "start", "n", "g", "again", "salts"])
 
     dealt = pieces.where("part >= 0").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "d bigint, tk bigint, start int, n int, g bigint, again boolean, salts int")
+    return dealt.mapInArrow(lean(run), "d bigint, tk bigint, start int, n int, g bigint, again boolean, salts int")
 
 
 def _settled(pieces: DataFrame) -> DataFrame:
@@ -463,7 +463,7 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
         cols = [pa.array(d, pa.int64()), pa.array(tk, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(body or [None] * len(d), pa.binary())]
         return pa.record_batch(cols, names=["d", "tk", "start", "n", "body"])
 
-    return pieces.repartition("part").sortWithinPartitions("part").mapInArrow(run, "d bigint, tk bigint, start int, n int, body binary")
+    return pieces.repartition("part").sortWithinPartitions("part").mapInArrow(lean(run), "d bigint, tk bigint, start int, n int, body binary")
 
 
 def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -554,7 +554,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 cols[chars] = pa.array([len(t or "") for t in texts]).cast(cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols[:last], names=names).filter(pa.array(kept))
 
-    return met.mapInArrow(run, docs.schema)
+    return met.mapInArrow(lean(run), docs.schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
