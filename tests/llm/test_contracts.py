@@ -256,11 +256,11 @@ def test_rows_of_a_null_id_link(spark, monkeypatch):
     fps = spark.createDataFrame([(i, [flipped(x)]) for i, x in rows], "doc_id long, fp array<long>")
     monkeypatch.setattr(simhash, "fingerprints", lambda *_: fps)
     got = Counter((r["doc_id"], r["fp"][0], r["component_id"]) for r in simhash.near_duplicates(None).collect())
-    assert got == Counter(zip([i for i, _ in rows], [flipped(x) for _, x in rows], brute_components(rows), strict=True))
+    assert got == Counter(zip([i for i, _ in rows], [flipped(x) for _, x in rows], smallest_linked(rows), strict=True))
     assert {k[2] for k in got if k[0] == 3} == {1} and sum(n for k, n in got.items() if k[2] is None) == 2
 
 
-def brute_components(rows, radius=4):
+def smallest_linked(rows, radius=4):
     low = list(range(len(rows)))
 
     def top(i):
@@ -289,7 +289,7 @@ def test_null_ids_against_brute_force(spark, monkeypatch, seed):
     fps = spark.createDataFrame([(i, [int(np.uint64(x).astype(np.int64))]) for i, x in rows], "doc_id long, fp array<long>")
     monkeypatch.setattr(simhash, "fingerprints", lambda *_: fps)
     got = Counter((r["doc_id"], int(np.int64(r["fp"][0]).astype(np.uint64)), r["component_id"]) for r in simhash.near_duplicates(None).collect())
-    assert got == Counter((d, x, c) for (d, x), c in zip(rows, brute_components(rows), strict=True))
+    assert got == Counter((d, x, c) for (d, x), c in zip(rows, smallest_linked(rows), strict=True))
 
 
 def test_simhash_odd_rows(odd, empty):
