@@ -142,11 +142,16 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64), *others
 
 
+def lowered_supports(cut_blocks: DataFrame, support: int) -> DataFrame:
+    """-> lang, shard, support: the shard's share of `support`, rounded up (in whole numbers, as a rounding error could lose a phrase), 1 at least."""
+    totals = cut_blocks.groupBy("lang", "shard").agg(F.sum("n_words").alias("own"))
+    totals = totals.withColumn("all", F.greatest(F.sum("own").over(Window.partitionBy("lang")), F.lit(1)))
+    return totals.select("lang", "shard", F.greatest(F.expr(f"({support} * own + all - 1) div all"), F.lit(1)).cast("int").alias("support"))
+
+
 def candidates(spark: SparkSession, cut_blocks: DataFrame, support: int = SUPPORT) -> DataFrame:
     """-> block, blob: the hashes of each block that are frequent in a shard (one row per block and bucket)."""
-    totals = cut_blocks.groupBy("lang", "shard").agg(F.sum("n_words").alias("shard_words"))
-    everything = F.sum("shard_words").over(Window.partitionBy("lang"))
-    lowered = totals.withColumn("support", F.greatest(F.ceil(support * F.col("shard_words") / everything), F.lit(1)).cast("int")).drop("shard_words")
+    lowered = lowered_supports(cut_blocks, support)
     if lowered.limit(FEW + 1).count() <= FEW:
         lowered = F.broadcast(lowered)
     n = cut_blocks.agg(F.sum("n_words")).first()[0] or 0

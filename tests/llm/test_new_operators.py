@@ -49,7 +49,7 @@ def empty(spark):
 
 
 def brute_audit(rows, labels):
-    good, toxic = ({d for d, *q in labels if q[i] == 1} for i in (0, 1))
+    good, toxic = ({d for d, *q in labels if d is not None and q[i] == 1} for i in (0, 1))  # a null id has no labels
     low = {}
     for d, t, *_ in rows:
         if d is not None:
@@ -148,6 +148,16 @@ def test_collocations_of_nothing(spark, empty):
     assert collocation.collocations(documents(spark, [(1, None, None, None), (2, ". . ?", "en", "s")])).count() == 0
 
 
+def test_support_is_lowered_exactly(spark):
+    """A phrase that stands five times in each of two equal shards is found; so are all at other shares."""
+    for a, b in ((5, 5), (3, 7), (49, 1), (1, 6)):
+        parts = [(1, "en", 0, a * 30), (2, "en", 1, b * 30)]
+        got = {r["shard"]: r["support"] for r in collocation.lowered_supports(spark.createDataFrame(parts, "block long, lang string, shard int, n_words long"), 10).collect()}
+        assert got == {0: -(-10 * a // (a + b)), 1: -(-10 * b // (a + b))}
+    none = spark.createDataFrame([(1, "en", 0, 0)], "block long, lang string, shard int, n_words long")
+    assert collocation.lowered_supports(none, 10).first()["support"] == 1
+
+
 def test_one_shard_reaches_its_share(spark, rows):
     """What the first pass names holds all frequent phrases, and little else."""
     made = cut(collocation.blocks(documents(spark, rows), 300), "blocks")
