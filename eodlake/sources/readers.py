@@ -106,7 +106,7 @@ def parsed_columns(name: str, content: bytes | None, patterns: list[tuple[re.Pat
     for f in out.fields[:-4]:
         at = header.index(f.name) if f.name in header and f.name in own else None
         values = [None] * n if reason or at is None else [r[at].strip() if at < len(r) else None for r in rows]
-        data[f.name] = pd.Series(_cast(values, f.dataType), dtype="object")
+        data[f.name] = _cast(values, f.dataType)
     return data | {"segment_name": [spec.name] * n, "file_name": [name] * n, "line_no": range(1, n + 1), BAD: [reason] * n}
 
 
@@ -120,10 +120,18 @@ def parse_segments(files: DataFrame, chosen: list[specs.SegmentSpec]) -> DataFra
     out, patterns = segment_schema(chosen), name_patterns(chosen)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # small files are handed on together
+        held: dict[str, list] = {c: [] for c in out.fieldNames()}
         for batch in batches:
             for name, content in zip(batch["file_name"], batch["content"], strict=True):
                 if (data := parsed_columns(name, content, patterns, out)) is not None:
-                    yield pd.DataFrame(data, columns=out.fieldNames())
+                    for c, values in held.items():
+                        values.extend(data[c])
+                    if len(held[BAD]) >= 20_000:
+                        yield pd.DataFrame(held, dtype="object")
+                        held = {c: [] for c in out.fieldNames()}
+        if held[BAD]:
+            yield pd.DataFrame(held, dtype="object")
 
     known = reduce(lambda a, b: a | b, [F.col("file_name").rlike(s.raw_name) for s in chosen])
     rows = files.where(known).mapInPandas(run, out)

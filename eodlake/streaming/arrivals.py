@@ -24,7 +24,9 @@ SCHEMA = "symbol string, trade_date string, open double, high double, low double
 def land(batch: DataFrame, landed: str, batch_id: int) -> None:
     """A batch's months are folders; the same batch again replaces them."""
     numbered = batch.withColumn("file_month", sinks.month_of(F.col("file_date"))).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_month", "batch_id").parquet(landed)
+    # rows of a month come together, or each task would write a file for each of its months
+    dealt = numbered.hint("rebalance", F.col("file_month"))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_month", "batch_id").parquet(landed)
 
 
 def _landed(spark: SparkSession, landed: str) -> DataFrame:
