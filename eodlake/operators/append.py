@@ -54,17 +54,17 @@ def unified(df: DataFrame) -> DataFrame:
 def consolidate(exchange: str, eq: DataFrame, others: dict[str, DataFrame], enabled: set[str] | None = None) -> DataFrame:
     """Equity rows, then those of the other segments of days that have equity rows.
 
-    A narrow union; only the equity days, one row each, are shuffled to find the others' days.
+    A narrow union; only the equity days, one row each, are shuffled and broadcast to find the others' days.
     `source_rank` and `line_no` are the order inside a day (O3); `ordered` makes it a number."""
-    days = eq.select("file_date").distinct()
-    out = unified(eq).withColumn("source_segment", F.lit("EQ"))
+    days = F.broadcast(eq.select("file_date").distinct())
+    # constants are given to each part: above the union Spark would leave them out of sort orders, and then sort again for folders of their values
+    part = lambda df, s: unified(df).withColumns({"source_segment": F.lit(s), "exchange": F.lit(exchange), "segment": F.lit("EQ"), "source_rank": F.lit(RANKS.get(s)).cast("int")})
+    out = part(eq, "EQ")
     for segment, df in others.items():
         if enabled is not None and segment not in enabled:
             continue
-        rows = unified(df).join(days, "file_date", "left_semi").withColumn("source_segment", F.lit(segment))
-        out = out.unionByName(rows)
-    rank = reduce(lambda c, x: c.when(F.col("source_segment") == x[0], x[1]), RANKS.items(), F)
-    return out.withColumn("exchange", F.lit(exchange)).withColumn("segment", F.lit("EQ")).withColumn("source_rank", rank)
+        out = out.unionByName(part(df.join(days, "file_date", "left_semi"), segment))
+    return out
 
 
 def ordered(df: DataFrame) -> DataFrame:
@@ -77,10 +77,13 @@ def ordered(df: DataFrame) -> DataFrame:
 
 
 def ordered_by_month(df: DataFrame, month: str = "file_month") -> DataFrame:
-    """`ordered`, with rows dealt out by month: one shuffle serves the order in the days and folders of months, which are written from where the rows are."""
+    """`ordered`, with rows dealt out by month: one shuffle serves the order in the days and folders of months, which are written from where the rows are.
+
+    Only the month deals them: an exchange that is the same in all rows is a constant, which Spark leaves out of the order's keys but not out of
+    those of a shuffle, and would then shuffle once more."""
     from pyspark.sql import Window
 
-    keyed = df.withColumn(month, F.date_format("file_date", "yyyy-MM")).repartition("exchange", "segment", month)
+    keyed = df.withColumn(month, F.date_format("file_date", "yyyy-MM")).repartition(month)
     symbol = F.when(F.col("source_rank") == 0, F.col("symbol"))
     order = Window.partitionBy("exchange", "segment", month, "file_date").orderBy("source_rank", F.asc_nulls_last(symbol), "line_no")
     return keyed.withColumn("row_order", F.row_number().over(order).cast("bigint"))

@@ -35,11 +35,11 @@ def write_lake(df: DataFrame, path: str) -> None:
 
 
 def write_ordered(df: DataFrame, path: str) -> None:
-    """K2, K4, O3: consolidated rows, months given whole, get their order and replace their months in the lake, with one shuffle of the rows.
+    """K2, K4, O3: consolidated rows, months given whole, get their order and replace their months in the lake, with one shuffle and one sort of
+    the rows: those that are numbered stand in the order of folders and days already.
 
-    A month of one exchange and segment is one task's; for months too large for that, `write_lake(ordered(df), path)` deals twice."""
-    rows = ordered_by_month(df).sortWithinPartitions(*LAKE_PARTITIONS, "file_date", "row_order")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAKE_PARTITIONS).parquet(path)
+    A month is one task's; for months too large for that, `write_lake(ordered(df), path)` deals twice."""
+    ordered_by_month(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAKE_PARTITIONS).parquet(path)
 
 
 def csv_line(columns: list[str]) -> Column:

@@ -367,3 +367,18 @@ def test_lake_takes_one_shuffle(spark, tmp_path):
     for _ in range(2):
         sinks.write_ordered(df, str(tmp_path / "lake"))
     assert sorted((r["symbol"] or "", r["row_order"]) for r in spark.read.parquet(str(tmp_path / "lake")).collect()) == [("", 3), ("A", 1), ("A", 1), ("B", 2), ("C", 1), ("Z", 4)]
+
+
+def test_constant_exchange_takes_one_shuffle_and_one_sort(spark, tmp_path):
+    from eodlake.operators import append
+
+    rows = spark.createDataFrame([(s, D1, n, 1.0) for n, s in enumerate("BCA")], "symbol string, file_date date, line_no bigint, open double")
+    every = rows.selectExpr("symbol", "'20250714' AS trade_date", "open", "open AS high", "open AS low", "open AS close", "1D AS volume", "file_date", "line_no")
+    plan = append.ordered_by_month(append.consolidate("NSE", every, {"SME": every}))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and plan.count("Exchange hashpartitioning(") == 2  # the rows once, and the equity days
+    # the sort of the order in the days is that of the lake's folders
+    assert plan.count("Sort [") == 1 and plan.split("Sort [")[1].startswith("exchange") and ["segment", "file_month", "file_date"] == [c.strip().split("#")[0] for c in plan.split("Sort [")[1].split(",")[1:4]]
+    assert "SortMergeJoin" not in plan
+    sinks.write_ordered(append.consolidate("NSE", every, {"SME": every}), str(tmp_path / "lake"))
+    lake = spark.read.parquet(str(tmp_path / "lake"))
+    assert [(r["symbol"], r["row_order"]) for r in lake.collect()] == [("A", 1), ("B", 2), ("C", 3), ("B", 4), ("C", 5), ("A", 6)]
