@@ -251,48 +251,78 @@ def transform_chunks(
         raise ValueError(f"columns of these names can't be carried: {clash}")
     places = T.StructType.fromDDL("_file string, _block bigint, _chunk bigint, _first bigint, _rows bigint, _reason string")
     staged = T.StructType([*fields, *places])
-    names, arrow = [f.name for f in fields], to_arrow_schema(fields)
+    names, arrow, arrow_places = [f.name for f in fields], to_arrow_schema(fields), to_arrow_schema(places)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = T.StructType.fromDDL(schema).fieldNames()
+    times, zone = [f.name for f in fields if isinstance(f.dataType, T.TimestampType)], spark.conf.get("spark.sql.session.timeZone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
         place, number, rows = None, 0, 0
+        # small chunks are handed on together: results, and one row of marks per chunk
+        results: list[pa.RecordBatch] = []
+        marks: dict[str, list] = {f.name: [] for f in places}
 
-        def ended() -> pd.DataFrame:
+        def ended() -> None:
             nonlocal held, number, rows
-            chunk = pd.concat(held, ignore_index=True).drop(columns=["_file", "_block"])
-            reason, result = None, None
+            chunk = held[0].reset_index(drop=True) if len(held) == 1 else pd.concat(held, ignore_index=True)
+            n, reason = len(chunk), None
             try:
                 result = transform(chunk)[names]
-                pa.RecordBatch.from_pandas(result, arrow, preserve_index=False)
+                for c in times:  # a time without a zone is the session's
+                    at = pd.to_datetime(result[c])
+                    result = result.assign(**{c: at.dt.tz_localize(zone, ambiguous=False) if at.dt.tz is None else at})
+                results.append(pa.RecordBatch.from_pandas(result, arrow, preserve_index=False))
             except Exception as e:  # whatever the caller's function raises is that chunk's
-                reason, result = f"{type(e).__name__}: {e}"[:500], pd.DataFrame({n: pd.Series(dtype="object") for n in names})
-            head = pd.DataFrame({n: [None] for n in names}, dtype="object").assign(_file=place[0], _block=place[1], _chunk=number, _first=number * chunk_rows, _rows=len(chunk), _reason=reason)
+                reason = f"{type(e).__name__}: {e}"[:500]
+            for values, v in zip(marks.values(), (*place, number, number * chunk_rows, n, reason), strict=True):
+                values.append(v)
             held, number, rows = [], number + 1, 0
-            # one row of marks, then the results without any
-            return pd.concat([head, result.astype("object").assign(_file=None, _block=None, _chunk=None, _first=None, _rows=None, _reason=None)], ignore_index=True)[staged.fieldNames()]
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            done = pa.Table.from_batches(results, arrow)
+            n, m = done.num_rows, len(marks["_chunk"])
+            for field in arrow_places:
+                done = done.append_column(field, pa.nulls(n, field.type))
+            head = pa.table([*[pa.nulls(m, f.type) for f in arrow], *[pa.array(marks[f.name], f.type) for f in arrow_places]], schema=done.schema)
+            results.clear()
+            marks.update({c: [] for c in marks})
+            yield from pa.concat_tables([head, done]).combine_chunks().to_batches()
 
         for batch in batches:
-            for own, part in batch.groupby(["_file", "_block"], sort=False):
-                if own != place:
+            # a batch is cut where another block begins
+            found = batch.select(["_file", "_block"]).to_pandas()
+            starts = [0, *(i for i in (found != found.shift()).any(axis=1).to_numpy().nonzero()[0].tolist() if i), len(found)]
+            frame = batch.select(own).to_pandas(coerce_temporal_nanoseconds=True)
+            for c in frame.columns:
+                if isinstance(frame[c].dtype, pd.DatetimeTZDtype):
+                    frame[c] = frame[c].dt.tz_localize(None)
+            for start, end in zip(starts, starts[1:], strict=False):
+                if start == end:
+                    continue
+                if (here := (found["_file"].iat[start], int(found["_block"].iat[start]))) != place:
                     if held:
-                        yield ended()
-                    place, number = own, 0
-                at = 0
-                while at < len(part):
-                    take = part.iloc[at : at + chunk_rows - rows]
+                        ended()
+                    place, number = here, 0
+                while start < end:
+                    take = frame.iloc[start : min(end, start + chunk_rows - rows)]
                     held.append(take)
-                    at, rows = at + len(take), rows + len(take)
+                    start, rows = start + len(take), rows + len(take)
                     if rows == chunk_rows:
-                        yield ended()
+                        ended()
+                if sum(r.num_rows for r in results) + len(marks["_chunk"]) >= 20_000:
+                    yield from handed()
         if held:
-            yield ended()
+            ended()
+        if marks["_chunk"]:
+            yield from handed()
 
     read = Observation("read")
     raw = spark.read.schema(f"{schema}, _corrupt_record string").csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
     seen = raw.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     seen = seen.observe(read, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad"))
     table = shared_folder(spark, "chunks")
-    seen.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record").mapInPandas(run, staged).write.parquet(table)
+    seen.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record").mapInArrow(run, staged).write.parquet(table)
     done = spark.read.schema(staged).parquet(table)
     done.where("_chunk is null").select(*[F.col(f"`{n}`") for n in names]).write.mode("overwrite").csv(output, header=True)
     marks = done.where("_chunk is not null")
