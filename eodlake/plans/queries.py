@@ -575,12 +575,14 @@ def lake_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ORDERED)
 def stream_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments arrive as files in any order and are consolidated as they come."""
+    """Segments arrive as files in any order and are consolidated as they come: each segment is one delivery of many files, dealt by month, so that a month
+    isn't computed anew in every batch."""
     base = shared_folder(spark, "stream")
     eq, sme, idx = normalize.nse_eq(a.raw_cm(spark, sf_dir)), normalize.sme(a.raw_sme(spark, sf_dir), suffix=True), normalize.nse_index(a.raw_idx(spark, sf_dir))
     for name, df in (("INDEX", idx), ("EQ", eq), ("SME", sme)):
-        append.unified(df).withColumn("source_segment", F.lit(name)).write.mode("append").parquet(f"{base}/in")
-    arriving = spark.readStream.schema(arrivals.SCHEMA).option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
+        rows = append.unified(df).withColumns({"source_segment": F.lit(name), "delivery": F.lit(0).cast("bigint")})
+        rows.repartition(sinks.month_of(F.col("file_date"))).write.mode("append").parquet(f"{base}/in")
+    arriving = spark.readStream.schema(f"{arrivals.SCHEMA}, delivery bigint").option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
     arrivals.stream_consolidate(arriving, "NSE", f"{base}/landed", f"{base}/lake", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/lake").select(*_LAKE)
 

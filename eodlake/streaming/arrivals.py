@@ -2,6 +2,9 @@
 
 Arrivals are stored as normalised rows by batch, so a batch that comes twice changes nothing, a late
 file belongs to its own day, and no state has to be kept or cleaned up.
+
+Of a day and segment that came more than once, the last delivery counts.  What belongs to one delivery is told by a column `delivery`, a number that
+grows: its rows may come in several batches.  Rows without one are a delivery per batch, so a day and segment must then come whole in one.
 """
 
 from __future__ import annotations
@@ -24,21 +27,24 @@ SCHEMA = "symbol string, trade_date string, open double, high double, low double
 def land(batch: DataFrame, landed: str, batch_id: int) -> None:
     """A batch's months are folders; the same batch again replaces them."""
     numbered = batch.withColumn("file_month", sinks.month_of(F.col("file_date"))).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    if "delivery" not in batch.columns:
+        numbered = numbered.withColumn("delivery", F.col("batch_id"))
     # rows of a month come together, or each task would write a file for each of its months
     dealt = numbered.hint("rebalance", F.col("file_month"))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_month", "batch_id").parquet(landed)
 
 
 def _landed(spark: SparkSession, landed: str) -> DataFrame:
-    return spark.read.schema(f"{SCHEMA}, file_month string, batch_id bigint").parquet(landed)
+    return spark.read.schema(f"{SCHEMA}, delivery bigint, file_month string, batch_id bigint").parquet(landed)
 
 
 def consolidate_months(spark: SparkSession, exchange: str, landed: str, lake: str, months: list[str], enabled: set[str] | None = None) -> None:
     """Rewrite the lake's folders of these months from what has landed, of which only these months' folders are read; of a day and segment
-    that came more than once, the last batch counts."""
+    that came more than once, the last delivery counts, whatever batches its rows came in."""
     rows = _landed(spark, landed).where(F.col("file_month").isin(months)).drop("file_month")
-    last = rows.groupBy("file_date", "source_segment").agg(F.max("batch_id").alias("batch_id"))
-    rows = rows.join(last, ["file_date", "source_segment", "batch_id"], "left_semi").drop("batch_id")
+    rows = rows.withColumn("delivery", F.coalesce("delivery", "batch_id")).drop("batch_id")
+    last = F.broadcast(rows.groupBy("file_date", "source_segment").agg(F.max("delivery").alias("delivery")))
+    rows = rows.join(last, ["file_date", "source_segment", "delivery"], "left_semi").drop("delivery")
     part = lambda s: rows.where(F.col("source_segment") == s).drop("source_segment")
     out = append.consolidate(exchange, part("EQ"), {s: part(s) for s in ("SME", "INDEX")}, enabled)
     sinks.write_ordered(out, lake)
@@ -55,7 +61,8 @@ def _take_in(rows: DataFrame, batch_id: int, exchange: str, landed: str, lake: s
 
 
 def stream_consolidate(arrivals: DataFrame, exchange: str, landed: str, lake: str, checkpoint: str, normalize: Callable[[DataFrame], DataFrame] | None = None, enabled: set[str] | None = None) -> StreamingQuery:
-    """Run over all that is there and end.  `arrivals`: a stream of SCHEMA (or of what `normalize` turns into it)."""
+    """Run over all that is there and end.  `arrivals`: a stream of SCHEMA (or of what `normalize` turns into it), with a column
+    `delivery bigint` where a day and segment may be cut to several files.  A month is computed anew in each batch that has rows of it."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         _take_in(normalize(batch) if normalize else batch, batch_id, exchange, landed, lake, enabled)

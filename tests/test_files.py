@@ -139,3 +139,16 @@ def test_arrival_order_does_not_matter(spark, tmp_path, order):
         arrivals.stream_consolidate(stream, "NSE", f"{base}/landed", f"{base}/lake", f"{base}/state").awaitTermination()
     got = sorted((r["symbol"], r["row_order"]) for r in spark.read.parquet(f"{base}/lake").collect())
     assert got == [("B", 1), ("C", 1), ("I", 3), ("S", 2)]
+
+
+def test_a_delivery_may_come_in_several_batches(spark, tmp_path):
+    base = str(tmp_path)
+
+    def came(delivery, *rows):
+        rows_of(spark, rows).withColumn("delivery", F.lit(delivery).cast("bigint")).repartition(len(rows), "symbol").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(f"{arrivals.SCHEMA}, delivery bigint").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        arrivals.stream_consolidate(stream, "NSE", f"{base}/landed", f"{base}/lake", f"{base}/state").awaitTermination()
+        return [(r["symbol"], r["row_order"]) for r in spark.read.parquet(f"{base}/lake").orderBy("row_order").collect()]
+
+    assert came(0, *[(s, D1, n, "EQ") for n, s in enumerate("DBCA")]) == [("A", 1), ("B", 2), ("C", 3), ("D", 4)]
+    assert came(1, ("Y", D1, 1, "EQ"), ("X", D1, 2, "EQ")) == [("X", 1), ("Y", 2)]  # the day anew, shorter
