@@ -494,20 +494,20 @@ def _day_files(df: DataFrame, columns: list[str], spec: specs.SegmentSpec) -> Da
     import io
     import zipfile
 
-    import pandas as pd
+    import pyarrow as pa
 
-    def pack(day: pd.DataFrame) -> pd.DataFrame:
-        name, out = day["file_name"].iloc[0], io.BytesIO()
-        text = day.sort_values("line_no")[columns].to_csv(index=False)
+    def pack(day: pa.Table) -> pa.Table:
+        name, out = day["file_name"][0].as_py(), io.BytesIO()
+        lines = day.sort_by("line_no")["line"].to_pylist()
+        text = "\n".join([",".join(columns), *lines, ""])
         if not spec.zipped:
-            return pd.DataFrame({"file_name": [name], "content": [text.encode()]})
+            return pa.table({"file_name": [name], "content": [text.encode()]})
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("about.txt", "x")
             z.writestr(name.removesuffix(".zip"), text)
-        return pd.DataFrame({"file_name": [name], "content": [out.getvalue()]})
+        return pa.table({"file_name": [name], "content": [out.getvalue()]})
 
-    named = df.withColumn("file_name", F.replace(F.lit(spec.filename_pattern), F.lit("{date}"), F.date_format("file_date", spec.date_format)))
-    return named.groupBy("file_date").applyInPandas(pack, "file_name string, content binary")
+    return _plain_lines(df, columns, spec).groupBy("file_name").applyInArrow(pack, "file_name string, content binary")
 
 
 @query(

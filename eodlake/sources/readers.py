@@ -12,6 +12,8 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +87,67 @@ def name_patterns(chosen: list[specs.SegmentSpec]) -> list[tuple[re.Pattern, spe
     return [(re.compile(s.raw_name), s, {f.name for f in T.StructType.fromDDL(s.schema)}) for s in chosen]
 
 
+#: What Python strips from a text.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def _plain_table(content: bytes) -> pa.Table | None:
+    """The lines of a text without quotes, all as wide as its header, as columns of stripped texts (null: nothing); None if it isn't such a one, and is for
+    `_csv_rows`."""
+    if b'"' in content or content.count(b"\r") != content.count(b"\r\n") or b"\0" in content:
+        return None
+    head, _, body = content.partition(b"\n")
+    try:
+        header = [h.strip() for h in head.decode("utf-8-sig").rstrip("\r").split(",")]
+        if not head.strip() or not body.strip(b"\r\n"):
+            return None
+        at = [str(i) for i in range(len(header))]
+        read = pacsv.ReadOptions(column_names=at, use_threads=False, block_size=max(len(body), 1))
+        found = pacsv.read_csv(pa.BufferReader(body), read, pacsv.ParseOptions(quote_char=False), pacsv.ConvertOptions(column_types={c: pa.string() for c in at}, strings_can_be_null=False))
+    except (pa.ArrowInvalid, UnicodeDecodeError):
+        return None
+    if body.startswith(b"\xef\xbb\xbf") or len(body) > (1 << 30) or any((pc.max(pc.binary_length(c)).as_py() or 0) > csv.field_size_limit() for c in found.columns):
+        return None
+    columns: dict[str, pa.Array] = {}
+    for name, c in zip(header, found.columns, strict=True):
+        if name not in columns:
+            text = pc.utf8_trim(c.combine_chunks(), characters=BLANKS)
+            columns[name] = pc.if_else(pc.equal(text, ""), None, text)
+    return pa.table(columns)
+
+
+def _cast_column(text: pa.Array, kind: T.DataType) -> pa.Array:
+    """`_cast` of a whole column; texts that Arrow can't take are for Python."""
+    if isinstance(kind, T.StringType):
+        return text
+    arrow = pa.int64() if isinstance(kind, T.LongType) else pa.float64()
+    try:
+        if isinstance(kind, T.LongType) and pc.any(pc.match_substring(text, "x", ignore_case=True)).as_py():
+            raise pa.ArrowInvalid("hexadecimal digits")
+        number = text.cast(arrow)
+        return number if isinstance(kind, T.LongType) else pc.if_else(pc.is_nan(number), None, number)
+    except pa.ArrowInvalid:
+        return pa.array(_cast(text.to_pylist(), kind), arrow)
+
+
+def parsed_batch(name: str, content: bytes | None, patterns: list[tuple[re.Pattern, specs.SegmentSpec, set[str]]], out: T.StructType, arrow: pa.Schema) -> pa.RecordBatch | None:
+    """`parsed_columns` as a batch; plain texts column by column."""
+    spec, own = next((s, own) for p, s, own in patterns if p.search(name))
+    table = None
+    try:
+        content = bytes(content or b"")
+        text = _first_csv(content) if spec.zipped and content else content
+        table = _plain_table(text) if text else None
+    except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError):
+        pass  # `parsed_columns` gives the reason
+    if table is None:
+        data = parsed_columns(name, content, patterns, out)
+        return data and pa.record_batch([pa.array(list(data[f.name]), f.type) for f in arrow], schema=arrow)
+    n = table.num_rows
+    columns = [_cast_column(table[f.name].combine_chunks(), f.dataType) if f.name in own and f.name in table.column_names else pa.nulls(n, at.type) for f, at in zip(out.fields[:-4], arrow, strict=False)]
+    return pa.record_batch([*columns, pa.repeat(spec.name, n), pa.repeat(name, n), pa.array(range(1, n + 1), pa.int64()), pa.nulls(n, pa.string())], schema=arrow)
+
+
 def parsed_columns(name: str, content: bytes | None, patterns: list[tuple[re.Pattern, specs.SegmentSpec, set[str]]], out: T.StructType) -> dict[str, object] | None:
     """One file's rows as columns of `out`, one row with a reason if it can't be read, None if it has no rows."""
     spec, own = next((s, own) for p, s, own in patterns if p.search(name))
@@ -119,22 +182,23 @@ def parse_segments(files: DataFrame, chosen: list[specs.SegmentSpec]) -> DataFra
     `good` and `bad` part them.  Columns that are absent in a file are null."""
     out, patterns = segment_schema(chosen), name_patterns(chosen)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # small files are handed on together
-        held: dict[str, list] = {c: [] for c in out.fieldNames()}
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for name, content in zip(batch["file_name"], batch["content"], strict=True):
-                if (data := parsed_columns(name, content, patterns, out)) is not None:
-                    for c, values in held.items():
-                        values.extend(data[c])
-                    if len(held[BAD]) >= 20_000:
-                        yield pd.DataFrame(held, dtype="object")
-                        held = {c: [] for c in out.fieldNames()}
-        if held[BAD]:
-            yield pd.DataFrame(held, dtype="object")
+            for name, content in zip(batch.column("file_name").to_pylist(), batch.column("content"), strict=True):
+                if (rows := parsed_batch(name, content.as_py(), patterns, out, arrow)) is not None:
+                    held.append(rows)
+                    if sum(r.num_rows for r in held) >= 20_000:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     known = reduce(lambda a, b: a | b, [F.col("file_name").rlike(s.raw_name) for s in chosen])
-    rows = files.where(known).mapInPandas(run, out)
+    rows = files.where(known).select("file_name", "content").mapInArrow(run, out)
     day = reduce(lambda c, s: c.when(F.col("segment_name") == s.name, raw_name_date(F.col("file_name"), s.raw_name, s.date_format)), chosen, F)
     return rows.withColumn("file_date", day)
 

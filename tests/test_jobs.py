@@ -6,6 +6,7 @@ import io
 import zipfile
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,3 +400,22 @@ def test_constant_exchange_takes_one_shuffle_and_one_sort(spark, tmp_path):
     sinks.write_ordered(append.consolidate("NSE", every, {"SME": every}), str(tmp_path / "lake"))
     lake = spark.read.parquet(str(tmp_path / "lake"))
     assert [(r["symbol"], r["row_order"]) for r in lake.collect()] == [("A", 1), ("B", 2), ("C", 3), ("B", 4), ("C", 5), ("A", 6)]
+
+
+# S1, S2
+
+
+def test_plain_texts_are_parsed_by_columns_as_line_by_line(spark):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spec, head = specs.SEGMENTS["NSE_SME"], b"SYMBOL,OPEN_PRICE,NET_TRDQTY\n"
+    out, patterns = readers.segment_schema([spec]), readers.name_patterns([spec])
+    arrow = to_arrow_schema(out)
+    plain = [b" A ,nan, 7 \nB,inf,12.0\nC,-1e3,x\n", b"\n\nA,1,2\n\n", b"A,0x1F,0x1F\n", "é　, 1.25,1_000\n".encode(), b"A,,\r\n,,\r\n", b"A,0.1,2", b"A,+5,+5\n", b"N/A,NULL,NA\n"]
+    odd = [b"A,1\n", b"A,1,2,3\n", b"A,1,2\rB,1,2\n", b'"A,1",1,2\n', b"\xff,1,2\n", b"", b" \nA,1,2\n", b"a\0b,1,2\n"]
+    for body in plain + odd:
+        assert (readers._plain_table(head + body) is not None) == (body in plain), body
+        found = readers.parsed_batch("sme140725.csv", head + body, patterns, out, arrow)
+        data = readers.parsed_columns("sme140725.csv", head + body, patterns, out)
+        want = data and pa.record_batch([pa.array(list(data[f.name]), f.type) for f in arrow], schema=arrow).to_pylist()
+        assert str(found and found.to_pylist()) == str(want), body
