@@ -15,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -54,15 +55,12 @@ class NamedFilesWriter(DataSourceArrowWriter):
         try:
             for batch in iterator:
                 text = not pa.types.is_binary(batch.column(1).type)
-                names, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                at = 0
-                for i in range(1, len(names) + 1):
-                    if i < len(names) and names[i] == names[at]:
-                        continue
-                    if out is None or names[at] != name:
+                runs, at = pc.run_end_encode(batch.column(0)), 0
+                for here, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                    if out is None or here != name:
                         if out is not None:
                             out.close()
-                        name = names[at]
+                        name = here
                         if not name or "/" in name or name.startswith((".", "_")) or name in seen:
                             raise ValueError(f"not a file's name, or its lines don't stand together: {name!r}")
                         seen.add(name)
@@ -71,8 +69,9 @@ class NamedFilesWriter(DataSourceArrowWriter):
                         done.files.append((place, name))
                         if self.header is not None:
                             out.write(f"{self.header}\n".encode())
-                    out.write(("\n".join(lines[at:i]) + "\n").encode() if text else b"".join(lines[at:i]))
-                    at = i
+                    lines = batch.column(1).slice(at, end - at)
+                    out.write(("\n".join(lines.to_pylist()) + "\n").encode() if text else b"".join(lines.to_pylist()))
+                    at = end
         finally:
             if out is not None:
                 out.close()
