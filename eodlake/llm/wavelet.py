@@ -14,7 +14,8 @@ Tasks write through the file system that the path names (`pyarrow.fs`), below a
 twice leaves one file.  Spark's reader lists and reads the files back.
 
 A text's pieces are tokenised once each and remembered: this tokenizer drops white space, its normalizer and splits never look across it, and letters, digits
-and signs of ASCII are split by its pattern, so the ids are those of the whole text (tests hold them against it).
+and signs of ASCII and Latin-1 letters are split by its pattern, so the ids are those of the whole text (tests hold them against it).  A tokenizer with
+another normalizer or other splits is given whole texts.
 
 Defined results: a null or empty text is its end id alone; a very long text is tokenised chunk by chunk and isn't parted: its ids are in one
 shard (a shard ends after the document that fills it); null ids come first; documents of one id are ordered by the digest of their ids, equal ones by a
@@ -24,6 +25,7 @@ fixed number of each row, which also spreads them over tasks; repeated rows are
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 import re
@@ -33,17 +35,22 @@ import types
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, count, repeat
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eodlake.llm.common import cut, map_batches, shared_dir, table, text_bytes
 
-END, SHARD_TOKENS, KEEP, KEEP_BYTES, MARK = 1, 1 << 21, 1_000_000, 1 << 24, b"\0"
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
+END, SHARD_TOKENS, KEEP, KEEP_BYTES = 1, 1 << 21, 1_000_000, 1 << 24
 MAGIC, HEAD = b"WAVM", "<4sHHQQ"  # magic, version, bits, tokens, documents
 RUN = 1 << 12  # partitions whose sums are added up by one task
 
@@ -215,56 +222,130 @@ class ShardFile:
         return cls([d if ok else None for d, ok in zip(ids, named, strict=True)], lengths, WaveletMatrix(planes, sections[bits + 1 :].tolist(), n))
 
 
-#: The tokenizer's own splits of chunks that are ASCII; a chunk with other characters stays whole.
-_PIECE = re.compile(rb"(?<!\S)[^\s\x80-\xff]*+[\x80-\xff]\S*|'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[a-zA-Z]+|[0-9]|[^\sa-zA-Z0-9\x80-\xff]+")
-
-
-def chunks_of(text: bytes) -> list[bytes]:
-    """Pieces of a text that the tokenizer takes by themselves.  ASCII texts are in lower case, as its normalizer makes them; texts that may hold a special
-    token, which is told before all that, are cut at white space only."""
-    if b"<|" in text:
-        return text.split()  # the white space of bytes is the six ASCII characters
-    return _PIECE.findall(text.lower() if text.isascii() else text)
+#: What the pieces are cut by: white space, letters, a digit, other signs.
+BLANK, LETTER, DIGIT, SIGN = range(4)
+_KIND = np.full(256, SIGN, np.uint8)
+_KIND[list(b"\t\n\v\f\r ")], _KIND[list(b"0123456789")] = BLANK, DIGIT
+_KIND[[c for c in range(128) if chr(c).isalpha()]] = LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] += 32
+#: Bytes that keep their chunk whole, unless they are a letter of Latin-1 (C3 and one of _LATIN): control characters and all that isn't ASCII.
+_ODD = np.array([(c < 32 and not chr(c).isspace()) or 28 <= c < 32 or c >= 127 for c in range(256)])
+_LATIN = np.array([0x80 <= c < 0xC0 and c not in (0x97, 0xB7) for c in range(256)])  # not the signs of times and division
+_PLAIN = re.compile(rb"[!-~]*+(?:(?:\xc3[\x9f-\xb6\xb8-\xbf])++[!-~]*+)*+")
+#: What the splits and the ids of pieces rest on; other tokenizers are given whole texts.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def _after(x: np.ndarray, by: int = 1) -> np.ndarray:
+    """x moved down: the value `by` places later, 0 at the end."""
+    out = np.zeros_like(x)
+    out[:-by] = x[by:]
+    return out
+
+
+def pieces_of(texts: list[bytes]) -> pa.Array:
+    """Pieces that the tokenizer takes by themselves, in their order, with a blank after those of each text.
+
+    Its own splits are made over the bytes of all texts at once, in lower case as its normalizer makes them.  A chunk between white space that holds
+    another character than ASCII and the letters of Latin-1 (it may be composed with its neighbours), a control character or what may begin a special
+    token (which is told before all that) stays whole and as it is."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    kind, low, odd = _KIND[data], _LOWER[data], _ODD[data]
+    if odd.any():
+        second = np.zeros(len(data), bool)
+        second[1:] = (data[:-1] == 0xC3) & _LATIN[data[1:]]
+        letter = second | _after(second)
+        odd &= ~letter
+        kind[letter] = LETTER
+        low[second & (data < 0x9F)] += 32
+    odd |= (data == ord("<")) & (_after(data) == ord("|"))
+    starts = np.ones(len(data), bool)
+    starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    # 's 't 'm 'd 're 've 'll, where the sign begins a piece: the next piece begins after them
+    mark = np.flatnonzero((data == ord("'")) & starts)
+    if len(mark):
+        # the last byte is a blank, so one place after a sign there always is one, and what stands two after it is looked at only then
+        one, two = low[mark + 1], low[np.minimum(mark + 2, len(data) - 1)]
+        short = np.isin(one, list(b"stmd"))
+        long = np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        starts[mark[short | long] + 1] = False
+        starts[mark[short] + 2] = starts[mark[long] + 3] = True
+    if odd.any():
+        blanks = np.flatnonzero(kind == BLANK)
+        chunk = np.unique(np.searchsorted(blanks, np.flatnonzero(odd)))
+        begin, end = np.where(chunk > 0, blanks[chunk - 1] + 1, 0), blanks[chunk]
+        inside = np.zeros(len(data), np.int8)
+        inside[begin], inside[end] = 1, -1
+        inside = np.cumsum(inside, dtype=np.int8).view(bool)
+        low[inside] = data[inside]
+        starts[inside] = False
+        starts[begin] = True
+    keep = kind != BLANK
+    keep[ends] = starts[ends] = True
+    starts[ends[:-1] + 1] = True
+    low, at = low[keep], np.flatnonzero(starts[keep])
+    offsets = np.append(at, len(low)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(low)])
 
 
 class Encoder:
-    """Ids of whole texts.  Chunks are numbered and their ids kept, up to a bound; those of a batch are learned together, as one text with
-    marks between them."""
+    """Ids of whole texts.  Pieces are numbered and their ids kept, up to a bound; those of a batch are learned together.
+
+    Plain pieces (ASCII and lower-case letters of Latin-1, which the normalizer leaves as they are) go to the library's BPE without its normalizer and
+    splits, which took two thirds of their time; all others to the whole tokenizer, each as a text."""
 
     def __init__(self, model: str, end: int = END) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
-        self.tokenizer, self.end = Tokenizer.from_str(model), end
-        self.mark = self._ids([MARK.decode()])
+        self.tokenizer, self.end, parts = Tokenizer.from_str(model), end, json.loads(model)
+        bpe, suffix = parts["model"], parts["model"].get("end_of_word_suffix")
+        self.split = (
+            parts["normalizer"] == _NORMALIZER
+            and parts["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+            and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in parts["added_tokens"])
+            and bpe["type"] == "BPE" and not bpe["dropout"] and bool(suffix)
+        )
+        if self.split:
+            words = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTES]}
+            self.bpe = Tokenizer.from_str(json.dumps(parts | {"added_tokens": [], "normalizer": None, "pre_tokenizer": words}))
+            self.last = np.zeros(max(bpe["vocab"].values()) + 1, bool)  # tokens that end a piece
+            self.last[[i for t, i in bpe["vocab"].items() if t.endswith(suffix)]] = True
         self.forget()
 
-    def _ids(self, texts: list[str]) -> np.ndarray:
-        return np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    def _ids(self, tokenizer: Tokenizer, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def forget(self) -> None:
         # number 0 is the end
-        self.number, self.size = {}, 0
+        self.number, self.size = {b" ": 0}, 0
         self.flat, self.starts, self.lengths = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        odd = [c for c in chunks if MARK in c]
-        plain = [c for c in chunks if MARK not in c]
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Number pieces that are new, plain ones first."""
+        plain, odd = [], []
+        for c in pieces:
+            (plain if _PLAIN.fullmatch(c) and b"<|" not in c else odd).append(c)
         flat, lengths = [self.flat], [self.lengths]
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]
-            found = self._ids([b" \0 ".join([*part, b""]).decode()])
-            ends = np.flatnonzero(found == self.mark[0])
-            if len(self.mark) > 1 or len(ends) != len(part):
-                raise ValueError("the mark isn't one token of its own")
-            flat.append(np.delete(found, ends))
-            lengths.append(np.diff(ends, prepend=-1) - 1)
-        for c in odd:
-            flat.append(self._ids([c.decode()]))
-            lengths.append(np.array([len(flat[-1])]))
-        for c in [*plain, *odd]:
-            self.number[c] = len(self.number) + 1
-            self.size += len(c)
+            found = self._ids(self.bpe, [b" ".join(part)])[0]
+            ends = np.flatnonzero(self.last[found])
+            if len(ends) != len(part) or ends[-1] + 1 != len(found):
+                raise ValueError("a piece doesn't end with a token that ends pieces")
+            flat.append(found)
+            lengths.append(np.diff(ends, prepend=-1))
+        for i in range(0, len(odd), 1000):
+            found = self._ids(self.tokenizer, odd[i : i + 1000])
+            flat += found
+            lengths.append(np.array([len(x) for x in found]))
+        self.number.update(zip(chain(plain, odd), count(len(self.number)), strict=False))
+        self.size += sum(map(len, pieces))
         self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
@@ -272,24 +353,25 @@ class Encoder:
         """The ids of each text with the end id after it."""
         if not texts:
             return []
-        held = [chunks_of(t) for t in texts]
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
-        pieces = list(chain.from_iterable(held))
-        del held
+        if not self.split:
+            return [np.append(x, np.uint32(self.end)) for t in texts for x in self._ids(self.tokenizer, [t])]
+        coded = pieces_of(texts).dictionary_encode()  # each distinct piece of the batch is looked up once
+        pieces = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), b"\n")[0].as_py().split(b"\n")
         numbers = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
         late = np.flatnonzero(numbers < 0).tolist()
         if late:
-            new = set(map(pieces.__getitem__, late))
-            if len(self.number) + len(new) > KEEP or self.size > KEEP_BYTES:
+            if len(self.number) + len(late) > KEEP or self.size > KEEP_BYTES:
                 self.forget()
-                new, late = set(pieces), range(len(pieces))
-            self._learn(list(new))
-            numbers[late] = [self.number[pieces[i]] for i in late]
-        at = np.insert(numbers, np.cumsum(sizes), 0)  # the end after each text
+                late = [i for i, c in enumerate(pieces) if c != b" "]
+                numbers[:] = 0
+            new = [pieces[i] for i in late]
+            self._learn(new)
+            numbers[late] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        at = numbers[coded.indices.to_numpy()]
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        return np.split(ids, ends[np.cumsum(sizes + 1) - 1][:-1])
+        return np.split(ids, ends[np.flatnonzero(at == 0)][:-1])
 
 
 def _worker_encoder(model: str) -> Encoder:
@@ -312,10 +394,10 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
 
         encode, press = _worker_encoder(model.value), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 ids = [x.astype("<u4").tobytes() for x in encode(part.column(1).to_pylist())]
-                out = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([press.compress(x) for x in ids])]
+                out = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([press.compress(x) for x in ids], pa.binary())]
                 yield pa.record_batch(out, names=["doc_id", "n", "digest", "ids"])
 
     made = rows.mapInArrow(run, "doc_id bigint, n bigint, digest bigint, ids binary")

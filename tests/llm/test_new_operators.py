@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import zlib
 from collections import Counter
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -236,6 +238,51 @@ def test_files_answer_without_a_whole_read(spark, tmp_path):
     assert total == 50
 
 
+def encoder(**changes):
+    model = json.loads(Path(wavelet.default_tokenizer()).read_text()) | changes
+    return wavelet.Encoder(json.dumps(model))
+
+
+@pytest.fixture(scope="module")
+def known_encoder():
+    return encoder()
+
+
+ODD_PARTS = [*"abEsTmdrevl''\"<|!.-  \t\n\x0b\x1c\x00\x7f019éÉßẞÞÿ×÷ª½ņ\u0301\u0307\x85\xa0漢ΣςİKſ😀—“٣", "<|endoftext|>", "<|", "'ll", "'re", "The"]
+
+
+@given(st.lists(st.lists(st.sampled_from(ODD_PARTS), max_size=30).map("".join), max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_encoder(known_encoder, texts):
+    want = [[*known_encoder.tokenizer.encode(t, add_special_tokens=False).ids, wavelet.END] for t in texts]
+    assert [x.tolist() for x in known_encoder([t.encode() for t in texts])] == want
+
+
+def test_plain_pieces_are_learned_once_and_without_the_normalizer(monkeypatch):
+    e = encoder()
+    text = "été, Été. (ÉTÉ) It's «it»"
+    want = [*e.tokenizer.encode(text, add_special_tokens=False).ids, wavelet.END]
+    asked, whole = [], e.tokenizer
+
+    class Asked:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    e.tokenizer = Asked()
+    assert [x.tolist() for x in e([text.encode()])] == [want]
+    assert asked == ["«it»"]
+    assert {k.decode() for k in e.number} == {" ", "été", ",", ".", "(", ")", "it", "'s", "«it»"}
+    monkeypatch.setattr(wavelet, "KEEP", 10)  # what is kept is forgotten and learned anew
+    assert [x.tolist() for x in e([text.encode(), b"new words", text.encode()])][::2] == [want, want]
+
+
+def test_another_tokenizer_is_given_whole_texts():
+    e = encoder(normalizer=None)
+    texts = ["Upper Case it's", "", "Éa É\u0301"]
+    assert [x.tolist() for x in e([t.encode() for t in texts])] == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, wavelet.END] for t in texts]
+
+
 def test_token_files_of_nothing(empty):
     assert wavelet.roundtrip(empty).count() == 0
 
